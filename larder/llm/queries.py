@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import decontaminate, line_dedup, substring_dedup
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
 SQL = {
+    "op1_decontaminate": decontaminate.SQL,
+    "op3_substring_dedup": substring_dedup.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
