@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, sentencepiece_bpe, substring_dedup, token_count
+from . import decontaminate, line_dedup, quality_rules, sentencepiece_bpe, substring_dedup, token_count
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_token_count": token_count.op2_token_count,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_sentencepiece": sentencepiece_bpe.op4_sentencepiece,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
