@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bloom_lm, decontaminate, language_id, line_dedup, quality_rules, sentencepiece_bpe, substring_dedup, token_count
+from . import bloom_lm, decontaminate, language_id, line_dedup, quality_rules, sentencepiece_bpe, substring_dedup, token_count, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sentencepiece": sentencepiece_bpe.op4_sentencepiece,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_lm_score": bloom_lm.op7_lm_score,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_language_id": language_id.op10_language_id,
 }
