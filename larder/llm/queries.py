@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bloom_lm, decontaminate, language_id, line_dedup, quality_rules, sentencepiece_bpe, substring_dedup, token_count, toxicity
+from . import bloom_lm, decontaminate, language_id, line_dedup, near_dedup, quality_rules, sentencepiece_bpe, substring_dedup, token_count, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_token_count": token_count.op2_token_count,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_sentencepiece": sentencepiece_bpe.op4_sentencepiece,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_lm_score": bloom_lm.op7_lm_score,
     "op8_toxicity": toxicity.op8_toxicity,
