@@ -1,25 +1,70 @@
-"""The corpus pipeline: documents through five stages, each written and read again by its caller."""
+"""The corpus pipeline: documents through five stages, each written and read again by its caller.
+
+Every stage works on all rows that the one before kept, whole texts; all but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larder.llm import common, decontaminate, line_dedup, near_dedup, sentencepiece_bpe, toxicity
+
+#: Documents of at least this toxicity go.
+TOXIC = 0.7
+
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    """n_chars of the texts as they are now."""
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
+
 
-from larder.llm import common, line_dedup
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of less than TOXIC stay; the network learns from the labelled rows of docs."""
+    net = toxicity.train(docs, common.documents(spark, sf_dir, "labels"), toxicity.teaches())
+    scored, name = toxicity.with_score(docs, net)
+    return scored.where(F.col(name) < TOXIC).select(*docs.columns)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that at least 10 documents hold go from all of them."""
-    return line_dedup.drop_lines(docs)
+    """Lines that at least 10 documents hold go from all of them; every document stays."""
+    return _recounted(line_dedup.drop_lines(docs, min_docs=10))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each near-duplicate class stays."""
+    return near_dedup.drop_near(docs)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 10 words or more of benchmark items go from the texts; every document stays."""
+    return _recounted(decontaminate.remove_spans(docs, common.documents(spark, sf_dir, "benchmark")))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text (end id last) and the text they decode to."""
+    coded = sentencepiece_bpe.encode(docs.select("doc_id", "lang", "source", "text"))
+    return sentencepiece_bpe.decode(coded, text_col="decoded").select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
-STAGES = [("line_dedup", drop_common_lines)]
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", drop_common_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontaminate", decontaminate_benchmark),
+    ("sentencepiece", encode_pieces),
+]
 
-#: SQL can't express all stages.
+#: SQL can't express the trained network, the alignment or the encoder; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages one after the other; each writes a checkpoint, so none is computed twice."""
     docs = common.documents(spark, sf_dir)
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = common.checkpoint(docs)
     return docs
