@@ -25,8 +25,9 @@ import ahocorasick
 import sentencepiece
 
 MARK = "▁"
-#: Chunks remembered in a worker at once; then the memory starts anew.
-MEMORY = 250_000
+#: Chunks remembered in each of a worker's two generations: when the young one is full it becomes the old one, and
+#: what is asked for again moves from the old to the young, so frequent chunks stay.
+MEMORY = 300_000
 
 
 class Model:
@@ -150,9 +151,11 @@ class Backtracker:
 
     def encode(self, chunk: str) -> list[str]:
         """Tokens of a chunk that holds space marks at its start only, after at most one line feed."""
-        word = chunk.lstrip(MARK)
-        marks = len(chunk) - len(word)
-        if marks > 1:
+        if chunk in self.alone:
+            return [chunk]
+        if chunk[:2] == MARK * 2:
+            word = chunk.lstrip(MARK)
+            marks = len(chunk) - len(word)
             tail = self.encode(MARK + word) if word else [MARK]
             run = MARK * (marks - 1)
             if tail[0] == MARK:  # the last mark didn't join the word, so it is part of the run
@@ -229,13 +232,24 @@ class Encoder(dict):
     def __init__(self, path: str):
         self.m = model(path)
         self.by = Backtracker(self.m)
+        self.old: dict[str, tuple[str, int, str]] = {}
 
     def __missing__(self, chunk: str) -> tuple[str, int, str]:
         if len(self) >= MEMORY:
+            self.old = dict(self)
             self.clear()
-        ids = self.m.to_ids(self.by.encode(chunk))
-        # The dummy prefix goes from the whole text's start only, so here it is kept.
-        self[chunk] = found = (" ".join(map(str, ids)), len(ids), self.m.decode([self.m.ids[MARK], *ids]))
+        found = self.old.get(chunk)
+        if found is None:
+            tokens = self.by.encode(chunk)
+            ids = list(map(self.m.ids.get, tokens))
+            if None in ids:  # some characters fall back to bytes
+                ids = self.m.to_ids(tokens)
+                # The dummy prefix goes from the whole text's start only, so here it is kept.
+                text = self.m.decode([self.m.ids[MARK], *ids])
+            else:
+                text = "".join([self.m.piece[i] for i in ids]).replace(MARK, " ")
+            found = (" ".join(map(str, ids)), len(ids), text)
+        self[chunk] = found
         return found
 
     def encode(self, text: str) -> list[int]:
