@@ -1,6 +1,605 @@
-"""Every query of the library with its SQL."""
+"""Every query of the library on the driver's tables, with its DuckDB SQL.
+
+The tables hold no food labels, so operators run on stand-ins: words of part names as tags, return
+flags as allergens, order priorities as labels, events as declarations; and on stated label texts.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import distance as D
+from ..functions import text as X
+from ..operators import analysis as A
+from ..operators import bayes as B
+from ..operators import metrics as M
+from ..operators import rules as R
+from ..operators import stats as S
+from ..sources import products as P
+from . import knowledge as K
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Stand-ins: words of part names.
+KB = {"blue": "Azul", "red": "Vermelho", "hot": "Quente", "anvil": "Bigorna", "absent": "Ausente"}
+GLUTEN, AMBIGUOUS, FREE = ["anvil", "gizmo"], ["hot", "plate"], ["1-urgent"]
+_KB_SQL = "(VALUES " + ", ".join(f"('{t}', '{n}')" for t, n in KB.items()) + ") kb(tag, label)"
+_TAGS_SQL = "(SELECT p_partkey, trim(unnest(string_split(lower(replace(p_name, ' ', ',')), ','))) AS tag FROM part)"
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit(",")).alias("tags"))
+
+
+@query("""
+WITH d AS (SELECT text, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)), t AS (SELECT count(*) AS total FROM d)
+SELECT x.column, n, round_even(CAST(n AS DOUBLE) * CAST(100 AS DOUBLE) / total, 1) AS pct FROM
+ (SELECT 'text' AS column, count(text) AS n FROM d UNION ALL SELECT 'lang', count(lang) FROM d
+  UNION ALL SELECT 'quality', count(quality) FROM d UNION ALL SELECT 'toxic', count(toxic) FROM d) x, t""")
+def column_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return S.coverage(docs.select("text", "lang", "quality", "toxic"))
+
+
+@query(f"SELECT tag, count(*) AS n FROM {_TAGS_SQL} GROUP BY tag")
+def tag_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.tag_frequency(tagged(spark, sf_dir), "tags")
+
+
+@query(f"SELECT tag, count(*) AS n FROM {_TAGS_SQL} GROUP BY tag ORDER BY n DESC, tag LIMIT 5")
+def topk_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.tag_frequency(tagged(spark, sf_dir), "tags", top=5)
+
+
+@query(f"SELECT count(DISTINCT tag) AS n_tags FROM {_TAGS_SQL}")
+def distinct_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.exploded_tags(tagged(spark, sf_dir), "tags").agg(F.countDistinct("tag").alias("n_tags"))
+
+
+@query("SELECT count(quality) AS n_labelled, round(avg(CASE WHEN quality IS NULL THEN 0.0 ELSE 1.0 END), 6) AS rate FROM documents LEFT JOIN labels USING (doc_id)")
+def labelled_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return docs.agg(F.count("quality").alias("n_labelled"), F.round(F.avg(F.col("quality").isNotNull().cast("double")), 6).alias("rate"))
+
+
+@query(f"""SELECT kb.tag, label, coalesce(n, 0) AS n, round_even(CAST(coalesce(n, 0) AS DOUBLE) * CAST(100 AS DOUBLE) / (SELECT count(*) FROM part), 2) AS pct
+FROM {_KB_SQL} LEFT JOIN (SELECT tag, count(*) AS n FROM {_TAGS_SQL} GROUP BY tag) c ON kb.tag = c.tag""")
+def kb_left_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = tagged(spark, sf_dir)
+    kb = F.broadcast(spark.createDataFrame(list(KB.items()), "tag string, label string"))
+    total = parts.agg(F.count("*").alias("total"))
+    return S.lookup_left(kb, S.tag_frequency(parts, "tags"), F.lit(1.0)).join(F.broadcast(total)).select("tag", "label", "n", F.bround(F.col("n") * 100.0 / F.col("total"), 2).alias("pct"))
+
+
+@query(f"SELECT kb.tag, label, n FROM {_KB_SQL} JOIN (SELECT tag, count(*) AS n FROM {_TAGS_SQL} GROUP BY tag) c ON kb.tag = c.tag")
+def kb_inner_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kb = F.broadcast(spark.createDataFrame(list(KB.items()), "tag string, label string"))
+    return S.lookup_inner(kb, S.tag_frequency(tagged(spark, sf_dir), "tags")).select("tag", "label", "n")
+
+
+@query(f"SELECT p_partkey FROM part WHERE EXISTS (SELECT 1 FROM {_KB_SQL} WHERE list_contains(string_split(p_name, ' '), kb.tag))")
+def kb_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = F.array(*map(F.lit, KB))
+    return tagged(spark, sf_dir).where(F.arrays_overlap(X.tag_list(F.col("tags")), known)).select("p_partkey")
+
+
+_STATUS_SQL = """
+o AS (SELECT o_orderkey, lower(o_orderpriority) AS labels, max(CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 1 ELSE 0 END) AS allergen,
+        list(p_name) FILTER (WHERE l_linenumber <= 2) AS names
+      FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+t AS (SELECT o_orderkey, labels, allergen, string_split(array_to_string(names, ' '), ' ') AS w FROM o),
+s AS (SELECT o_orderkey, CASE WHEN allergen = 1 OR list_has_any(w, ['anvil', 'gizmo']) THEN 'contem' WHEN labels = '1-urgent' THEN 'sem'
+        WHEN list_has_any(w, ['hot', 'plate']) THEN 'suspeito' WHEN len([x for x in w if x <> '']) > 0 THEN 'sem' ELSE 'desconhecido' END AS status FROM t)
+"""
+
+
+def _orders_with_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
+    named = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    per = named.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.concat_ws(",", F.transform(F.collect_list("p_name"), lambda x: F.replace(x, F.lit(" "), F.lit(",")))).alias("tags"), F.max(F.when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1), "en:gluten")).alias("allergens"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("labels")).join(per, "o_orderkey", "left")
+
+
+@query(f"WITH {_STATUS_SQL} SELECT * FROM s")
+def gluten_status_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders_with_tags(spark, sf_dir).select("o_orderkey", R.tag_status(F.col("allergens"), F.col("tags"), F.col("labels"), GLUTEN, AMBIGUOUS, FREE).alias("status"))
+
+
+@query(f"""WITH {_STATUS_SQL}, d AS (SELECT * FROM (VALUES (0, 'contem'), (1, 'suspeito'), (2, 'sem'), (3, 'desconhecido')) v(ord, value))
+SELECT CAST(ord AS INTEGER) AS ord, d.value, coalesce(n, 0) AS n, round_even(CAST(coalesce(n, 0) AS DOUBLE) * CAST(100 AS DOUBLE) / (SELECT count(*) FROM s), 2) AS pct
+FROM d LEFT JOIN (SELECT status, count(*) AS n FROM s GROUP BY status) c ON c.status = d.value""")
+def gluten_status_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.distribution(gluten_status_rows(spark, sf_dir), "status", R.STATES)
+
+
+@query("""SELECT CAST(g - 1 AS INTEGER) AS ord, CAST(g AS VARCHAR) AS grade, count(o_orderkey) AS n
+FROM (SELECT unnest(range(1, 7)) AS g) LEFT JOIN orders ON left(o_orderpriority, 1) = CAST(g AS VARCHAR) GROUP BY g""")
+def grade_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.grade_histogram(table(spark, sf_dir, "orders").withColumn("g", F.substring("o_orderpriority", 1, 1)), "g", "123456")
+
+
+@query("SELECT page_id FROM pages WHERE contains(lower(url), '/fr/') OR regexp_matches(lower(html), 'lang=\"fr\"|lang=\"es\"')")
+def country_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").where(S.in_country(F.col("url"), F.col("html"), "/fr/", ['lang="fr"', 'lang="es"'])).select("page_id")
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 25")
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.sample_rows(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 25)
+
+
+@query("SELECT min(s_suppkey) IS NOT NULL AS found, count(DISTINCT (s_nationkey)) AS n FROM supplier WHERE s_name IS NOT NULL")
+def clean_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.clean_products(table(spark, sf_dir, "supplier"), "s_nationkey", ["s_name"]).agg(F.min("s_suppkey").isNotNull().alias("found"), F.count("*").alias("n"))
+
+
+# Text functions.
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace(strip_accents(lower(text)), '\s+', ' ', 'g'))) AS folded FROM documents")
+def text_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.fold(F.col("text")).cast("binary")).alias("folded"))
+
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace(strip_accents(lower(text)), '[^a-z]+', ' ', 'g'))) AS words FROM documents WHERE NOT regexp_matches(text, '[0-9]\s*%')")
+def match_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[0-9]\s*%"))
+    return docs.select("doc_id", F.md5(X.match_string(F.col("text")).cast("binary")).alias("words"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '-\s*\n\s*', '', 'g'), '[|`~^¬{}\[\]<>©®™§¶]+', ' ', 'g')) AS cleaned FROM documents")
+def ocr_clean_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.strip_noise(X.join_hyphens(F.col("text"))).cast("binary")).alias("cleaned"))
+
+
+@query(r"""SELECT doc_id, md5(array_to_string([x for x in string_split(text, chr(10)) if length(regexp_replace(x, '[^\p{L}]', '', 'g')) >= 8 OR trim(x) = ''], chr(10))) AS kept
+FROM documents WHERE NOT ends_with(text, chr(10))""")
+def ocr_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where(~F.endswith("text", F.lit("\n")))
+    return docs.select("doc_id", F.md5(X.drop_short_lines(F.col("text"), 8).cast("binary")).alias("kept"))
+
+
+@query()
+def ocr_clean_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain holds look-around, which the oracle's patterns lack; tests compare it with a plain version."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.ingredients_section(X.clean_ocr_text(F.col("text"))).cast("binary")).alias("cleaned"))
+
+
+_SEGMENTS_SQL = r"""
+p AS (SELECT doc_id, regexp_replace(text, '\(?\s*\d+[.,]?\d*\s*%\s*\)?', ' ', 'g') AS t FROM documents WHERE NOT regexp_matches(text, '(?i)ingredient|composi[cç][aã]o')),
+x AS (SELECT doc_id, [trim(s, ' .;:-*•[]') for s in regexp_split_to_array(t, '[,;\n/]+|\.\s|\)\s*,?|\s+(?:e|y|and)\s+') if trim(s, ' .;:-*•[]') <> ''] AS a FROM p)
+"""
+
+
+def _list_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where(~F.col("text").rlike("(?i)ingredient|composi[cç][aã]o"))
+
+
+@query(f"WITH {_SEGMENTS_SQL} SELECT doc_id, CAST(len(a) AS INTEGER) AS n, md5(array_to_string(a, '|')) AS digest FROM x")
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _list_docs(spark, sf_dir).select("doc_id", X.segments(F.col("text")).alias("a")).select("doc_id", F.size("a").alias("n"), F.md5(F.array_join("a", "|").cast("binary")).alias("digest"))
+
+
+@query(f"WITH {_SEGMENTS_SQL} SELECT seg, count(*) AS n FROM (SELECT unnest(a) AS seg FROM x) GROUP BY seg HAVING count(*) >= 3")
+def segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _list_docs(spark, sf_dir).select(F.explode(X.segments(F.col("text"))).alias("seg"))
+    return rows.groupBy("seg").agg(F.count("*").alias("n")).where("n >= 3")
+
+
+@query("""SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS escaped FROM pages""")
+def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(X.html_escape(F.col("html")).cast("binary")).alias("escaped"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN v < 1024 THEN printf('%.1f B', v) WHEN v < 1048576 THEN printf('%.1f KiB', v / 1024) WHEN v < 1073741824 THEN printf('%.1f MiB', v / 1048576)
+ ELSE printf('%.1f GiB', v / 1073741824) END AS size FROM (SELECT o_orderkey, CAST(o_orderkey AS DOUBLE) * 977.013::DOUBLE AS v FROM orders)""")
+def human_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.human_size(F.col("o_orderkey") * 977.013).alias("size"))
+
+
+@query(r"SELECT page_id, regexp_replace('http://i/' || page_id || '.' || (page_id % 500) || '.jpg?x=1', '\.(\d+)\.jpg(\?.*)?$', '.full.jpg\2') AS url FROM pages")
+def full_size_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", X.full_size_url(F.format_string("http://i/%d.%d.jpg?x=1", "page_id", F.col("page_id") % 500)).alias("url"))
+
+
+_RESPONSES = [
+    (1, '{"status": 1, "product": {"selected_images": {"ingredients": {"full": {"en": "http://i/a.400.jpg"}, "display": {"pt": "http://i/b.200.jpg"}}}}}', "http://i/a.full.jpg"),
+    (2, '{"status": 1, "product": {"selected_images": {"ingredients": {"display": {"fr": "http://i/c.100.jpg?z=2"}}}}}', "http://i/c.full.jpg?z=2"),
+    (3, '{"status": 1, "product": {"image_ingredients_url": "http://i/d.400.jpg"}}', "http://i/d.full.jpg"),
+    (4, '{"status": 0}', None),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {'NULL' if u is None else repr(u)})" for i, _, u in _RESPONSES) + ") v(id, url)")
+def ingredients_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.createDataFrame([x[:2] for x in _RESPONSES], "id int, body string")
+    return given.select("id", P.ingredients_image(P.product_of_response(F.col("body"))).alias("url"))
+
+
+@query("SELECT doc_id, regexp_matches(strip_accents(lower(text)), 'of the|onan|ch la') AS trace, len(string_split(text, ' ')) > 300 AS long FROM documents")
+def text_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", X.fold(F.col("text")).rlike("of the|onan|ch la").alias("trace"), (F.size(F.split("text", " ")) > 300).alias("long"))
+
+
+# Distances.
+
+_PAIRS_SQL = "(SELECT a.p_partkey AS k, a.p_name AS x, b.p_name AS y, a.p_brand AS bx, b.p_brand AS bz FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)"
+
+
+def _part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("x"), F.col("p_brand").alias("bx")).join(p.select((F.col("p_partkey") - 1).alias("k"), F.col("p_name").alias("y"), F.col("p_brand").alias("bz")), "k")
+
+
+@query(f"SELECT k, round(1 - CAST(levenshtein(x, y) AS DOUBLE) / greatest(length(x), length(y)), 6) AS ratio, levenshtein(x, y) AS d FROM {_PAIRS_SQL}")
+def levenshtein_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _part_pairs(spark, sf_dir).select("k", F.round(D.levenshtein_ratio(F.col("x"), F.col("y")), 6).alias("ratio"), F.levenshtein("x", "y").cast("long").alias("d"))
+
+
+@query(f"SELECT k, hamming(bx, bz) AS d FROM {_PAIRS_SQL} WHERE length(bx) = length(bz)")
+def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _part_pairs(spark, sf_dir).where(F.length("bx") == F.length("bz")).select("k", D.hamming(F.col("bx"), F.col("bz")).cast("long").alias("d"))
+
+
+_SETS_SQL = f"(SELECT k, list_distinct(string_split(x, ' ')) AS a, list_distinct(string_split(y, ' ')) AS b FROM {_PAIRS_SQL})"
+
+
+@query(f"""SELECT k, round(CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))), 6) AS jaccard,
+round(1 - CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))), 6) AS distance,
+round(CAST(len(list_intersect(a, b)) AS DOUBLE) / least(len(a), len(b)), 6) AS overlap FROM {_SETS_SQL}""")
+def set_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _part_pairs(spark, sf_dir).select("k", F.split("x", " ").alias("a"), F.split("y", " ").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return p.select("k", F.round(D.jaccard_index(a, b), 6).alias("jaccard"), F.round(D.jaccard_distance(a, b), 6).alias("distance"), F.round(D.overlap_coefficient(a, b), 6).alias("overlap"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_sort(list_distinct([substr(t, i, 2) for i in range(1, length(t))])), ' ') AS grams
+FROM (SELECT p_partkey, replace(p_name, ' ', '') AS t FROM part)""")
+def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(D.char_ngrams(F.col("p_name"))), " ").alias("grams"))
+
+
+# Lexicon matches, running declarations, first occurrences.
+
+_LEXICON = ["of the", "the", "in", "de la", "le", "der", "que"]
+_LEX_SQL = "(VALUES " + ", ".join(f"('{w}', {len(w.split())}, {len(w)})" for w in _LEXICON) + ") l(folded, words, len)"
+
+
+def _phrases(spark: SparkSession, words: list[str]) -> DataFrame:
+    rows = [(i, w, "safe", None, None, []) for i, w in enumerate(words)]
+    return K.phrases(spark.createDataFrame(rows, "entry int, term string, gluten string, allergen string, tag string, variants array<string>"))
+
+
+@query(rf"""
+WITH r AS (SELECT folded, row_number() OVER (ORDER BY words DESC, len DESC, folded) AS rank FROM {_LEX_SQL}),
+m AS (SELECT DISTINCT trim(regexp_replace(strip_accents(lower(x.s)), '[^a-z]+', ' ', 'g')) AS t FROM (SELECT unnest(regexp_split_to_array(text, '[.,\n]+')) AS s FROM documents) x)
+SELECT t AS match, arg_min(folded, rank) AS phrase FROM m JOIN r ON contains(' ' || t || ' ', ' ' || folded || ' ') GROUP BY t""")
+def lexicon_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[.,\n]+")).alias("s"))
+    texts = texts.select(F.trim(X._re(X.fold(F.col("s")), "[^a-z]+", " ")).alias("match")).distinct()
+    # Longer phrases first, as the ranks of the lexicon say; equal ones by name.
+    phrases = _phrases(spark, sorted(_LEXICON)).select("rank", "folded", "words", "len")
+    found = A.match_texts(texts, phrases, fuzzy=2.0)
+    return found.join(F.broadcast(phrases), "rank").select("match", F.col("folded").alias("phrase"))
+
+
+@query("""
+WITH p AS (SELECT DISTINCT p_name AS folded, length(p_name) AS len FROM part), r AS (SELECT folded, len, row_number() OVER (ORDER BY len DESC, folded) AS rank FROM p),
+t AS (SELECT left(folded, 2) || 'q' || substr(folded, 4) AS match FROM p),
+s AS (SELECT match, folded, rank, 1 - CAST(levenshtein(match, folded) AS DOUBLE) / greatest(length(match), len) AS score FROM t, r WHERE len >= 5)
+SELECT match, arg_min(folded, (-round(score, 9), rank)) AS phrase, round(max(score), 6) AS score FROM s WHERE score >= 0.84 GROUP BY match""")
+def lexicon_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("folded")).distinct()
+    rank = F.row_number().over(Window.orderBy(F.desc(F.length("folded")), "folded"))  # a dictionary, not data
+    phrases = names.select(rank.alias("rank"), "folded", F.size(F.split("folded", " ")).alias("words"), F.length("folded").alias("len"))
+    texts = names.select(F.concat(F.substring("folded", 1, 2), F.lit("q"), F.substring("folded", 4, 100)).alias("match"))
+    found = A.match_texts(texts, phrases)
+    return found.join(F.broadcast(phrases), "rank").select("match", F.col("folded").alias("phrase"), F.round("score", 6).alias("score"))
+
+
+_ANNOUNCED = {"error": "pode conter", "purchase": "contem"}
+
+
+@query("""SELECT event_id, CASE WHEN max(event_type = 'error') OVER w THEN 'tracos' WHEN max(event_type = 'purchase') OVER w THEN 'contem' ELSE 'ingrediente' END AS declaration
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
+def declaration_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in _ANNOUNCED.items()), F.lit("x"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_id").alias("pos"), said.alias("folded"))
+    return A.declared(rows, "user_id").select("event_id", "declaration")
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
+def first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
+    return table(spark, sf_dir, "events").withColumn("n", nth).where("n = 1").select("user_id", "event_type", "event_id")
+
+
+@query("""SELECT user_id, event_type AS label, CASE max(CASE WHEN value > 20 THEN 2 WHEN value > 10 THEN 1 ELSE 0 END) WHEN 2 THEN 'ingrediente' WHEN 1 THEN 'contem' ELSE 'tracos' END AS declaration
+FROM events GROUP BY user_id, event_type""")
+def strongest_declaration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decl = F.when(F.col("value") > 20, "ingrediente").when(F.col("value") > 10, "contem").otherwise("tracos")
+    per = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.col("event_type").alias("allergen_label"), decl.alias("declaration")))).alias("m"))
+    return per.select("user_id", F.explode(R.allergen_entries(F.col("m"))).alias("e")).select("user_id", "e.label", "e.declaration")
+
+
+@query("""SELECT user_id, string_agg(event_type, ' ' ORDER BY event_id) FILTER (WHERE value >= 0) AS raw_text, round(avg(value) FILTER (WHERE value >= 0), 6) AS mean_confidence FROM events GROUP BY user_id""")
+def words_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array_sort(F.collect_list(F.struct("event_id", F.col("event_type").alias("text"), F.col("value").alias("conf"))))
+    per = table(spark, sf_dir, "events").groupBy("user_id").agg(words.alias("w")).select("user_id", P.words_to_text(F.col("w")).alias("r"))
+    return per.select("user_id", "r.raw_text", F.round("r.mean_confidence", 6).alias("mean_confidence"))
+
+
+# Classification metrics: quality against a rule on the length.
+
+_EVAL_SQL = "e AS (SELECT doc_id, quality AS actual, CASE WHEN n_chars > 1200 THEN 1 WHEN n_chars > 40 THEN 0 ELSE 2 END AS predicted, text FROM documents JOIN labels USING (doc_id))"
+_CM_SQL = f"{_EVAL_SQL}, c AS (SELECT DISTINCT actual AS k FROM e), m AS (SELECT a.k AS actual, b.k AS predicted, count(e.doc_id) AS n FROM c a CROSS JOIN c b LEFT JOIN e ON e.actual = a.k AND e.predicted = b.k GROUP BY a.k, b.k)"
+_OUT_SQL = f"""{_CM_SQL}, o AS (SELECT k AS class, sum(n) FILTER (WHERE actual = k AND predicted = k) AS tp, sum(n) FILTER (WHERE actual <> k AND predicted = k) AS fp,
+ sum(n) FILTER (WHERE actual = k AND predicted <> k) AS fn, sum(n) FILTER (WHERE actual <> k AND predicted <> k) AS tn FROM m, c GROUP BY k),
+q AS (SELECT *, CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn) AS accuracy, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0) AS precision, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0) AS recall FROM o),
+z AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM q)"""
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = F.when(F.col("n_chars") > 1200, 1).when(F.col("n_chars") > 40, 0).otherwise(2)
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", F.col("quality").alias("actual"), rule.alias("predicted"), "text")
+
+
+@query(f"WITH {_CM_SQL} SELECT * FROM m")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.confusion_matrix(_evaluated(spark, sf_dir), "actual", "predicted")
+
+
+@query(f"WITH {_OUT_SQL} SELECT class, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn FROM o")
+def class_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.outcomes(confusion_matrix(spark, sf_dir))
+
+
+@query(f"WITH {_OUT_SQL} SELECT class, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM z")
+def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.class_metrics(confusion_matrix(spark, sf_dir)).select("class", *(F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")))
+
+
+@query(f"WITH {_OUT_SQL} SELECT (SELECT count(*) FROM e) AS n, round((SELECT avg(CAST(actual = predicted AS DOUBLE)) FROM e), 6) AS accuracy, round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1 FROM z")
+def macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = M.summary(_evaluated(spark, sf_dir), "actual", "predicted")
+    return m.select("n", *(F.round(c, 6).alias(c) for c in ("accuracy", "macro_precision", "macro_recall", "macro_f1")))
+
+
+@query(f"""WITH {_OUT_SQL} SELECT class, metric, round(value, 6) AS value, derivation FROM (
+SELECT class, 'accuracy' AS metric, accuracy AS value, '(' || CAST(tp AS BIGINT) || '+' || CAST(tn AS BIGINT) || ')/' || CAST(tp + fp + fn + tn AS BIGINT) AS derivation FROM z
+UNION ALL SELECT class, 'precision', precision, CAST(tp AS BIGINT) || '/(' || CAST(tp AS BIGINT) || '+' || CAST(fp AS BIGINT) || ')' FROM z
+UNION ALL SELECT class, 'recall', recall, CAST(tp AS BIGINT) || '/(' || CAST(tp AS BIGINT) || '+' || CAST(fn AS BIGINT) || ')' FROM z)""")
+def metric_derivations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.explained_metrics(confusion_matrix(spark, sf_dir)).where("metric <> 'f1'").withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {_CM_SQL} SELECT 'FP' AS kind, predicted AS class, actual, predicted, n FROM m WHERE actual <> predicted UNION ALL SELECT 'FN', actual, actual, predicted, n FROM m WHERE actual <> predicted")
+def confusion_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.confusion_details(confusion_matrix(spark, sf_dir))
+
+
+@query(f"""WITH {_CM_SQL} SELECT CAST(actual AS VARCHAR) AS line, actual || chr(9) || string_agg(CAST(n AS VARCHAR), chr(9) ORDER BY predicted) AS text FROM m GROUP BY actual
+UNION ALL SELECT NULL, chr(9) || string_agg(CAST(predicted AS VARCHAR), chr(9) ORDER BY predicted) FROM (SELECT DISTINCT predicted FROM m)""")
+def confusion_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.render(confusion_matrix(spark, sf_dir)).withColumn("line", F.col("line").cast("string"))
+
+
+@query(f"WITH {_EVAL_SQL} SELECT CAST(nth AS INTEGER) AS nth, doc_id, actual, predicted, left(text, 40) AS excerpt FROM (SELECT *, row_number() OVER (PARTITION BY actual, predicted ORDER BY doc_id) AS nth FROM e WHERE actual <> predicted) WHERE nth <= 3")
+def error_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.examples(_evaluated(spark, sf_dir), "actual", "predicted", "doc_id", "text", width=40)
+
+
+# Naive Bayes over words.
+
+_WORDS_SQL = r"""d AS (SELECT doc_id, quality AS label FROM documents JOIN labels USING (doc_id)),
+w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS tag FROM documents WHERE doc_id IN (SELECT doc_id FROM d)),
+v AS (SELECT tag, count(*) AS df FROM w GROUP BY tag HAVING count(*) >= 10)"""
+_NB_SQL = f"""{_WORDS_SQL}, c AS (SELECT label, count(*) AS n FROM d GROUP BY label),
+l AS (SELECT c.label, v.tag, ln((count(w.tag) + 1.0::DOUBLE) / (any_value(c.n) + 2)) AS lp, ln(1 - (count(w.tag) + 1.0::DOUBLE) / (any_value(c.n) + 2)) AS lq
+ FROM c CROSS JOIN v LEFT JOIN (SELECT d.label, w.tag FROM w JOIN d USING (doc_id)) w ON w.label = c.label AND w.tag = v.tag GROUP BY c.label, v.tag),
+pr AS (SELECT c.label, ln(any_value(c.n)::DOUBLE / (SELECT count(*) FROM d)) AS prior, sum(lq) AS absent FROM c JOIN l ON l.label = c.label GROUP BY c.label),
+g AS (SELECT w.doc_id, l.label, sum(lp - lq) AS gain FROM w JOIN l ON l.tag = w.tag GROUP BY w.doc_id, l.label),
+j AS (SELECT d.doc_id, pr.label, prior + absent + coalesce(gain, 0) AS score FROM d CROSS JOIN pr LEFT JOIN g ON g.doc_id = d.doc_id AND g.label = pr.label)"""
+
+
+def _word_bags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", F.col("quality").alias("label"), "text")
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})")))).alias("tag"))
+    return docs.select("doc_id", "label"), words, B.document_frequency(words, "doc_id", "tag")
+
+
+@query(f"WITH {_WORDS_SQL} SELECT tag, df FROM v")
+def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _word_bags(spark, sf_dir)[2]
+
+
+@query("SELECT quality AS label, count(*) AS n FROM labels GROUP BY quality")
+def class_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").groupBy(F.col("quality").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_NB_SQL} SELECT label, tag, round(lp, 6) AS log_p, round(lq, 6) AS log_q FROM l")
+def nb_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, words, vocabulary = _word_bags(spark, sf_dir)
+    return B.fit(docs, words, "doc_id", "label", vocabulary)[1].select("label", "tag", F.round("log_p", 6).alias("log_p"), F.round("log_q", 6).alias("log_q"))
+
+
+def _nb_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, words, vocabulary = _word_bags(spark, sf_dir)
+    return B.joint(docs, words, "doc_id", B.fit(docs, words, "doc_id", "label", vocabulary))
+
+
+@query(f"WITH {_NB_SQL} SELECT doc_id, label, round(score, 4) AS score FROM j")
+def nb_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nb_scores(spark, sf_dir).withColumn("score", F.round("score", 4))
+
+
+@query(f"WITH {_NB_SQL} SELECT doc_id, arg_min(label, (-score, label)) AS prediction FROM j GROUP BY doc_id")
+def nb_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.predict(_nb_scores(spark, sf_dir), "doc_id")
+
+
+@query(f"WITH {_NB_SQL} SELECT doc_id, label, round(exp(score - mx) / sum(exp(score - mx)) OVER (PARTITION BY doc_id), 4) AS probability FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS mx FROM j)")
+def nb_proba(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.probabilities(_nb_scores(spark, sf_dir), "doc_id").withColumn("probability", F.round("probability", 4))
+
+
+_DEALT = "SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS nth, count(*) OVER (PARTITION BY quality) AS n FROM labels"
+
+
+@query(f"SELECT doc_id, nth <= floor(n * 0.25::DOUBLE + 0.5) AS is_test FROM ({_DEALT})")
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.stratified_split(table(spark, sf_dir, "labels"), "doc_id", "quality").select("doc_id", "is_test")
+
+
+@query(f"SELECT doc_id, CAST((nth - 1) % 5 AS INTEGER) AS fold FROM ({_DEALT})")
+def stratified_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.stratified_folds(table(spark, sf_dir, "labels"), "doc_id", "quality").select("doc_id", "fold")
+
+
+@query(f"""SELECT round(avg(a), 6) AS mean_accuracy, round(stddev_pop(a), 6) AS std_accuracy FROM
+(SELECT (nth - 1) % 5 AS fold, avg(CASE WHEN quality = (n_chars > 300)::INTEGER THEN 1.0::DOUBLE ELSE 0 END) AS a FROM ({_DEALT}) JOIN documents USING (doc_id) GROUP BY 1)""")
+def fold_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = B.stratified_folds(table(spark, sf_dir, "labels"), "doc_id", "quality").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    per = dealt.groupBy("fold").agg(F.avg((F.col("quality") == (F.col("n_chars") > 300).cast("int")).cast("double")).alias("a"))
+    return per.agg(F.round(F.avg("a"), 6).alias("mean_accuracy"), F.round(F.stddev_pop("a"), 6).alias("std_accuracy"))
+
+
+@query()
+def nb_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five fits and predictions in one plan; tests compare it with numpy."""
+    docs, words, vocabulary = _word_bags(spark, sf_dir)
+    return B.cross_validate(docs, words, "doc_id", "label", vocabulary)
+
+
+@query()
+def tree_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decision tree of the library on words of order priorities' parts; approximate by nature, so rows only."""
+    status = gluten_status_rows(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.col("status").alias("label"))
+    tags = _orders_with_tags(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.explode(X.tag_list(F.col("tags"))).alias("tag"))
+    split = B.stratified_split(status, "id", "label")
+    vocabulary = [r.tag for r in B.document_frequency(tags, "id", "tag").select("tag").limit(5000).collect()]
+    bags = B.vectors(split, tags, "id", "label", vocabulary).join(split.select("id", "is_test"), "id")
+    return B.train_library(B.library_models()["decision_tree"], bags.where("NOT is_test"), bags.where("is_test"), "id")
+
+
+# Stated label texts, end to end.
+
+GOLDEN = [
+    ("G1", "Flocos de aveia, malte de cevada, farinha de trigo, açúcar, óleo de girassol, sal. Pode conter vestígios de frutos de casca rija.", "Contem Gluten", "Possui alergenios", 7, 0),
+    ("G2", "Água, puré de tomate, cenoura, cebola, azeite, sal, manjericão.", "Sem Gluten", "Sem alergenios conhecidos", 4, 3),
+    ("G3", "Amido modificado, aroma natural, dextrose, lecitina, proteína vegetal hidrolisada.", "Medio Risco", "Possui ingredientes suspeitos", 3, 2),
+    ("G4", "Farinha de trigo, agua, sal, amido modificado, leite, acucar. Pode conter tracos de soja.", "Contem Gluten", "Possui alergenios", 7, 0),
+    ("G5", "Acucar, oleo de girassol, milho, sal. Sem gluten.", "Sem Gluten", "Sem alergenios conhecidos", 4, 0),
+    ("G7", "Farinha de trigo, agua, sal, aroma.", "Contem Gluten", "Possui alergenios", 4, 0),
+    ("G8", "Amido modificado, aroma, sal.", "Medio Risco", "Possui ingredientes suspeitos", 3, 0),
+    ("G9", "", "Baixo Risco", "Sem alergenios conhecidos", 0, 0),
+    ("G10", "Arroz. Pode conter trigo.", "Alto Risco", "Possui alergenios", 2, 0),
+    ("G11", "Farinha integral de trigo", "Medio Risco", "Possui ingredientes suspeitos", 1, 0),
+    ("G12", "centeo", "Contem Gluten", "Possui alergenios", 1, 0),
+    ("G13", "pão ralado (farinha de trigo), sal", "Contem Gluten", "Possui alergenios", 2, 0),
+]
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    cell = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") v({names})"
+
+
+def _reports(spark: SparkSession) -> DataFrame:
+    texts = spark.createDataFrame([x[:2] for x in GOLDEN], "doc_id string, text string")
+    return R.report(texts, K.phrases(K.lexicon(spark)), K.allergens(spark))
+
+
+@query(_values([(a, g, s, m, u) for a, _, g, s, m, u in GOLDEN], "doc_id, gluten_grade, allergen_status, n_matches, n_unknown"))
+def risk_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reports(spark).select("doc_id", "gluten_grade", "allergen_status", F.size("matches").alias("n_matches"), F.size("unknown").alias("n_unknown"))
+
+
+_G4_ROWS = [(1, "farinha de trigo", "X"), (2, "agua", "OK"), (3, "sal", "OK"), (4, "amido modificado", "?"), (5, "leite", "?"), (6, "acucar", "OK"), (7, "soja", "?")]
+
+
+@query(_values(_G4_ROWS, "nth, ingredient, symbol"))
+def explain_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _reports(spark).where("doc_id = 'G4'").select(F.posexplode("rows").alias("i", "r"))
+    return rows.select((F.col("i") + 1).alias("nth"), "r.ingredient", "r.symbol")
+
+
+_G1_RECS = [
+    (1, "Produto INADEQUADO para celiacos ou intolerantes ao gluten."),
+    (2, "Contem alergenios declarados: Cereais com gluten. Inadequado para alergicos a estes."),
+    (3, "Pode conter vestigios de: Frutos de casca rija."),
+    (4, "Em caso de duvida, contactar sempre o fabricante."),
+]
+
+
+@query(_values(_G1_RECS, "nth, recommendation"))
+def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _reports(spark).where("doc_id = 'G1'").select(F.posexplode("recommendations").alias("i", "recommendation"))
+    return rows.select((F.col("i") + 1).alias("nth"), "recommendation")
+
+
+@query(_values([("G1", "Cereais com gluten", "ingrediente"), ("G1", "Frutos de casca rija", "tracos"), ("G4", "Cereais com gluten", "ingrediente"), ("G4", "Leite", "ingrediente"), ("G4", "Soja", "tracos")], "doc_id, label, declaration"))
+def allergen_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _reports(spark).where("doc_id IN ('G1', 'G4')").select("doc_id", F.explode("allergens").alias("a"))
+    return rows.select("doc_id", "a.label", "a.declaration")
+
+
+_TAG_RULES = [
+    (1, "en:gluten,en:milk", None, "en:no-gluten", "contem"), (2, None, "en:wheat-flour,en:salt", "en:no-gluten", "contem"), (3, None, "en:starch,en:salt", "en:gluten-free", "sem"),
+    (4, None, "en:starch,en:salt", None, "suspeito"), (5, None, "en:salt", None, "sem"), (6, None, None, "en:no-gluten", "sem"), (7, None, None, None, "desconhecido"), (8, "EN:Gluten", None, None, "contem"),
+]
+
+
+@query(_values([(x[0], x[4]) for x in _TAG_RULES], "id, status"))
+def tag_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([x[:4] for x in _TAG_RULES], "id int, allergens string, ingredients string, labels string")
+    return rows.select("id", R.tag_status(F.col("allergens"), F.col("ingredients"), F.col("labels")).alias("status"))
+
+
+@query(_values([("contem", 5, 5), ("sem", 7, 7)], "truth, n, n_right"))
+def text_against_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of the texts against an independent label; traces count as none."""
+    told = spark.createDataFrame([(x[0], "en:gluten" if x[2] == "Contem Gluten" else "en:milk") for x in GOLDEN], "doc_id string, allergens string")
+    both = _reports(spark).drop("allergens").join(told, "doc_id").select(R.truth(F.col("allergens")).alias("truth"), R.predicted(F.col("gluten_grade")).alias("predicted"))
+    return both.groupBy("truth").agg(F.count("*").cast("int").alias("n"), F.sum((F.col("truth") == F.col("predicted")).cast("int")).cast("int").alias("n_right"))
+
+
+@query(_values([("contem gluten", "G4", True), ("contem gluten", "G7", True)], "k, doc_id, changed").replace("True", "true"))
+def verdict_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text and what was recognised of it: the verdict may change."""
+    texts = spark.createDataFrame([("G4", "Farinha de trigo, sal", "Farlnha d trgo, sal"), ("G7", "Trigo, agua", "Tgo, agua")], "doc_id string, good string, seen string")
+    phrases, allergens = K.phrases(K.lexicon(spark)), K.allergens(spark)
+    grade = lambda c, n: R.assess(A.analyze(texts, phrases, allergens, "doc_id", c)).select("doc_id", F.col("gluten_grade").alias(n))
+    both = grade("good", "g").join(grade("seen", "s"), "doc_id")
+    return M.verdict_changes(both, F.col("g"), F.col("s")).select(F.lower("verdict_before").alias("k"), "doc_id", "changed")
+
+
+@query()
+def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of the stated texts as Markdown, plain text, tables and JSON; tests compare them with stated ones."""
+    out = R.to_json(R.analysis_table(R.render_text(R.render_markdown(_reports(spark)))))
+    return out.select("doc_id", "markdown", "plain", "table", "json")
