@@ -50,7 +50,7 @@ def filter_dump(dump: DataFrame, tag: str = stats.COUNTRY_TAG, markers: list[str
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     """With header; null becomes an empty field."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").option("emptyValue", "").csv(path, header=True, nullValue="")
+    (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="", quote="\"", escape="\"")
 
 
 def write_text(df: DataFrame, column: str, path: str) -> None:
