@@ -75,9 +75,8 @@ def cross_validate(docs: DataFrame, doc_tags: DataFrame, id_col: str, label_col:
     dealt = stratified_folds(docs, id_col, label_col, k)
     out = None
     for fold in range(k):
-        train, test = dealt.where(F.col("fold") != fold), dealt.where(F.col("fold") == fold)
-        pred = predict(joint(test, doc_tags.join(test.select(id_col), id_col), id_col, fit(train, doc_tags, id_col, label_col, vocabulary)), id_col)
-        one = test.join(pred, id_col).agg(F.lit(fold).alias("fold"), F.count("*").alias("n"), F.avg((F.col(label_col) == F.col("prediction")).cast("double")).alias("accuracy"))
+        pred = bayes_predictions(dealt.where(F.col("fold") != fold), dealt.where(F.col("fold") == fold), doc_tags, id_col, label_col, vocabulary)
+        one = pred.agg(F.lit(fold).alias("fold"), F.count("*").alias("n"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -105,3 +104,39 @@ def train_library(model, train: DataFrame, test: DataFrame, id_col: str) -> Data
     index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(train)
     done = model.fit(index.transform(train)).transform(test)
     return IndexToString(inputCol="prediction", outputCol="named", labels=index.labels).transform(done).select(id_col, "label", F.col("named").alias("prediction"))
+
+
+def bayes_predictions(train: DataFrame, test: DataFrame, doc_tags: DataFrame, id_col: str, label_col: str, vocabulary: DataFrame) -> DataFrame:
+    """(id, label, prediction) of test by naive Bayes fitted on train."""
+    model = fit(train, doc_tags, id_col, label_col, vocabulary)
+    pred = predict(joint(test, doc_tags.join(test.select(id_col), id_col), id_col, model), id_col)
+    return test.select(id_col, F.col(label_col).alias("label")).join(pred, id_col)
+
+
+def compare_models(docs: DataFrame, doc_tags: DataFrame, id_col: str, label_col: str, vocabulary: DataFrame, names: list[str], k: int = FOLDS) -> DataFrame:
+    """(model, cv_accuracy, cv_std, n, accuracy, macro_precision, macro_recall, macro_f1): folds on the training part, measures on the held-out part."""
+    from . import metrics
+
+    split = stratified_split(docs, id_col, label_col)
+    train, test = split.where("NOT is_test").drop("is_test"), split.where("is_test").drop("is_test")
+    dealt = stratified_folds(train, id_col, label_col, k)
+    words = sorted(r.tag for r in vocabulary.select("tag").collect())  # the features of the library's vectors, a bounded list
+    library, bags = library_models(), None
+    if any(n in library for n in names):
+        bags = vectors(docs, doc_tags, id_col, label_col, words)
+
+    def run(name: str, some: DataFrame, others: DataFrame) -> DataFrame:
+        if name not in library:
+            return bayes_predictions(some, others, doc_tags, id_col, label_col, vocabulary)
+        return train_library(library[name], bags.join(some.select(id_col), id_col), bags.join(others.select(id_col), id_col), id_col)
+
+    out = None
+    for name in names:
+        folds = None
+        for f in range(k):
+            one = run(name, dealt.where(F.col("fold") != f), dealt.where(F.col("fold") == f)).agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a"))
+            folds = one if folds is None else folds.unionByName(one)
+        cv = folds.agg(F.lit(name).alias("model"), F.avg("a").alias("cv_accuracy"), F.stddev_pop("a").alias("cv_std"))
+        row = cv.join(F.broadcast(metrics.summary(run(name, train, test), "label", "prediction")))  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out

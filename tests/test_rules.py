@@ -129,6 +129,22 @@ def test_naive_bayes_numpy(spark):
     assert np.allclose(B.probabilities(scores, "id").groupBy("id").agg(F.sum("probability").alias("s")).toPandas().s, 1)
 
 
+def test_cross_validation_numpy(spark):
+    r = np.random.default_rng(8)
+    x, y = r.random((90, 5)) < 0.5, r.integers(0, 3, 90)
+    docs = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "id int, label int")
+    tags = spark.createDataFrame([(i, f"t{j}") for i in range(90) for j in range(5) if x[i, j]], "id int, tag string")
+    vocabulary = spark.createDataFrame([(f"t{j}",) for j in range(5)], "tag string")
+    fold = B.stratified_folds(docs, "id", "label", 3).toPandas().sort_values("id").fold.to_numpy()
+    got = {q.fold: (q.n, q.accuracy) for q in B.cross_validate(docs, tags, "id", "label", vocabulary, 3).collect()}
+    for f in range(3):
+        a, b = fold != f, fold == f
+        scores = np.stack([np.log((y[a] == c).mean()) + x[b] @ np.log(p) + (1 - x[b]) @ np.log(1 - p) for c in range(3) for p in [(x[a & (y == c)].sum(0) + 1) / ((y[a] == c).sum() + 2)]], 1)
+        assert got[f] == (b.sum(), pytest.approx((scores.argmax(1) == y[b]).mean()))
+    both = B.compare_models(docs, tags, "id", "label", vocabulary, ["naive_bayes", "decision_tree"], k=2).toPandas()
+    assert both.model.tolist() == ["naive_bayes", "decision_tree"] and both.accuracy.between(0, 1).all()
+
+
 def test_dump_and_sinks(spark, tmp_path):
     lines = ["code\tcountries_tags\tcountries\tingredients_text\textra", '007\ten:portugal,en:france\t\t"a ""b"""\tx', "8\t\tPortugal\tNA\tx", "9\ten:spain\tEspaña\tc\tx"]
     with gzip.open(tmp_path / "dump.csv.gz", "wt") as f:
