@@ -44,8 +44,8 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text (end id last) and the text they decode to."""
-    coded = sentencepiece_bpe.encode(docs.select("doc_id", "lang", "source", "text"))
-    return sentencepiece_bpe.decode(coded, text_col="decoded").select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    coded = sentencepiece_bpe.encode(docs.select("doc_id", "lang", "source", "text"), decoded_col="decoded")
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [

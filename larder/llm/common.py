@@ -7,7 +7,11 @@ object is made per word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -168,14 +172,66 @@ def with_checkpoints(spark: SparkSession) -> None:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    with_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written as a table in the shared checkpoint folder and read from there; Spark removes it when it ends.
+
+    Unlike a checkpointed RDD, a table tells its true size; the estimates of loops of joins would multiply without end.
+    """
+    spark = df.sparkSession
+    with_checkpoints(spark)
+    jvm, path = spark.sparkContext._jvm, f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def drop_checkpoint(df: DataFrame) -> None:
+    """Removes the table of a checkpoint() that nothing will read again."""
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._table_path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidy() -> None:
+    """Gives a finished task's free memory back to the machine, as workers wait for the next task and share an executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def widened(docs: DataFrame, kinds: dict[str, str], parts: Callable[[pa.RecordBatch], Iterator[tuple]], done: Callable[[], None] = lambda: None) -> DataFrame:
+    """docs with further columns (or such in place of those of that name): parts gives (first row, row after the last, an array for each) of runs of a batch's rows."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    fields = {k: StructField(k, _parse_datatype_string(v)) for k, v in kinds.items()}
+    schema = StructType([*(fields.get(f.name, f) for f in docs.schema), *(f for k, f in fields.items() if k not in docs.columns)])
+    arrow = to_arrow_schema(schema)
+    own, at = len(docs.columns), [arrow.names.index(k) for k in kinds]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in batches:
+                for lo, hi, *arrays in parts(batch):
+                    columns = [*batch.slice(lo, hi - lo).columns, *[None] * (len(arrow) - own)]
+                    for i, array in zip(at, arrays, strict=True):
+                        columns[i] = array.cast(arrow.types[i])
+                    yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
+        finally:
+            done()
+            tidy()
+
+    return docs.mapInArrow(run, schema)
 
 
 def arrow_map(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array] | None]]) -> DataFrame:
     """Applies make()'s function to each batch of the columns; it returns the arrays of the schema.
 
-    make runs once per task, so what it builds is shared by the batches of a task.
+    make runs once per task, so what it builds is shared by the batches of a task; the function's ``done``, if it has
+    one, is called at the end.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -186,11 +242,15 @@ def arrow_map(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
-        for batch in batches:
-            if batch.num_rows:
-                out = each(batch)
-                for part in [out] if isinstance(out, list) else out:
-                    yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(part, arrow, strict=True)], schema=arrow)
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    out = each(batch)
+                    for part in [out] if isinstance(out, list) else out:
+                        yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(part, arrow, strict=True)], schema=arrow)
+        finally:
+            getattr(each, "done", lambda: None)()
+            tidy()
 
     return df.select(*columns).mapInArrow(run, kind)
 

@@ -13,7 +13,8 @@ into blocks of at most ``block_windows`` windows, each a further pass of the sam
 task holds more than one block. ``block_windows`` thus is the proven bound of what is sent.
 
 Defined results: null or empty text has no words and no hits; an item without words is ignored, one
-with fewer than n words is one window; equal windows of several items count for all of them; equal
+with fewer than n words is one window; equal windows of several items count for all of them; a
+null item id is named by an empty text; equal
 rows get equal results; other columns pass through, whatever their names; an empty benchmark or
 documents table gives no hits or no rows.
 """
@@ -246,7 +247,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", n:
     """docs with merged hit spans (word numbers, flat), hit items (text, distinct) and word count, and those columns' names."""
     names = tuple(C.free_name(docs, x) for x in ("_spans", "_items", "_words"))
     # As many windows as bytes / 2 at most, so a block of so many bytes has no more than block_windows.
-    bench = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
+    bench = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (2 * block_windows)))
     text = C.free_name(docs, "_text")
@@ -273,23 +274,23 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """docs whose texts lose what stands from the first to the last byte of each merged span."""
     found, (spans, *_) = find_spans(docs, benchmark, text_col, n)
 
-    @F.pandas_udf("string")
-    def cut(text, at):
-        import pandas as pd
-
-        out = []
-        for _, _, data, offs in C.slices(pa.array(text, pa.string(), from_pandas=True)):
-            w, body = scan(data, offs), data.tobytes()
-            for r in range(len(offs) - 1):
-                parts, last = [], offs[r]
-                flat = at.iloc[len(out)]
-                for s, e in zip(flat[::2], flat[1::2], strict=True):
-                    parts.append(body[last : w.start[w.first[r] + s]])
-                    last = w.end[w.first[r] + e - 1]
-                out.append(b"".join([*parts, body[last : offs[r + 1]]]).decode())
-        return pd.Series(out, dtype=object)
-
-    return found.withColumn(text_col, F.when(F.size(spans) == 0, F.col(text_col)).otherwise(cut(text_col, spans))).select(*docs.columns)
+    at, of = found.columns.index(text_col), found.columns.index(spans)
+
+    def parts(batch: pa.RecordBatch):
+        texts, hits = batch.column(at), batch.column(of).to_pylist()
+        for lo, hi, data, offs in C.slices(texts):
+            w, body, out = scan(data, offs), data.tobytes(), texts.slice(lo, hi - lo).to_pylist()
+            for r in range(hi - lo):
+                flat = hits[lo + r]
+                if flat:
+                    kept, last = [], offs[r]
+                    for s, e in zip(flat[::2], flat[1::2], strict=True):
+                        kept.append(body[last : w.start[w.first[r] + s]])
+                        last = w.end[w.first[r] + e - 1]
+                    out[r] = b"".join([*kept, body[last : offs[r + 1]]]).decode()
+            yield lo, hi, pa.array(out, pa.string())
+
+    return C.widened(found, {text_col: "string"}, parts).select(*docs.columns)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,8 +136,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     keep_first: a key's first document, in order of id, keeps its lines.
     """
-    keyed = C.arrow_map(docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text")), ["doc", "th", "text"], _KEYED, _rows(min_chars))
-    keyed = keyed.withColumn("doc", F.coalesce("doc", F.lit(-(1 << 63)))).repartitionByRange("h1", "h2", "doc", "th").sortWithinPartitions("h1", "h2", "doc", "th")
+    keyed = C.arrow_map(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text")), ["doc", "th", "text"], _KEYED, _rows(min_chars))
+    keyed = keyed.repartitionByRange("h1", "h2", "doc", "th").sortWithinPartitions("h1", "h2", "doc", "th")
     seen = C.checkpoint(keyed.mapInArrow(_stream(min_docs, keep_first), _SEEN))
     # A key at a border: what waited goes if all partitions together saw enough documents. With keep_first its least document stays.
     totals = seen.where("kind = 2").groupBy("h1", "h2").agg(F.sum("n").alias("total"))
@@ -177,15 +177,16 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with the common lines gone from text_col; a null text stays null."""
     both, name = with_bitmaps(docs, id_col, text_col, **how)
 
-    @F.pandas_udf("string")
-    def kept(text, bitmap):
-        import pandas as pd
+    at, of = both.columns.index(text_col), both.columns.index(name)
 
-        done = _kept(pa.array(text, pa.string(), from_pandas=True), pa.array(bitmap, pa.binary(), from_pandas=True))
-        return pd.Series([x.decode() for _, _, x in done], dtype=object)
+    def parts(batch: pa.RecordBatch):
+        texts, maps = batch.column(at), batch.column(of)
+        for lo, hi, _, _ in C.slices(texts):
+            own = texts.slice(lo, hi - lo)
+            kept = [x.decode() if n else t for (_, n, x), t in zip(_kept(own, maps.slice(lo, hi - lo)), own.to_pylist(), strict=True)]
+            yield lo, hi, pa.array(kept, pa.string())
 
-    cut = F.when(F.col(name).isNull(), F.col(text_col)).otherwise(kept(F.col(text_col), F.col(name)))
-    return both.withColumn(text_col, cut).select(*docs.columns)
+    return C.widened(both, {text_col: "string"}, parts).select(*docs.columns)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,8 @@ class Model:
         self.byte = {int(self.piece[i][1:-1], 16): i for i in kinds if sp.is_byte(i)}
         self.of_byte = {v: k for k, v in self.byte.items()}
         self.end = sp.eos_id()
+        #: What each id stands for in UTF-8.
+        self.raw = [bytes([self.of_byte[i]]) if sp.is_byte(i) else b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.piece)]
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a vocabulary string holds a space mark after another character")
         if len(self.byte) != 256:
@@ -84,18 +86,18 @@ class Model:
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids: space marks become spaces, the dummy prefix goes, wrong bytes become U+FFFD."""
-        out, run = [], bytearray()
-        for i in ids:
-            if i in self.of_byte:
-                run.append(self.of_byte[i])
-                continue
-            if run:
-                out.append(_lenient(bytes(run)))
-                run.clear()
-            if i != self.end and i != self.lib.bos_id():
-                out.append(" ⁇ " if self.lib.is_unknown(i) else self.piece[i])
-        out.append(_lenient(bytes(run)))
-        text = "".join(out).replace(MARK, " ")
+        ids = list(ids)
+        try:
+            text = b"".join([self.raw[i] for i in ids]).decode()
+        except UnicodeDecodeError:  # some run of byte pieces is no character
+            out, run = [], bytearray()
+            for i in ids:
+                if i in self.of_byte:
+                    run.append(self.of_byte[i])
+                else:
+                    out += [_lenient(bytes(run)), self.raw[i].decode()]
+                    run.clear()
+            text = "".join([*out, _lenient(bytes(run))])
         return text[1:] if text.startswith(" ") else text
 
 
@@ -144,7 +146,7 @@ class Backtracker:
         """Whether merging a + b gives a and b."""
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) >= 2_000_000:
+            if len(self.fits) >= MEMORY:
                 self.fits.clear()
             known = self.fits[a, b] = self.m.merge(a + b) == [a, b]
         return known
@@ -193,13 +195,8 @@ class Backtracker:
         return tokens
 
 
-def chunks(text: str) -> list[str]:
-    """Items of the text split at spaces, each line feed opening one; an item that opens with a line feed has no space mark."""
-    return text.replace("\n", " \n").split(" ")
-
-
 def grouped(items: list[str]) -> Iterator[str]:
-    """Chunks proper: runs of marks join the item they stand before."""
+    """Keys of items with empty ones among them: runs of marks join the item they stand before."""
     marks = ""
     for x in items:
         if x[:1] == "\n":
@@ -208,7 +205,7 @@ def grouped(items: list[str]) -> Iterator[str]:
             marks = ""
             yield x
         elif x:
-            yield marks + MARK + x
+            yield marks + MARK + x if marks else x
             marks = ""
         else:
             marks += MARK
@@ -216,45 +213,65 @@ def grouped(items: list[str]) -> Iterator[str]:
         yield marks
 
 
-def marked(text: str) -> list[str]:
-    """The chunks of a text with their marks; an empty text has none. A text's own marks count as spaces, as in the model."""
+def keys(text: str) -> list[str]:
+    """The chunks of a text, by short keys: a plain word stands for a mark and itself; what opens with a line feed or a
+    mark stands for itself. A text's own marks count as spaces, as in the model; an empty text has no chunk."""
     if not text:
         return []
-    items = chunks(text.replace(MARK, " "))
-    if "" in items:
-        return list(grouped(items))
-    return [x if x[:1] == "\n" else MARK + x for x in items]
+    items = text.replace(MARK, " ").replace("\n", " \n").split(" ")
+    return list(grouped(items)) if "" in items else items
+
+
+def chunk(key: str) -> str:
+    return key if key[0] == "\n" or key[0] == MARK else MARK + key
 
 
 class Encoder(dict):
-    """Chunk to (its ids as text, number of ids, its text), encoded when first asked for."""
+    """Key to its ids as text, encoded when first asked for; then it is decoded too and compared."""
 
     def __init__(self, path: str):
         self.m = model(path)
         self.by = Backtracker(self.m)
-        self.old: dict[str, tuple[str, int, str]] = {}
+        self.old: dict[str, str] = {}
+        #: Keys that don't decode to their own chunk, and what they decode to.
+        self.other: dict[str, str] = {}
 
-    def __missing__(self, chunk: str) -> tuple[str, int, str]:
+    def __missing__(self, key: str) -> str:
         if len(self) >= MEMORY:
             self.old = dict(self)
             self.clear()
-        found = self.old.get(chunk)
+        found = self.old.get(key)
         if found is None:
-            tokens = self.by.encode(chunk)
+            tokens = self.by.encode(chunk(key))
             ids = list(map(self.m.ids.get, tokens))
             if None in ids:  # some characters fall back to bytes
                 ids = self.m.to_ids(tokens)
-                # The dummy prefix goes from the whole text's start only, so here it is kept.
-                text = self.m.decode([self.m.ids[MARK], *ids])
-            else:
-                text = "".join([self.m.piece[i] for i in ids]).replace(MARK, " ")
-            found = (" ".join(map(str, ids)), len(ids), text)
-        self[chunk] = found
+            # The dummy prefix goes from the whole text's start only, so here one more is given.
+            text = self.m.decode([self.m.ids[MARK], *ids])
+            if text != chunk(key).replace(MARK, " "):
+                self.other[key] = text
+            found = " ".join(map(str, ids))
+        self[key] = found
         return found
 
+    def both(self, text: str) -> tuple[str, str]:
+        """(ids as text, the end id last; the text that the ids decode to)."""
+        own = keys(text)
+        ids = " ".join([*map(self.__getitem__, own), str(self.m.end)])
+        if self.other:
+            back = "".join([self.other.get(k) or chunk(k).replace(MARK, " ") for k in own])
+            return ids, back[1:] if back.startswith(" ") else back
+        return ids, text.replace(MARK, " ")  # every chunk was seen to decode to itself
+
     def encode(self, text: str) -> list[int]:
         """Ids, the end id last."""
-        return [*(int(i) for c in marked(text) for i in self[c][0].split()), self.m.end]
+        return [int(i) for i in self.both(text)[0].split()]
+
+
+def forget(path: str) -> None:
+    """At a task's end: what was remembered goes, so an idle worker holds no more than the model."""
+    encoder(path).clear()
+    encoder(path).old = {}
 
 
 @functools.lru_cache(2)
@@ -264,37 +281,35 @@ def encoder(path: str) -> Encoder:
 
 
 class Counter(dict):
-    """Chunk to its number of tokens; vocabulary strings proven to encode alone are there from the start."""
+    """Key to its number of tokens; vocabulary strings proven to encode alone are there from the start."""
 
     def __init__(self, path: str):
         self.m = m = model(path)
-        self.proven = [p for p in m.ids if p[0] == MARK and m.merge(p) == [p]]
+        self.proven = [p[1:] or MARK for p in m.ids if p[0] == MARK and p[:2] != MARK * 2 and m.merge(p) == [p]]
         self._start()
 
     def _start(self) -> None:
         self.clear()
         self.update(dict.fromkeys(self.proven, 1))
 
-    def count(self, parts: list[str]) -> int:
-        """Tokens of a text's chunks."""
+    def count(self, own: list[str]) -> int:
+        """Tokens of a text's keys."""
         try:
-            return sum(map(self.__getitem__, parts))
+            return sum(map(self.__getitem__, own))
         except KeyError:
-            self.learn({c for c in parts if c not in self})
-            return sum(map(self.__getitem__, parts))
+            self.learn(own)
+            return sum(map(self.__getitem__, own))
 
-    def learn(self, rest: set[str]) -> None:
-        """Merges chunks, all in one call of the library, which puts a dummy prefix before each."""
-        if len(self) + len(rest) > MEMORY * 4:
+    def learn(self, own: list[str]) -> None:
+        """Merges those unknown, all in one call of the library, which puts a dummy prefix before each."""
+        if len(self) > MEMORY * 2:
             self._start()
+        rest = {k for k in own if k not in self}
         rest = list(rest)
         # A chunk without mark opens with a line feed, with which the prefix can't merge: it is one token more.
-        given = [c if c[0] == "\n" else c[1:].replace(MARK, " ") for c in rest]
-        for c, ids in zip(rest, self.m.lib.encode(given, num_threads=1), strict=True):
-            self[c] = len(ids) - (c[0] == "\n")
-        for c in rest:
-            if c == MARK:
-                self[c] = 1  # the library gives nothing for an empty text
+        given = [k[1:].replace(MARK, " ") if k[0] == MARK else k for k in rest]
+        for k, ids in zip(rest, self.m.lib.encode(given, num_threads=1), strict=True):
+            self[k] = len(ids) - (k[0] == "\n")
 
 
 @functools.lru_cache(2)

@@ -99,6 +99,8 @@ def fit(patterns: list[str], n: np.ndarray, rounds: int = 200, smooth: float = 1
     It starts from rules that are right four times in five; a floor keeps each rule better than chance,
     so good and bad can't change places.
     """
+    if not patterns:
+        return good, np.full((2, 0, 3), 1 / 3), np.empty(0)
     vote = np.array([[int(x) for x in p] for p in patterns], np.int64).reshape(len(patterns), -1)
     one = np.eye(3)[vote]  # pattern x rule x vote
     share = (one * n[:, None, None]).sum(0) / max(n.sum(), 1)

@@ -22,48 +22,54 @@ from . import pieces
 from .token_count import model_path, texts_of
 
 
-def _encoded(column: pa.Array, path: str | None) -> Iterator[tuple[str, int, str]]:
-    """(ids as text with the end id, their number, decoded text) of each row."""
+def _encoded(column: pa.Array, path: str | None) -> Iterator[tuple[str, str]]:
+    """(ids as text with the end id, decoded text) of each row."""
     code = pieces.encoder(model_path(path))
-    end = str(code.m.end)
     for raw in texts_of(column):
-        parts = [code[c] for c in pieces.marked(raw.decode())]
-        text = "".join([p[2] for p in parts])
-        yield " ".join([*[p[0] for p in parts], end]), sum([p[1] for p in parts]) + 1, text[1:] if text.startswith(" ") else text
+        yield code.both(raw.decode())
 
 
-def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, ids_col: str = "ids") -> DataFrame:
-    """docs with the ids (array<int>, end id last) of text_col in ids_col."""
+def _forget(path: str | None) -> None:
+    pieces.forget(model_path(path))
 
-    @F.pandas_udf("array<int>")
-    def ids(text):
-        import pandas as pd
 
-        done = _encoded(pa.array(text, pa.string(), from_pandas=True), path)
-        return pd.Series([np.array(x.split(" "), np.int32) for x, _, _ in done], dtype=object)
+def encode(docs: DataFrame, text_col: str = "text", path: str | None = None, ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """docs with the ids (array<int>, end id last) of text_col in the new column ids_col, and, if named, what they decode to in decoded_col."""
+    at = docs.columns.index(text_col)
 
-    return docs.withColumn(ids_col, ids(text_col))
+    def parts(batch: pa.RecordBatch):
+        m, texts = pieces.model(model_path(path)), C.text_array(batch.column(at))
+        for lo, hi, _, _ in C.slices(texts):
+            own = [np.fromstring(x, np.int32, sep=" ") for x, _ in _encoded(texts.slice(lo, hi - lo), path)]
+            ids = C.nested(np.concatenate(own), np.array([len(x) for x in own]))
+            yield (lo, hi, ids) if decoded_col is None else (lo, hi, ids, pa.array([m.decode(x.tolist()) for x in own], pa.string()))
 
+    return C.widened(docs, {ids_col: "array<int>"} | ({} if decoded_col is None else {decoded_col: "string"}), parts, partial(_forget, path))
 
-def decode(docs: DataFrame, ids_col: str = "ids", path: str | None = None, text_col: str = "text") -> DataFrame:
-    """docs with the text of ids_col in text_col; null ids give an empty text."""
 
-    @F.pandas_udf("string")
-    def text(ids):
-        import pandas as pd
+def decode(docs: DataFrame, ids_col: str = "ids", path: str | None = None, text_col: str = "text", most: int = 500_000) -> DataFrame:
+    """docs with the text of ids_col in the new column text_col; null ids give an empty text. It works on about most ids at a time."""
+    at = docs.columns.index(ids_col)
 
-        m = pieces.model(model_path(path))
-        return pd.Series(["" if x is None else m.decode(x.tolist() if hasattr(x, "tolist") else x) for x in ids], dtype=object)
+    def parts(batch: pa.RecordBatch):
+        m, lists = pieces.model(model_path(path)), batch.column(at)
+        ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+        lo = 0
+        while lo < len(lists):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+            yield lo, hi, pa.array([m.decode(x or []) for x in lists.slice(lo, hi - lo).to_pylist()], pa.string())
+            lo = hi
 
-    return docs.withColumn(text_col, text(ids_col))
+    return C.widened(docs, {text_col: "string"}, parts)
 
 
 def _digests(path: str | None):
     def each(b: pa.RecordBatch) -> list[pa.Array]:
-        rows = [(n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) for ids, n, text in _encoded(b.column(1), path)]
+        rows = [(ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) for ids, text in _encoded(b.column(1), path)]
         n, ids, text = zip(*rows, strict=True)
         return [b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(text)]
 
+    each.done = partial(_forget, path)
     return each
 
 

@@ -230,27 +230,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """docs whose texts lose each repeated run from its first word to the next kept word; others stay unchanged."""
     found, name = repeats(docs, id_col, text_col, n)
 
-    @F.pandas_udf("string")
-    def cut(text, runs):
-        import pandas as pd
-
-        out, runs = [], pa.array(runs, pa.list_(pa.int64()), from_pandas=True)
-        for lo, _, data, offs in C.slices(pa.array(text, pa.string(), from_pandas=True)):
-            w, body = C.Words(data, offs), data.tobytes()
-            gone = _covered(w, lo, runs, n)
-            edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-            for r in range(len(offs) - 1):
+    at, of = found.columns.index(text_col), found.columns.index(name)
+
+    def parts(batch: pa.RecordBatch):
+        texts = batch.column(at)
+        for lo, hi, data, offs in C.slices(texts):
+            w, body, out = C.Words(data, offs), data.tobytes(), texts.slice(lo, hi - lo).to_pylist()
+            gone = _covered(w, lo, batch.column(of), n)
+            for r in range(hi - lo):
                 a, b = w.first[r], w.first[r + 1]
                 keep = ~gone[a:b]
-                if keep.all():
-                    out.append(body[offs[r] : offs[r + 1]].decode())
-                    continue
-                nxt = np.append(w.start[a:b], offs[r + 1])[1:]  # a word goes with the blanks after it
-                out.append((body[offs[r] : w.start[a]] + b"".join(body[s:e] for s, e in zip(w.start[a:b][keep], nxt[keep], strict=True))).decode())
-            del edge
-        return pd.Series(out, dtype=object)
+                if not keep.all():
+                    after = np.append(w.start[a:b], offs[r + 1])[1:]  # a word goes with the blanks after it
+                    out[r] = (body[offs[r] : w.start[a]] + b"".join(body[s:e] for s, e in zip(w.start[a:b][keep], after[keep], strict=True))).decode()
+            yield lo, hi, pa.array(out, pa.string())
 
-    return found.withColumn(text_col, F.when(F.col(name).isNull(), F.col(text_col)).otherwise(cut(text_col, name))).select(*docs.columns)
+    return C.widened(found, {text_col: "string"}, parts).select(*docs.columns)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ def _counter(path: str | None):
         sizes, tokens = [], []
         for raw in texts_of(b.column(b.num_columns - 1)):
             sizes.append(len(raw))
-            tokens.append(count.count(pieces.marked(raw.decode())))
+            tokens.append(count.count(pieces.keys(raw.decode())))
         return [*b.columns[:-1], pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())]
 
     return each
