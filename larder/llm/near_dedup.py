@@ -14,9 +14,14 @@ Copies are one node, by a 64-bit hash of the text. Buckets are range-partitioned
 the first with the same next sketch, and the four before it; borders of partitions are joined by
 their first rows. Pairs that the sizes or a 256-bit parity sketch rule out exactly (a lower bound of
 the symmetric difference) are dropped. First each node's most frequent partner is verified, then
-all other pairs whose nodes are still in different components. Members travel to their hub's text;
-a hub with many members is salted. Components are found by label propagation with pointer jumping;
-only numbers of rows reach the driver.
+all other pairs whose nodes are still in different components. Last, the buckets in which some row
+didn't meet all others and in which several components are left: their rows of different components
+are compared by sizes and parity in blocks of ``BLOCK`` rows a task; rows for which these leave any
+pair meet again with their texts, and each task returns the links that join its components, fewer
+than its rows. So every two texts that share a sketch and are similar enough end in one class, and
+pairs are never written. Members travel to their hub's text; a hub
+with many members is salted. Components are found by label propagation with pointer jumping; only
+numbers of rows reach the driver.
 
 Defined results: texts without words (null and empty ones too) link to equal texts only, null
 counting as empty; equal rows share a class; a null id is passed through, and a class whose ids are
@@ -41,6 +46,7 @@ SHINGLE, SKETCHES, TAKE = 5, 12, 2
 BROADCAST_ROWS = 1_000_000
 SALT = 256  # members of a hub in one task
 BACK = 4  # rows before it that a row meets
+BLOCK = 4096  # rows of a bucket that one task compares with as many others
 _SEEDS = C.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _BUCKET = "i int, s long, s2 long, t long, n long, p0 long, p1 long, p2 long, p3 long"
 
@@ -180,18 +186,123 @@ def _pairs(kind: int, pair: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), kind, np.int32)), pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["kind", "a", "b"])
 
 
-def candidates(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs of nodes with the number of times they met."""
-    at = F.posexplode("sketches").alias("i", "s")
-    rows = nodes.where("n > 0").select("t", "n", "odd", "sketches", at)
-    rows = rows.select("i", "s", F.expr(f"sketches[(i + 1) % {SKETCHES}]").alias("s2"), "t", "n", *(F.col("odd")[j].alias(f"p{j}") for j in range(4)))
+def bucket_rows(nodes: DataFrame) -> DataFrame:
+    """One row for each node and sketch."""
+    rows = nodes.where("n > 0").select("t", "n", "odd", "sketches", F.posexplode("sketches").alias("i", "s"))
+    return rows.select("i", "s", F.expr(f"sketches[(i + 1) % {SKETCHES}]").alias("s2"), "t", "n", *(F.col("odd")[j].alias(f"p{j}") for j in range(4)))
+
+
+def candidates(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(Distinct pairs of nodes with the number of times they met; the runs that cross partitions)."""
     order = ["i", "s", "s2", "t"]
     met = C.checkpoint(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_meet(threshold), "kind int, a long, b long").groupBy("kind", "a", "b").count())
     # A run that crosses partitions: all its first rows there meet the least of them (two rows a partition).
     edge = met.where("kind = 1").select(F.col("a").alias("run"), F.col("b").alias("t"))
     least = edge.groupBy("run").agg(F.min("t").alias("least"))
     crossed = edge.join(F.broadcast(least), "run").where("t <> least").select(F.least("t", "least").alias("a"), F.greatest("t", "least").alias("b"), F.lit(1).cast("long").alias("count"))
-    return met.where("kind = 0").select("a", "b", "count").unionByName(crossed).groupBy("a", "b").agg(F.sum("count").alias("met"))
+    return met.where("kind = 0").select("a", "b", "count").unionByName(crossed).groupBy("a", "b").agg(F.sum("count").alias("met")), edge.select("run").distinct()
+
+
+def _allowed(side, label, t, size, odd, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of different labels that sizes and parity allow; sides 0 and 1 meet, side 2 meets itself."""
+    least = (1 - threshold) / (1 + threshold)
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    for lo in range(0, len(left), 256):
+        i = left[lo : lo + 256]
+        total, apart = size[i][:, None] + size[right], np.abs(size[i][:, None] - size[right])
+        a, b = np.nonzero((label[i][:, None] != label[right]) & (apart <= least * total + 1e-9))
+        far = np.bitwise_count(odd[i[a]] ^ odd[right[b]]).sum(1)
+        near = far <= least * total[a, b] + 1e-9
+        yield i[a[near]], right[b[near]]
+
+
+def _doubtful(threshold: float):
+    """Rows (task, side, label, t, n, parity) sorted by task: those that have any allowed pair in their task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+
+        def tell(cols):
+            _, side, label, t, size, *odd = cols
+            flag = np.zeros(len(t), bool)
+            for a, b in _allowed(side, label, t, size, np.stack(odd, 1).view(np.uint64), threshold):
+                flag[a] = flag[b] = True
+            if flag.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[flag]) for c in cols], names=_DOUBT.replace(" long", "").replace(" int", "").split(", "))
+
+        for batch in batches:
+            cols = [batch.column(j).to_numpy() for j in range(9)]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            cut = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
+            for lo, hi in zip([0, *cut[:-1]], cut, strict=False):
+                yield from tell([c[lo:hi] for c in cols])
+            held = [c[cut[-1] if len(cut) else 0 :] for c in cols]
+        if held is not None:
+            yield from tell(held)
+
+    return run
+
+
+_DOUBT = "task long, side int, label long, t long, n long, p0 long, p1 long, p2 long, p3 long"
+
+
+def _link(threshold: float):
+    """The same rows with their texts: links (a, b) that join components of a task, each at most once, so fewer than its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []  # (columns of a row, labelled shingles) of the task that goes on
+
+        def tell(rows):
+            side, label, t, size = (np.array([r[0][j] for r in rows]) for j in (1, 2, 3, 4))
+            odd = np.array([r[0][5:] for r in rows]).view(np.uint64)
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            found = []
+            for i, j in _allowed(side, label, t, size, odd, threshold):
+                for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                    x, y = root(int(label[a])), root(int(label[b]))
+                    if x != y and similarity(rows[a][1], rows[b][1], threshold) >= threshold - 1e-12:
+                        parent[max(x, y)] = min(x, y)
+                        found.append((min(t[a], t[b]), max(t[a], t[b])))
+            if found:
+                pair = np.array(found, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            cols = np.stack([batch.column(j).to_numpy().astype(np.int64) for j in range(9)], 1)
+            for lo, hi, data, offs in C.slices(batch.column(9)):
+                _, labelled, first = shingles(data, offs)
+                for r in range(lo, hi):
+                    if held and held[0][0][0] != cols[r][0]:
+                        yield from tell(held)
+                        held = []
+                    held.append((cols[r], labelled[first[r - lo] : first[r - lo + 1]].copy()))
+        if held:
+            yield from tell(held)
+
+    return run
+
+
+def unmet(rows: DataFrame, edges: DataFrame, labels: DataFrame, texts, threshold: float) -> DataFrame:
+    """Links (a, b) between components in buckets where not all rows met; texts gives the texts of a frame's nodes t."""
+    named = rows.join(labels, "t", "left").withColumn("label", F.coalesce("label", "t")).withColumn("run", F.col("s").bitwiseXOR(F.col("i").cast("long")))
+    sizes = named.groupBy("i", "s", "run").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    wide = C.checkpoint(sizes.join(F.broadcast(edges.withColumn("edge", F.lit(True))), "run", "left").where(f"edge OR size > {BACK + 1}").select("i", "s", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))  # two edges a partition
+    wide = F.broadcast(wide) if wide.count() <= BROADCAST_ROWS else wide
+    own = named.join(wide, ["i", "s"]).withColumn("b", F.pmod(F.xxhash64("t"), "blocks").cast("int"))
+    sent = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("o") == F.col("b"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1)
+    task = F.xxhash64("i", "s", F.least("b", "o"), F.greatest("b", "o"))
+    sent = sent.select(task.alias("task"), side.alias("side"), "label", "t", "n", "p0", "p1", "p2", "p3")
+    doubt = C.checkpoint(sent.repartition("task").sortWithinPartitions("task").mapInArrow(_doubtful(threshold), _DOUBT).dropDuplicates(["task", "t"]))
+    told = doubt.join(texts(doubt.select("t").distinct()), "t").select("task", "side", "label", "t", "n", "p0", "p1", "p2", "p3", "text")
+    return C.checkpoint(told.repartition("task").sortWithinPartitions("task", "t").mapInArrow(_link(threshold), "a long, b long").distinct())
 
 
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
@@ -259,13 +370,13 @@ def components(edges: DataFrame) -> DataFrame:
     labels = C.checkpoint(both.groupBy(F.col("a").alias("t")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         near = both.join(labels.select(F.col("t").alias("b"), "label"), "b").groupBy(F.col("a").alias("t")).agg(F.min("label").alias("near"))
-        hop = labels.join(near, "t").select("t", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        hop = labels.select("t", "label").join(near, "t").select("t", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("t").alias("label"), F.col("label").alias("further"))
         new = C.checkpoint(hop.join(jump, "label", "left").select("t", F.least("label", F.coalesce("further", "label")).alias("label"), "was"))
-        changed = new.where("label <> was").limit(1).count()
-        labels = new.select("t", "label")
-        if not changed:
-            return labels
+        C.drop_checkpoint(labels)
+        if not new.where("label <> was").limit(1).count():
+            return new.select("t", "label")
+        labels = new
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -275,30 +386,48 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     kind = docs.schema[id_col].dataType.simpleString()
     rows = C.checkpoint(C.arrow_map(each, ["id", "t", "text"], f"id {kind}, t long, n long, sketches array<long>, odd array<long>", lambda: _node_rows))
     nodes = rows.groupBy("t").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.first("odd").alias("odd"), F.min("id").alias("id"))
-    pairs = C.checkpoint(candidates(nodes, threshold))
-    # One text for each node: that of its least id; rows of equal id and text give the same row again, which verifies alike.
-    one = nodes.select("t", F.col("id").alias("least"))
-    involved = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
-    least = C.checkpoint(one.join(involved, "t"))
-    least = F.broadcast(least) if least.count() <= BROADCAST_ROWS else least
-    texts = each.join(least, "t").where(F.col("id").eqNullSafe(F.col("least"))).select("t", "text")
+    buckets = bucket_rows(nodes)
+    pairs, edges = candidates(buckets, threshold)
+    pairs = C.checkpoint(pairs)
+
+    def texts(of: DataFrame) -> DataFrame:
+        """One text for each node t: that of its least id; rows of equal id and text give it again, which verifies alike."""
+        least = C.checkpoint(nodes.select("t", F.col("id").alias("least")).join(of, "t"))
+        least = F.broadcast(least) if least.count() <= BROADCAST_ROWS else least
+        return each.join(least, "t").where(F.col("id").eqNullSafe(F.col("least"))).select("t", "text")
+
+    def ends_of(some: DataFrame) -> DataFrame:
+        return some.select(F.col("a").alias("t")).union(some.select("b")).distinct()
+
     # First each node's most frequent partner.
     ends = pairs.select(F.col("a").alias("t"), F.col("b").alias("other"), "met").unionByName(pairs.select(F.col("b").alias("t"), F.col("a").alias("other"), "met"))
     best = ends.groupBy("t").agg(F.max(F.struct("met", (-F.col("other")).alias("rank"), "other")).alias("best")).select("t", F.col("best.other").alias("other"))
-    first = best.select(F.least("t", "other").alias("a"), F.greatest("t", "other").alias("b")).distinct()
-    first = C.checkpoint(first)
-    labels = components(verified(first, texts, threshold))
-    # Then all others whose ends are still apart.
-    rest = pairs.join(first, ["a", "b"], "left_anti")
-    named = rest.join(labels.select(F.col("t").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("t").alias("b"), F.col("label").alias("lb")), "b", "left")
-    apart = named.where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-    more = verified(apart, texts, threshold)
-    up = more.join(labels.select(F.col("t").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("t").alias("b"), F.col("label").alias("lb")), "b", "left")
-    joined = components(up.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
-    old = labels.withColumnRenamed("label", "old")
-    everyone = old.unionByName(joined.select("t", F.col("t").alias("old"))).distinct()
-    final = everyone.join(joined.withColumnRenamed("t", "old"), "old", "left").groupBy("t").agg(F.min(F.coalesce("label", "old")).alias("label"))
-    return rows.select("id", "t"), C.checkpoint(final)
+    first = C.checkpoint(best.select(F.least("t", "other").alias("a"), F.greatest("t", "other").alias("b")).distinct())
+    labels = components(verified(first, texts(ends_of(first)), threshold))
+    # Then all other pairs whose ends are still apart, and last those of buckets whose rows didn't all meet.
+    rest = C.checkpoint(_apart(pairs.join(first, ["a", "b"], "left_anti"), labels))
+    labels = _joined(labels, verified(rest, texts(ends_of(rest)), threshold))
+    labels = _joined(labels, unmet(buckets, edges, labels, texts, threshold))
+    return rows.select("id", "t"), labels
+
+
+def _named(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs with the labels la and lb of their ends."""
+    la, lb = labels.select(F.col("t").alias("a"), F.col("label").alias("la")), labels.select(F.col("t").alias("b"), F.col("label").alias("lb"))
+    out = pairs.select("a", "b").join(la, "a", "left").join(lb, "b", "left")
+    return out.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    return _named(pairs, labels).where("la <> lb").select("a", "b")
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links."""
+    above = components(_named(links, labels).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    everyone = labels.withColumnRenamed("label", "old").unionByName(above.select("t", F.col("t").alias("old"))).distinct()
+    new = everyone.join(above.withColumnRenamed("t", "old"), "old", "left")
+    return C.checkpoint(new.groupBy("t").agg(F.min(F.coalesce("label", "old")).alias("label")))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
@@ -311,12 +440,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """docs with one row of each class: that of least id (of rows with that id, one)."""
-    t = C.free_name(docs, "_t")
+    t, i2, t2 = (C.free_name(docs, x) for x in ("_t", "_kept_id", "_kept_t"))
     members, labels = classes(docs, id_col, text_col, threshold)
     own = members.join(labels, "t", "left").select("id", "t", F.coalesce("label", "t").alias("label"))
-    kept = own.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "t")).alias("one")).select(F.col("one.id").alias("_id"), F.col("one.t").alias("_node"))
+    kept = own.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "t")).alias("one")).select(F.col("one.id").alias(i2), F.col("one.t").alias(t2))
     keyed = docs.withColumn(t, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(kept, (keyed[t] == kept["_node"]) & keyed[id_col].eqNullSafe(kept["_id"]), "left_semi")
+    joined = keyed.join(kept, (F.col(t) == F.col(t2)) & F.col(id_col).eqNullSafe(F.col(i2)), "left_semi")
     # Rows of equal id and text: one of them.
     return joined.dropDuplicates([id_col, t]).select(*docs.columns)
 
