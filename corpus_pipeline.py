@@ -15,6 +15,16 @@ from larder.llm import common, decontaminate, line_dedup, near_dedup, sentencepi
 TOXIC = 0.7
 
 
+#: Most rows that Spark hands to a Python worker at once: two tasks of an executor, each with buffers on both sides, share its memory.
+BATCH_ROWS = 2000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def _recounted(docs: DataFrame) -> DataFrame:
     """n_chars of the texts as they are now."""
     return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
@@ -22,6 +32,7 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of less than TOXIC stay; the network learns from the labelled rows of docs."""
+    _small_batches(spark)
     net = toxicity.train(docs, common.documents(spark, sf_dir, "labels"), toxicity.teaches())
     scored, name = toxicity.with_score(docs, net)
     return scored.where(F.col(name) < TOXIC).select(*docs.columns)
@@ -29,21 +40,25 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that at least 10 documents hold go from all of them; every document stays."""
+    _small_batches(spark)
     return _recounted(line_dedup.drop_lines(docs, min_docs=10))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate class stays."""
+    _small_batches(spark)
     return near_dedup.drop_near(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 10 words or more of benchmark items go from the texts; every document stays."""
+    _small_batches(spark)
     return _recounted(decontaminate.remove_spans(docs, common.documents(spark, sf_dir, "benchmark")))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text (end id last) and the text they decode to."""
+    _small_batches(spark)
     coded = sentencepiece_bpe.encode(docs.select("doc_id", "lang", "source", "text"), decoded_col="decoded")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
