@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 _M = np.uint64(0x9E3779B97F4A7C15)
 _B = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
 _BI = pow(_B, -1, 1 << 64)
@@ -41,7 +41,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept and grown."""
     p = _powers.get(base)
     if p is None or len(p) < n:
-        p = np.full(max(n, 1 << 16), base, np.uint64)
+        p = np.full(max(n, 1 << 18), base, np.uint64)
         p[0] = 1
         p = _powers[base] = np.multiply.accumulate(p)
     return p[:n]
