@@ -1,17 +1,16 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 The model is an interpolated bigram model over all training tokens. Each n-gram's count is quantised
-to level 1 + floor(log_base(count / unit)) (none below the unit), and the filter holds (n-gram, 1)
-.. (n-gram, level), so repeated membership probes, upwards until one fails, give the level back; a
-false positive can only raise it. The unit is max(1, ceil(N / RESOLUTION)) for N training tokens: a
-fixed relative frequency, so n-grams at or above it number at most RESOLUTION for each order
-whatever the corpus, which with BITS bits for each entry proves the bound of what is broadcast.
-
-How counts move: each batch of documents counts its own tokens and bigrams (sorted fingerprints,
-cut into segments by their high bits) and sends packed runs, not rows, so a word that every document
-holds costs one entry a batch. A task per segment sums the runs, sets the segment's bits of the
-filter, and answers each block of documents with the exact counts of its tokens in the block's own
-order. Documents move once, to meet their block's answers.
+to level 1 + floor(log_base(count)), and the filter holds (n-gram, 1) .. (n-gram, level), so repeated
+membership probes, upwards until one fails, give the level back; a false positive can only raise it.
+Every training unigram and bigram is held at every size of the corpus, so the whole filter has no
+bound and is never put together: it stays in segments of the fingerprints' high bits.
+
+How counts move: each batch counts, for each of its blocks of documents, the block's n-grams (sorted
+fingerprints, cut into segments by their high bits) and sends packed runs, not rows, so a word that
+every document holds costs one entry a block. A task per segment sums the runs, sets the segment's
+bits of the filter, probes them, and answers each block with its n-grams' levels and its tokens'
+exact counts, in the block's own order. Documents move once, to meet their block's answers.
 
 Defined results: null and empty text is the end token alone; a null id teaches and isn't held out;
 equal rows get equal results; without training tokens every count is 0; an empty table gives an
@@ -33,13 +32,13 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BASE, BITS, HASHES = 1.5, 10, 4
-RESOLUTION = 1 << 25
+UNIT = 1  # the least count that has a level
 MOST = 64  # levels
 BLOCK = 2048  # rows
 _END = np.uint64(0x243F6A8885A308D3)
 _PAIR = np.uint64(0xD1B54A32D192ED03)
-_RUN = "kind int, segment long, block long, fps binary, counts binary"
-_ANSWER = "kind int, segment long, block long, body binary, n_distinct long, n_total long"
+_RUN = "segment long, block long, fps binary, counts binary"
+_ANSWER = "kind int, segment long, block long, levels binary, counts binary, n_distinct long, n_total long"
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -72,57 +71,46 @@ def pairs(fps: np.ndarray, first: np.ndarray) -> np.ndarray:
     return C.mix(before * _PAIR ^ fps)
 
 
-def _runs(kind: int, block: int, fps: np.ndarray, counts: np.ndarray, bits: int):
+def _runs(block: int, fps: np.ndarray, counts: np.ndarray, bits: int):
     """One run for each segment that has any."""
     cut = np.searchsorted(fps, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.int64)
     cut = np.append(cut, len(fps))
     for s in np.flatnonzero(np.diff(cut)):
         a, b = cut[s], cut[s + 1]
-        yield kind, int(s), block, _pack(fps[a:b]), _pack(counts[a:b].astype(np.uint32))
+        yield int(s), block, _pack(fps[a:b]), _pack(counts[a:b].astype(np.uint64))
 
 
 def _count(bits: int):
-    """Batches of (block, held, text) to runs: kind 1 a block's tokens with their training counts, kind 2 the batch's training bigrams."""
+    """Batches of (block, held, text) to runs: a block's n-grams, with twice their training counts and one more for tokens."""
 
     def make():
         def each(batch: pa.RecordBatch):
             block, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             own: dict[int, list] = {}
-            two: list[np.ndarray] = []
-            rows: list[tuple] = []
             for lo, hi, data, offs in C.slices(batch.column(2)):
                 fps, first, doc = tokens(data, offs)
+                two = pairs(fps, first)
                 teach = ~held[lo:hi][doc]
                 b = block[lo:hi][doc]
                 for x in np.unique(block[lo:hi]):
                     at = b == x
-                    own.setdefault(int(x), []).append((fps[at], teach[at]))
-                two.append(pairs(fps, first)[teach])
-            for x, parts in own.items():
-                fps, teach = (np.concatenate(p) for p in zip(*parts, strict=True))
-                some, which = np.unique(fps, return_inverse=True)
-                rows.extend(_runs(1, x, some, np.bincount(which, weights=teach, minlength=len(some)), bits))
-            own.clear()
-            some, n = np.unique(np.concatenate(two), return_counts=True)
-            two.clear()
-            rows.extend(_runs(2, 0, some, n, bits))
-            for i in range(0, len(rows), 256):
-                c = list(zip(*rows[i : i + 256], strict=True))
-                yield [pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.binary())]
+                    own.setdefault(int(x), []).append((fps[at], two[at], teach[at]))
+            while own:
+                x, parts = own.popitem()
+                fps, two, teach = (np.concatenate(p) for p in zip(*parts, strict=True))
+                some, which = np.unique(np.concatenate([fps, two]), return_inverse=True)
+                n = np.bincount(which, weights=np.concatenate([teach, teach]), minlength=len(some)).astype(np.uint64) << np.uint64(1)
+                n[which[: len(fps)]] |= np.uint64(1)
+                rows = list(_runs(x, some, n, bits))
+                for i in range(0, len(rows), 256):
+                    c = list(zip(*rows[i : i + 256], strict=True))
+                    yield [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.binary())]
 
         return each
 
     return make
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if not parts:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    fps, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    some, which = np.unique(fps, return_inverse=True)
-    return some, np.bincount(which, weights=n, minlength=len(some)).astype(np.int64)
-
-
 def levels(n: np.ndarray, unit: int) -> np.ndarray:
     with np.errstate(divide="ignore"):
         return np.minimum(np.where(n >= unit, 1 + np.floor(np.log(np.maximum(n, 1) / unit) / math.log(BASE) + 1e-9), 0), MOST).astype(np.int64)
@@ -147,27 +135,34 @@ def segment_bits(fps: np.ndarray, n: np.ndarray, unit: int) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def _segment(unit: int):
-    def run(table: pa.Table) -> pa.Table:
-        kind, block = table["kind"].to_numpy(), table["block"].to_numpy()
-        fps, counts = table["fps"], table["counts"]
-        one: dict[int, list] = {}
-        two = []
-        for i in range(len(kind)):
-            part = (_unpack(fps[i].as_py(), np.uint64), _unpack(counts[i].as_py(), np.uint32))
-            (one.setdefault(int(block[i]), []) if kind[i] == 1 else two).append(part)
-        known, n = _summed([p for x in one.values() for p in x])
-        segment = table["segment"][0].as_py()
-        rows = [(1, segment, b, _pack(n[np.searchsorted(known, np.unique(np.concatenate([p[0] for p in x])))].astype(np.uint32)), 0, 0) for b, x in one.items()]
-        pair, m = _summed(two)
-        teach = n > 0
-        body = segment_bits(np.concatenate([known[teach], pair]), np.concatenate([n[teach], m]), unit)
-        rows.append((0, segment, 0, body.tobytes(), int(teach.sum()), int(n.sum())))
-        c = list(zip(*rows, strict=True))
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.table([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["kind", "segment", "block", "body", "n_distinct", "n_total"])
-
-    return run
+def _segment(table: pa.Table) -> pa.Table:
+    block, fps, counts = table["block"].to_numpy(), table["fps"], table["counts"]
+    blocks: dict[int, list] = {}
+    for i in range(len(block)):
+        blocks.setdefault(int(block[i]), []).append((_unpack(fps[i].as_py(), np.uint64), _unpack(counts[i].as_py(), np.uint64)))
+    # A block's runs of several batches become one.
+    every = {}
+    for b, parts in blocks.items():
+        some, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        both = np.concatenate([p[1] for p in parts])
+        token = np.zeros(len(some), bool)
+        token[which[both & np.uint64(1) > 0]] = True
+        every[b] = some, np.bincount(which, weights=both >> np.uint64(1), minlength=len(some)), token
+    known, which = np.unique(np.concatenate([x[0] for x in every.values()]), return_inverse=True)
+    n = np.bincount(which, weights=np.concatenate([x[1] for x in every.values()]), minlength=len(known)).astype(np.int64)
+    is_token = np.zeros(len(known), bool)
+    is_token[which[np.concatenate([x[2] for x in every.values()])]] = True
+    taught = n > 0
+    level = Filter({0: segment_bits(known[taught], n[taught], UNIT).tobytes()}, 0).level(known).astype(np.uint8)
+    segment, at = table["segment"][0].as_py(), 0
+    rows = [(0, segment, 0, None, None, int((taught & is_token).sum()), int(n[is_token].sum()))]
+    for b, (some, _, token) in every.items():
+        mine = which[at : at + len(some)]
+        at += len(some)
+        rows.append((1, segment, b, _pack(level[mine]), _pack(n[mine[token]].astype(np.uint64)), 0, 0))
+    c = list(zip(*rows, strict=True))
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    return pa.table([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["kind", "segment", "block", "levels", "counts", "n_distinct", "n_total"])
 
 
 class Filter:
@@ -203,30 +198,30 @@ def expected(level: np.ndarray, unit: int) -> np.ndarray:
     return np.where(level > 0, np.maximum(low, low * (1 + BASE) / 2 - 0.5), 0.0)
 
 
-def _scorer(filt, bits: int, unit: int, total: int, distinct: int, smooth: float):
+def _scorer(total: int, distinct: int, smooth: float):
     def run(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        f: Filter = filt.value
         order = np.argsort(answers["segment"].to_numpy(), kind="stable")
-        counts = [_unpack(answers["body"][int(i)].as_py(), np.uint32) for i in order]
-        counts = np.concatenate(counts).astype(np.float64) if counts else np.empty(0)
+        read = lambda name, kind: np.concatenate([np.empty(0, kind), *(_unpack(answers[name][int(i)].as_py(), kind) for i in order)])
+        count, level = read("counts", np.uint64).astype(np.float64), read("levels", np.uint8)
         parts = [tokens(data, offs) for _, _, data, offs in C.slices(docs["text"])]
         known = np.unique(np.concatenate([p[0] for p in parts]))
+        every = np.unique(np.concatenate([known, *(pairs(fps, first) for fps, first, _ in parts)]))
         floor = total + 0.1 * (distinct + 1)
-        base = np.log10((counts + 0.1) / floor)
-        one = expected(f.level(known), unit)  # of a context, and for the lower order
+        base = np.log10((count + 0.1) / floor)
+        many = expected(level, UNIT)
+        one = many[np.searchsorted(every, known)]  # of a context, and for the lower order
         out = []
         for fps, first, doc in parts:
             n = len(first) - 1
             at = np.searchsorted(known, fps)
-            two, which = np.unique(pairs(fps, first), return_inverse=True)
-            both = expected(f.level(two), unit)[which]
+            both = many[np.searchsorted(every, pairs(fps, first))]
             end = one[np.searchsorted(known, _END)]
             before = np.empty(len(fps))
             before[1:] = one[at[:-1]]
             before[first[:-1]] = end
             low = (one[at] + 0.1) / (total + 0.1 * (distinct + 1))
             p = (np.minimum(both, before) + smooth * low) / (before + smooth)
-            out.append((np.diff(first), np.bincount(doc, weights=counts[at] > 0, minlength=n), np.bincount(doc, weights=base[at], minlength=n), np.bincount(doc, weights=np.log10(np.minimum(p, 1.0)), minlength=n)))
+            out.append((np.diff(first), np.bincount(doc, weights=count[at] > 0, minlength=n), np.bincount(doc, weights=base[at], minlength=n), np.bincount(doc, weights=np.log10(np.minimum(p, 1.0)), minlength=n)))
         n, hit, b, s = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table([docs["id"], docs["held"], pa.array(n.astype(np.int64)), pa.array(hit.astype(np.int64)), pa.array(np.full(len(n), total, np.int64)), pa.array(b), pa.array(s)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -235,7 +230,6 @@ def _scorer(filt, bits: int, unit: int, total: int, distinct: int, smooth: float
 
 def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text", smooth: float = 20.0) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score); rows for which held is true teach nothing."""
-    spark = docs.sparkSession
     try:
         block = F.xxhash64("_metadata.file_path", F.expr(f"_metadata.row_index div {BLOCK}"))
         docs.select(block)
@@ -248,25 +242,16 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text",
     each = docs.select(F.col(id_col).alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).alias("text"), block.alias("block"))
     # As many segments as blocks, within bounds: a segment's task holds its share of the runs.
     bits = min(16, max(4, int(size // BLOCK).bit_length()))
-    n_train = C.arrow_map(each.where("NOT held"), ["text"], "n long", lambda: _lengths).agg(F.sum("n")).first()[0] or 0
-    unit = max(1, -(-n_train // RESOLUTION))
     runs = C.arrow_map(each, ["block", "held", "text"], _RUN, _count(bits))
-    answers = C.checkpoint(runs.groupBy("segment").applyInArrow(_segment(unit), _ANSWER))
+    answers = C.checkpoint(runs.groupBy("segment").applyInArrow(_segment, _ANSWER))
     stats = answers.where("kind = 0").agg(F.sum("n_distinct"), F.sum("n_total")).first()
     distinct, total = (stats[0] or 0), (stats[1] or 0)
-    segments = {r.segment: bytes(r.body) for r in answers.where("kind = 0").select("segment", "body").toLocalIterator()}  # bounded: see above
-    filt = spark.sparkContext.broadcast(Filter(segments, bits))
-    del segments
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    back = answers.where("kind = 1").select("block", "segment", "body")
-    scored = each.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scorer(filt, bits, unit, total, distinct, smooth), schema)
+    back = answers.where("kind = 1").select("block", "segment", "levels", "counts")
+    scored = each.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scorer(total, distinct, smooth), schema)
     return scored.withColumnRenamed("id", id_col)
 
 
-def _lengths(batch: pa.RecordBatch) -> list[pa.Array]:
-    return [pa.array([sum(int(tokens(d, o)[1][-1]) for _, _, d, o in C.slices(batch.column(0)))], pa.int64())]
-
-
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of every document; a tenth, by crc32 of the id, is held out."""
     return score(C.documents(spark, sf_dir), C.crc_mod("doc_id", 10) == 0)
