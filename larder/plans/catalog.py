@@ -111,9 +111,9 @@ s AS (SELECT o_orderkey, CASE WHEN allergen = 1 OR list_has_any(w, ['anvil', 'gi
 
 
 def _orders_with_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
     named = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"), "left")
-    per = named.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.concat_ws(",", F.transform(F.collect_list("p_name"), lambda x: F.replace(x, F.lit(" "), F.lit(",")))).alias("tags"), F.max(F.when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1), "en:gluten")).alias("allergens"))
+    per = named.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.concat_ws(",", F.transform(F.collect_list("p_name"), lambda x: F.replace(x, F.lit(" "), F.lit(",")))).alias("tags"), F.max(F.when(F.col("l_returnflag") == "R", "en:gluten")).alias("allergens"))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("labels")).join(per, "o_orderkey", "left")
 
 
