@@ -159,8 +159,7 @@ def text_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT doc_id, md5(trim(regexp_replace(strip_accents(lower(text)), '[^a-z]+', ' ', 'g'))) AS words FROM documents WHERE NOT regexp_matches(text, '[0-9]\s*%')")
 def match_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[0-9]\s*%"))
-    return docs.select("doc_id", F.md5(X.match_string(F.col("text")).cast("binary")).alias("words"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.match_string(F.col("text")).cast("binary")).alias("words"))
 
 
 @query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '-\s*\n\s*', '', 'g'), '[|`~^¬{}\[\]<>©®™§¶]+', ' ', 'g')) AS cleaned FROM documents")
@@ -171,8 +170,7 @@ def ocr_clean_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""SELECT doc_id, md5(array_to_string([x for x in string_split(text, chr(10)) if length(regexp_replace(x, '[^\p{L}]', '', 'g')) >= 8 OR trim(x) = ''], chr(10))) AS kept
 FROM documents WHERE NOT ends_with(text, chr(10))""")
 def ocr_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(~F.endswith("text", F.lit("\n")))
-    return docs.select("doc_id", F.md5(X.drop_short_lines(F.col("text"), 8).cast("binary")).alias("kept"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.drop_short_lines(F.col("text"), 8).cast("binary")).alias("kept"))
 
 
 @query()
@@ -187,18 +185,14 @@ x AS (SELECT doc_id, [trim(s, ' .;:-*•[]') for s in regexp_split_to_array(t, '
 """
 
 
-def _list_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(~F.col("text").rlike("(?i)ingredient|composi[cç][aã]o"))
-
-
 @query(f"WITH {_SEGMENTS_SQL} SELECT doc_id, CAST(len(a) AS INTEGER) AS n, md5(array_to_string(a, '|')) AS digest FROM x")
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _list_docs(spark, sf_dir).select("doc_id", X.segments(F.col("text")).alias("a")).select("doc_id", F.size("a").alias("n"), F.md5(F.array_join("a", "|").cast("binary")).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.segments(F.col("text")).alias("a")).select("doc_id", F.size("a").alias("n"), F.md5(F.array_join("a", "|").cast("binary")).alias("digest"))
 
 
 @query(f"WITH {_SEGMENTS_SQL} SELECT seg, count(*) AS n FROM (SELECT unnest(a) AS seg FROM x) GROUP BY seg HAVING count(*) >= 3")
 def segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _list_docs(spark, sf_dir).select(F.explode(X.segments(F.col("text"))).alias("seg"))
+    rows = table(spark, sf_dir, "documents").select(F.explode(X.segments(F.col("text"))).alias("seg"))
     return rows.groupBy("seg").agg(F.count("*").alias("n")).where("n >= 3")
 
 
