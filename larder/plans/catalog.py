@@ -502,10 +502,10 @@ def tree_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Naive Bayes and a decision tree on the same split; rows only, as trees are approximate."""
+    """Naive Bayes, a decision tree and a random forest on the same split and five folds; rows only, as trees are approximate."""
     status = gluten_status_rows(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.col("status").alias("label"))
     tags = _orders_with_tags(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.explode(X.tag_list(F.col("tags"))).alias("tag"))
-    return B.compare_models(status, tags, "id", "label", B.document_frequency(tags, "id", "tag"), ["naive_bayes", "decision_tree"], k=2)
+    return B.compare_models(status, tags, "id", "label", B.document_frequency(tags, "id", "tag"), ["naive_bayes", "decision_tree", "random_forest"])
 
 
 # Stated label texts, end to end.
