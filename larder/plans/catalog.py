@@ -495,7 +495,7 @@ def tree_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = gluten_status_rows(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.col("status").alias("label"))
     tags = _orders_with_tags(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.explode(X.tag_list(F.col("tags"))).alias("tag"))
     split = B.stratified_split(status, "id", "label")
-    vocabulary = [r.tag for r in B.document_frequency(tags, "id", "tag").select("tag").limit(5000).collect()]
+    vocabulary = [r.tag for r in B.document_frequency(tags, "id", "tag").select("tag").collect()]
     bags = B.vectors(split, tags, "id", "label", vocabulary).join(split.select("id", "is_test"), "id")
     return B.train_library(B.library_models()["decision_tree"], bags.where("NOT is_test"), bags.where("is_test"), "id")
 
