@@ -69,11 +69,12 @@ def normalize_blanks(c: Column) -> Column:
 def digits_to_letters(c: Column) -> Column:
     """In words of three ASCII letters and digits or more, 0 1 5 8 between letters become o l s b; neighbours are judged as given."""
     # Neighbours must be letters, so no two replaced digits touch, and the order of replacements doesn't matter.
+    # A match starts at a word's start or, by \G, where the one before it in the same word ended.
     edge, end = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
     out = c
     for digit, letter in DIGIT_LETTERS.items():
-        out = _re(out, rf"(?<={edge}[a-zA-Z0-9]{{0,40}}[a-zA-Z]){digit}(?=[a-zA-Z][a-zA-Z0-9]*{end})", letter)
-    # Looking back is dear, and few texts have a digit between letters.
+        out = _re(out, rf"(?:{edge}(?=[a-zA-Z0-9]{{3,}}{end})|\G(?<=[a-zA-Z0-9]))([a-zA-Z0-9]*?[a-zA-Z]){digit}(?=[a-zA-Z])", f"$1{letter}")
+    # Few texts have a digit between letters.
     return F.when(c.rlike("[a-zA-Z][0158][a-zA-Z]"), out).otherwise(c)
 
 
