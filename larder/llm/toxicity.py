@@ -49,7 +49,7 @@ class Inputs:
         padded = np.append(low, np.zeros(8, np.uint8))
         wide = lambda i: padded[i].astype(np.uint64)
         owner, key = [], []
-        count = np.minimum(size, 40)
+        count = size
         at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         who = np.repeat(np.arange(self.n_words), count)
         begin, left = start[who] + at, size[who] - at
