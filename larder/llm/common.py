@@ -196,7 +196,7 @@ def drop_checkpoint(df: DataFrame) -> None:
 
 def tidy() -> None:
     """Gives a finished task's free memory back to the machine, as workers wait for the next task and share an executor's memory."""
-    gc.collect()
+    gc.collect(1)
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # only some C libraries have it
         ctypes.CDLL(None).malloc_trim(0)

@@ -9,19 +9,23 @@ m the longest common subsequence within the band that the threshold leaves, foun
 increasing run of matched places. Texts with similarity >= ``threshold`` (0.8) are linked; classes
 are the connected components. A pair at the threshold shares a sketch with probability over 0.99999.
 
-Copies are one node, by a 64-bit hash of the text. Buckets are range-partitioned runs of sorted rows
-(sketch, next sketch, node), so a hot bucket spreads over partitions. A row meets the run's first row,
-the first with the same next sketch, and the four before it; borders of partitions are joined by
-their first rows. Pairs that the sizes or a 256-bit parity sketch rule out exactly (a lower bound of
-the symmetric difference) are dropped. First each node's most frequent partner is verified, then
-all other pairs whose nodes are still in different components. Last, the buckets in which some row
-didn't meet all others and in which several components are left: their rows of different components
-are compared by sizes and parity in blocks of ``BLOCK`` rows a task; rows for which these leave any
-pair meet again with their texts, and each task returns the links that join its components, fewer
-than its rows. So every two texts that share a sketch and are similar enough end in one class, and
-pairs are never written. Members travel to their hub's text; a hub
-with many members is salted. Components are found by label propagation with pointer jumping; only
-numbers of rows reach the driver.
+Copies are one node, by a 128-bit hash of the text; nodes are numbered, so no later step can mix two
+texts up. Buckets are range-partitioned runs of sorted rows (sketch, next sketch, node), so a hot
+bucket spreads over partitions. A row meets the run's first row, the first with the same next sketch,
+and the four before it; borders of partitions are joined by their first rows. Pairs that the sizes or
+a 256-bit parity sketch rule out exactly (a lower bound of the symmetric difference) are dropped.
+First each node's most frequent partner is verified, then all other pairs whose nodes are still
+apart. Members travel to their hub's text; a hub with many members is salted.
+
+Last come the buckets in which some row didn't meet all others and in which several components are
+left. Two texts of similarity s have sizes within the factor s, so a bucket is cut into size classes
+of that width and a class meets itself and the next one only. Rows for which sizes and parity leave
+no partner of another component are dropped; the others meet again with their shingles. A task counts
+the shingles that a row of a smaller component shares with all others at once, by an inverted index,
+and aligns only what shares enough; it returns the links that join its components, fewer than its
+rows. A class of more than ``BLOCK`` rows or ``WEIGHT`` shingles is compared in blocks. So every two
+texts that share a sketch and are similar enough end in one class, and pairs are never written.
+Components are found by label propagation with pointer jumping; only numbers of rows reach the driver.
 
 Defined results: texts without words (null and empty ones too) link to equal texts only, null
 counting as empty; equal rows share a class; a null id is passed through, and a class whose ids are
@@ -46,7 +50,8 @@ SHINGLE, SKETCHES, TAKE = 5, 12, 2
 BROADCAST_ROWS = 1_000_000
 SALT = 256  # members of a hub in one task
 BACK = 4  # rows before it that a row meets
-BLOCK = 4096  # rows of a bucket that one task compares with as many others
+#: Rows and labelled shingles of a size class of a bucket that one task compares with as many others.
+BLOCK, WEIGHT = 4096, 1 << 21
 _SEEDS = C.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 _BUCKET = "i int, s long, s2 long, t long, n long, p0 long, p1 long, p2 long, p3 long"
 
@@ -109,16 +114,16 @@ def parity(labelled: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _node_rows(batch: pa.RecordBatch) -> list[pa.Array]:
-    """(id, node, shingles, sketches, parity)."""
+    """(id, text hashes, shingles, sketches, parity)."""
     size, sketches, odd = [], [], []
-    for _, _, data, offs in C.slices(batch.column(2)):
+    for _, _, data, offs in C.slices(batch.column(3)):
         h, labelled, first = shingles(data, offs)
         size.append(np.diff(first))
         sketches.append(sketch(h, labelled, first).view(np.int64))
         odd.append(parity(labelled, first).view(np.int64))
     size, sketches, odd = (np.concatenate(x) for x in (size, sketches, odd))
     n = batch.num_rows
-    return [batch.column(0), batch.column(1), pa.array(size), C.nested(sketches.ravel(), np.full(n, SKETCHES)), C.nested(odd.ravel(), np.full(n, 4))]
+    return [*batch.columns[:3], pa.array(size), C.nested(sketches.ravel(), np.full(n, SKETCHES)), C.nested(odd.ravel(), np.full(n, 4))]
 
 
 def _meet(threshold: float):
@@ -247,61 +252,86 @@ def _doubtful(threshold: float):
 _DOUBT = "task long, side int, label long, t long, n long, p0 long, p1 long, p2 long, p3 long"
 
 
-def _link(threshold: float):
-    """The same rows with their texts: links (a, b) that join components of a task, each at most once, so fewer than its rows."""
+def joining(side, label, t, size, shingles_of: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links (a, b) that join the components of a task's rows, each at most once, so fewer than its rows."""
+    n = len(t)
+    _, comp = np.unique(label, return_inverse=True)
+    flat, row = np.concatenate(shingles_of), np.repeat(np.arange(n), size)
+    _, which, often = np.unique(flat, return_inverse=True, return_counts=True)
+    post = row[np.argsort(which, kind="stable")]  # the rows of each shingle
+    start, first = np.cumsum(often) - often, np.cumsum(size) - size
+    left, right = side != 1, side != 0
+    found = []
+    # A pair of different components has a row outside the largest one.
+    for i in np.flatnonzero(comp != np.bincount(comp).argmax()):
+        own = which[first[i] : first[i] + size[i]]
+        own = own[often[own] > 1]
+        m = often[own]
+        at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(start[own], m)
+        shared = np.bincount(post[at], minlength=n)
+        meets = (left[i] & right) | (right[i] & left)
+        enough = np.flatnonzero(meets & (comp != comp[i]) & (shared + 1e-9 >= threshold * (size[i] + size) / (1 + threshold)))
+        for j in enough[np.argsort(-shared[enough], kind="stable")].tolist():
+            if comp[i] != comp[j] and similarity(shingles_of[i], shingles_of[j], threshold) >= threshold - 1e-12:
+                comp[comp == comp[j]] = comp[i]
+                found.append((min(t[i], t[j]), max(t[i], t[j])))
+        if (comp == comp[0]).all():
+            break
+    return found
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []  # (columns of a row, labelled shingles) of the task that goes on
 
-        def tell(rows):
-            side, label, t, size = (np.array([r[0][j] for r in rows]) for j in (1, 2, 3, 4))
-            odd = np.array([r[0][5:] for r in rows]).view(np.uint64)
-            parent: dict[int, int] = {}
+def _link(threshold: float):
+    """Rows of _doubtful with their texts, sorted by task: links (a, b)."""
 
-            def root(x: int) -> int:
-                while parent.get(x, x) != x:
-                    x = parent[x]
-                return x
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # (task, side, label, t, labelled shingles) of the task that goes on
 
-            found = []
-            for i, j in _allowed(side, label, t, size, odd, threshold):
-                for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                    x, y = root(int(label[a])), root(int(label[b]))
-                    if x != y and similarity(rows[a][1], rows[b][1], threshold) >= threshold - 1e-12:
-                        parent[max(x, y)] = min(x, y)
-                        found.append((min(t[a], t[b]), max(t[a], t[b])))
+        def tell() -> Iterator[pa.RecordBatch]:
+            _, side, label, t, own = zip(*held, strict=True)
+            found = joining(np.array(side), np.array(label), np.array(t), np.array([len(x) for x in own]), list(own), threshold)
+            held.clear()
             if found:
                 pair = np.array(found, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            cols = np.stack([batch.column(j).to_numpy().astype(np.int64) for j in range(9)], 1)
-            for lo, hi, data, offs in C.slices(batch.column(9)):
+            cols = [batch.column(j).to_pylist() for j in range(4)]
+            for lo, hi, data, offs in C.slices(batch.column(4)):
                 _, labelled, first = shingles(data, offs)
                 for r in range(lo, hi):
-                    if held and held[0][0][0] != cols[r][0]:
-                        yield from tell(held)
-                        held = []
-                    held.append((cols[r], labelled[first[r - lo] : first[r - lo + 1]].copy()))
+                    if held and held[0][0] != cols[0][r]:
+                        yield from tell()
+                    held.append((*(c[r] for c in cols), labelled[first[r - lo] : first[r - lo + 1]].copy()))
         if held:
-            yield from tell(held)
+            yield from tell()
 
     return run
 
 
-def unmet(rows: DataFrame, edges: DataFrame, labels: DataFrame, texts, threshold: float) -> DataFrame:
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """Marked for broadcast where its rows (a few numbers each) are counted and few."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def unmet(buckets: DataFrame, edges: DataFrame, labels: DataFrame, texts, threshold: float) -> DataFrame:
     """Links (a, b) between components in buckets where not all rows met; texts gives the texts of a frame's nodes t."""
-    named = rows.join(labels, "t", "left").withColumn("label", F.coalesce("label", "t")).withColumn("run", F.col("s").bitwiseXOR(F.col("i").cast("long")))
+    run = F.col("s").bitwiseXOR(F.col("i").cast("long"))
+    named = buckets.join(_few(labels, labels.count()), "t", "left").withColumn("label", F.coalesce("label", "t")).withColumn("run", run)
     sizes = named.groupBy("i", "s", "run").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    wide = C.checkpoint(sizes.join(F.broadcast(edges.withColumn("edge", F.lit(True))), "run", "left").where(f"edge OR size > {BACK + 1}").select("i", "s", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))  # two edges a partition
-    wide = F.broadcast(wide) if wide.count() <= BROADCAST_ROWS else wide
-    own = named.join(wide, ["i", "s"]).withColumn("b", F.pmod(F.xxhash64("t"), "blocks").cast("int"))
-    sent = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("o") == F.col("b"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1)
-    task = F.xxhash64("i", "s", F.least("b", "o"), F.greatest("b", "o"))
-    sent = sent.select(task.alias("task"), side.alias("side"), "label", "t", "n", "p0", "p1", "p2", "p3")
-    doubt = C.checkpoint(sent.repartition("task").sortWithinPartitions("task").mapInArrow(_doubtful(threshold), _DOUBT).dropDuplicates(["task", "t"]))
-    told = doubt.join(texts(doubt.select("t").distinct()), "t").select("task", "side", "label", "t", "n", "p0", "p1", "p2", "p3", "text")
+    wide = C.checkpoint(sizes.join(F.broadcast(edges.withColumn("edge", F.lit(True))), "run", "left").where(f"edge OR size > {BACK + 1}").select("i", "s"))  # two edges a partition
+    # Class c holds its own rows (side 2) and those of the next class (side 1), which meet the former only.
+    own = named.join(_few(wide, wide.count()), ["i", "s"]).withColumn("c", F.floor(F.log("n") / np.log(1 / threshold)).cast("int"))
+    own = own.select("i", "s", "label", "t", "n", "p0", "p1", "p2", "p3", F.expr("explode(array(named_struct('c', c, 'up', 0), named_struct('c', c - 1, 'up', 1))) AS at")).select("*", "at.*").drop("at")
+    groups = own.groupBy("i", "s", "c").agg(F.min("up").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("weight"))
+    groups = C.checkpoint(groups.where("least = 0 AND lo <> hi").select("i", "s", "c", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("weight") / WEIGHT)).cast("int").alias("blocks")))
+    own = own.join(_few(groups, groups.count()), ["i", "s", "c"]).withColumn("b", F.pmod(F.xxhash64("t"), "blocks").cast("int"))
+    # Block p meets block q: p's own rows are on the left, q's own ones, if p < q, and q's of the next class on the right.
+    upper = "transform(sequence(0, blocks - 1), o -> named_struct('p', o, 'q', b, 'side', 1))"
+    lower = "concat(transform(sequence(0, blocks - 1), o -> named_struct('p', b, 'q', o, 'side', if(o = b, 2, 0))), filter(transform(sequence(0, blocks - 1), o -> named_struct('p', o, 'q', b, 'side', 1)), x -> x.p < b))"
+    sent = own.withColumn("to", F.explode(F.expr(f"if(up = 1, {upper}, {lower})")))
+    sent = sent.select(F.xxhash64("i", "s", "c", "to.p", "to.q").alias("task"), F.col("to.side").alias("side"), "label", "t", "n", "p0", "p1", "p2", "p3")
+    doubt = C.checkpoint(sent.repartition("task").sortWithinPartitions("task").mapInArrow(_doubtful(threshold), _DOUBT).select("task", "side", "label", "t"))
+    told = doubt.join(texts(doubt.select("t").distinct()), "t").select("task", "side", "label", "t", "text")
     return C.checkpoint(told.repartition("task").sortWithinPartitions("task", "t").mapInArrow(_link(threshold), "a long, b long").distinct())
 
 
@@ -350,69 +380,94 @@ def _verify(threshold: float):
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts (t, text; one row a node) are similar enough."""
+def verified(pairs: DataFrame, texts, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are similar enough; texts gives the texts of a frame's nodes t."""
     pairs = C.checkpoint(pairs.select("a", "b"))
     number = pairs.count()
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).alias("salts"))
-    routed = pairs.join(many, "a").select(F.col("b").alias("t"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
-    hubs = many.select(F.col("a").alias("t"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))).alias("salt"))
-    routes = routed.unionByName(hubs)
-    if number <= BROADCAST_ROWS:
-        routes = F.broadcast(routes)
-    sent = texts.join(routes, "t").select("hub", "salt", (F.col("t") != F.col("hub")).alias("member"), "t", "text")
+    salted = pairs.groupBy("a").count().where(F.col("count") > SALT).select("a", F.ceil(F.col("count") / SALT).cast("int").alias("salts"))  # pairs / SALT at most
+    several = pairs.join(_few(salted, number // SALT), "a", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    routed = several.select(F.col("b").alias("t"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
+    hubs = several.select("a", "salts").distinct().select(F.col("a").alias("t"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    routes = _few(routed.unionByName(hubs), 2 * number)
+    ends = pairs.select(F.col("a").alias("t")).union(pairs.select("b")).distinct()
+    sent = texts(ends).join(routes, "t").select("hub", "salt", (F.col("t") != F.col("hub")).alias("member"), "t", "text")
     return C.checkpoint(sent.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member", "t").mapInArrow(_verify(threshold), "a long, b long"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(t, label) of all nodes of the edges (a, b): label is the component's least node."""
-    both = C.checkpoint(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = C.checkpoint(both.groupBy(F.col("a").alias("t")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("t").alias("b"), "label"), "b").groupBy(F.col("a").alias("t")).agg(F.min("label").alias("near"))
-        hop = labels.select("t", "label").join(near, "t").select("t", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("t").alias("label"), F.col("label").alias("further"))
-        new = C.checkpoint(hop.join(jump, "label", "left").select("t", F.least("label", F.coalesce("further", "label")).alias("label"), "was"))
+#: Rows of a table of node numbers in one task, where a shuffle's partitions would be smaller.
+PACK = 200_000
+
+
+def _packed(df: DataFrame, rows: int) -> DataFrame:
+    """df in fewer partitions if its rows don't fill those of a shuffle."""
+    few = max(12, -(-rows // PACK))
+    return df.coalesce(few) if few < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(t, label) of all nodes of the edges (a, b): label is the component's least node, or, after so many rounds, some node of it."""
+    edges = edges.select("a", "b")
+    number = edges.count()
+    both = C.checkpoint(_packed(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), 2 * number))
+    labels = C.checkpoint(_packed(both.groupBy(F.col("a").alias("t")).agg(F.least(F.min("b"), F.first("a")).alias("label")), 2 * number))
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
+        known = _few(labels, 2 * number)
+        told = both.join(known.select(F.col("t").alias("b"), "label"), "b").select(F.col("a").alias("t"), "label", F.lit(None).cast("long").alias("was"))
+        hop = labels.select("t", "label", F.col("label").alias("was")).unionByName(told).groupBy("t").agg(F.min("label").alias("label"), F.max("was").alias("was"))
+        jump = known.select(F.col("t").alias("label"), F.col("label").alias("further"))
+        new = C.checkpoint(_packed(hop.join(jump, "label", "left").select("t", F.least("label", F.coalesce("further", "label")).alias("label"), "was"), 2 * number))
         C.drop_checkpoint(labels)
+        labels = new.select("t", "label")
+        labels._table_path = new._table_path
         if not new.where("label <> was").limit(1).count():
-            return new.select("t", "label")
-        labels = new
+            break
+    return labels
+
 
+def _hashes(column: str):
+    """Two columns of 64 bits each that name a text; null counts as empty."""
+    text = F.coalesce(F.col(column), F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit("another"), text)
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """((id, t) of each row, (t, label) of the nodes that are linked to others)."""
-    t = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    each = docs.select(F.col(id_col).alias("id"), t.alias("t"), F.col(text_col).alias("text"))
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """(id, h1, h2, c1, c2) of each row: its text's hashes, and those of a text that names its class."""
+    h1, h2 = _hashes(text_col)
+    each = docs.select(F.col(id_col).alias("id"), h1.alias("h1"), h2.alias("h2"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = C.checkpoint(C.arrow_map(each, ["id", "t", "text"], f"id {kind}, t long, n long, sketches array<long>, odd array<long>", lambda: _node_rows))
-    nodes = rows.groupBy("t").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.first("odd").alias("odd"), F.min("id").alias("id"))
+    rows = C.checkpoint(C.arrow_map(each, ["id", "h1", "h2", "text"], f"id {kind}, h1 long, h2 long, n long, sketches array<long>, odd array<long>", lambda: _node_rows))
+    nodes = rows.groupBy("h1", "h2").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.first("odd").alias("odd"), F.min("id").alias("id"))
+    nodes = C.checkpoint(nodes.withColumn("t", F.monotonically_increasing_id()))  # written, so a node keeps its number
     buckets = bucket_rows(nodes)
     pairs, edges = candidates(buckets, threshold)
     pairs = C.checkpoint(pairs)
 
     def texts(of: DataFrame) -> DataFrame:
         """One text for each node t: that of its least id; rows of equal id and text give it again, which verifies alike."""
-        least = C.checkpoint(nodes.select("t", F.col("id").alias("least")).join(of, "t"))
-        least = F.broadcast(least) if least.count() <= BROADCAST_ROWS else least
-        return each.join(least, "t").where(F.col("id").eqNullSafe(F.col("least"))).select("t", "text")
-
-    def ends_of(some: DataFrame) -> DataFrame:
-        return some.select(F.col("a").alias("t")).union(some.select("b")).distinct()
+        least = C.checkpoint(nodes.select("t", "h1", "h2", F.col("id").alias("least")).join(of, "t"))
+        return each.join(_few(least, least.count()), ["h1", "h2"]).where(F.col("id").eqNullSafe(F.col("least"))).select("t", "text")
 
     # First each node's most frequent partner.
     ends = pairs.select(F.col("a").alias("t"), F.col("b").alias("other"), "met").unionByName(pairs.select(F.col("b").alias("t"), F.col("a").alias("other"), "met"))
     best = ends.groupBy("t").agg(F.max(F.struct("met", (-F.col("other")).alias("rank"), "other")).alias("best")).select("t", F.col("best.other").alias("other"))
     first = C.checkpoint(best.select(F.least("t", "other").alias("a"), F.greatest("t", "other").alias("b")).distinct())
-    labels = components(verified(first, texts(ends_of(first)), threshold))
-    # Then all other pairs whose ends are still apart, and last those of buckets whose rows didn't all meet.
-    rest = C.checkpoint(_apart(pairs.join(first, ["a", "b"], "left_anti"), labels))
-    labels = _joined(labels, verified(rest, texts(ends_of(rest)), threshold))
+    links = verified(first, texts, threshold)
+    # Then all other pairs that a few rounds leave apart, and last those of buckets whose rows didn't all meet.
+    rest = _apart(pairs.join(_few(first, first.count()), ["a", "b"], "left_anti"), components(links, 2))
+    labels = components(links.unionByName(verified(rest, texts, threshold)))
     labels = _joined(labels, unmet(buckets, edges, labels, texts, threshold))
-    return rows.select("id", "t"), labels
+    named = nodes.select(F.col("t"), "h1", "h2")
+    linked = labels.join(named, "t").join(named.select(F.col("t").alias("label"), F.col("h1").alias("c1"), F.col("h2").alias("c2")), "label").select("h1", "h2", "c1", "c2")
+    linked = C.checkpoint(linked)
+    found = rows.select("id", "h1", "h2").join(_few(linked, linked.count()), ["h1", "h2"], "left")
+    return found.select("id", "h1", "h2", F.coalesce("c1", "h1").alias("c1"), F.coalesce("c2", "h2").alias("c2"))
 
 
 def _named(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs with the labels la and lb of their ends."""
+    labels = _few(labels, labels.count())
     la, lb = labels.select(F.col("t").alias("a"), F.col("label").alias("la")), labels.select(F.col("t").alias("b"), F.col("label").alias("lb"))
     out = pairs.select("a", "b").join(la, "a", "left").join(lb, "b", "left")
     return out.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
@@ -425,29 +480,28 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The labels after further links."""
     above = components(_named(links, labels).select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    everyone = labels.withColumnRenamed("label", "old").unionByName(above.select("t", F.col("t").alias("old"))).distinct()
-    new = everyone.join(above.withColumnRenamed("t", "old"), "old", "left")
+    everyone = labels.withColumnRenamed("label", "old").unionByName(above.select("t", F.col("t").alias("old")))
+    new = everyone.join(_few(above, above.count()).withColumnRenamed("t", "old"), "old", "left")
     return C.checkpoint(new.groupBy("t").agg(F.min(F.coalesce("label", "old")).alias("label")))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """(id, class_id, class_size) of each row: the least id and the number of rows of its class."""
-    members, labels = classes(docs, id_col, text_col, threshold)
-    own = members.join(labels, "t", "left").select("id", F.coalesce("label", "t").alias("label"))
-    sizes = own.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    return own.join(sizes, "label").select(F.col("id").alias(id_col), "class_id", "class_size")
+    own = classes(docs, id_col, text_col, threshold)
+    sizes = own.groupBy("c1", "c2").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
+    return own.join(sizes, ["c1", "c2"]).select(F.col("id").alias(id_col), "class_id", "class_size")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """docs with one row of each class: that of least id (of rows with that id, one)."""
-    t, i2, t2 = (C.free_name(docs, x) for x in ("_t", "_kept_id", "_kept_t"))
-    members, labels = classes(docs, id_col, text_col, threshold)
-    own = members.join(labels, "t", "left").select("id", "t", F.coalesce("label", "t").alias("label"))
-    kept = own.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "t")).alias("one")).select(F.col("one.id").alias(i2), F.col("one.t").alias(t2))
-    keyed = docs.withColumn(t, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(kept, (F.col(t) == F.col(t2)) & F.col(id_col).eqNullSafe(F.col(i2)), "left_semi")
+    h1, h2, i2, a2, b2 = (C.free_name(docs, x) for x in ("_h1", "_h2", "_kept_id", "_kept_h1", "_kept_h2"))
+    one = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "h1", "h2")).alias("one")
+    kept = classes(docs, id_col, text_col, threshold).groupBy("c1", "c2").agg(one).select(F.col("one.id").alias(i2), F.col("one.h1").alias(a2), F.col("one.h2").alias(b2))
+    first, second = _hashes(text_col)
+    keyed = docs.withColumn(h1, first).withColumn(h2, second)
+    joined = keyed.join(kept, (F.col(h1) == F.col(a2)) & (F.col(h2) == F.col(b2)) & F.col(id_col).eqNullSafe(F.col(i2)), "left_semi")
     # Rows of equal id and text: one of them.
-    return joined.dropDuplicates([id_col, t]).select(*docs.columns)
+    return joined.dropDuplicates([id_col, h1, h2]).select(*docs.columns)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
