@@ -40,81 +40,103 @@ def line_keys(text: bytes, min_chars: int) -> list[tuple[int, bytes]]:
 
 
 def _rows(min_chars: int):
-    def make():
-        def each(batch: pa.RecordBatch) -> list[pa.Array]:
-            docs, ths = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
-            h, of, lines, sizes = [], [], [], []
-            for lo, _, data, offs in C.slices(batch.column(2)):
-                body = data.tobytes()
-                for r in range(len(offs) - 1):
-                    own: dict[bytes, list[int]] = {}
-                    for i, k in line_keys(body[offs[r] : offs[r + 1]], min_chars):
-                        own.setdefault(k, []).append(i)
-                    for k, at in own.items():
-                        h.append(xxhash.xxh3_128_digest(k))
-                        of.append(lo + r)
-                        lines += at
-                        sizes.append(len(at))
-            two = np.frombuffer(b"".join(h), np.int64).reshape(-1, 2)
-            of = np.array(of, np.int64)
-            return [pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(docs[of]), pa.array(ths[of]), C.nested(np.array(lines, np.int32), np.array(sizes, np.int64))]
-
-        return each
-
-    return make
+    """A row for each document and different key, slice by slice."""
+
+    def each(batch: pa.RecordBatch) -> Iterator[list[pa.Array]]:
+        docs, ths = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+        for lo, _, data, offs in C.slices(batch.column(2)):
+            body, h, of, lines, sizes = data.tobytes(), [], [], [], []
+            for r in range(len(offs) - 1):
+                own: dict[bytes, list[int]] = {}
+                for i, k in line_keys(body[offs[r] : offs[r + 1]], min_chars):
+                    own.setdefault(k, []).append(i)
+                for k, at in own.items():
+                    h.append(xxhash.xxh3_128_digest(k))
+                    of.append(lo + r)
+                    lines += at
+                    sizes.append(len(at))
+            if h:
+                two, of = np.frombuffer(b"".join(h), np.int64).reshape(-1, 2), np.array(of, np.int64)
+                yield [pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(docs[of]), pa.array(ths[of]), C.nested(np.array(lines, np.int32), np.array(sizes, np.int64))]
+
+    return lambda: each
+
+
+def _changes(last: tuple, *columns: np.ndarray) -> np.ndarray:
+    """Flags of rows that differ from the one before; last stands before the first (empty: nothing does)."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    new[0] = not last or last != tuple(int(c[0]) for c in columns)
+    return new
 
 
 def _stream(min_docs: int, keep_first: bool):
     """Over sorted rows: kind 0 is settled (its lines go), 1 waits for its key's total, 2 is a run's count at the border of a partition."""
 
+    def out(kind: int, rows: pa.RecordBatch, n: int = 0) -> pa.RecordBatch:
+        h1, h2, doc, th, lines = rows.columns
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h1), kind, np.int32)), h1, h2, pa.array(np.full(len(h1), n, np.int64)), doc, th, lines], names=["kind", "h1", "h2", "n", "doc", "th", "lines"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        key, docs, first, last, wait = None, 0, True, None, []
+        # Of the run that goes on: its last row, number of documents, rows that wait, whether it opened the partition.
+        last, docs, wait, opened = (), 0, [], True
 
-        def ended(border: bool) -> None:
-            if border:
-                out.append((2, *key, docs, 0, 0, []))
-                out.extend((1, *key, i, *w) for i, w in enumerate(wait))
+        def ended(border: bool) -> Iterator[pa.RecordBatch]:
+            if border and last:
+                empty = pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), pa.array([], pa.int32()))
+                yield out(2, pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (*last[:2], 0, 0)] + [empty], names=_NAMES), docs)
+                yield from (out(1, w) for w in wait)
 
         for batch in batches:
-            for a, b, doc, th, lines in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if (a, b) != key:
-                    if key is not None:
-                        ended(first)
-                        first = False
-                    key, docs, last, wait = (a, b), 0, None, []
-                if (doc, th) != last:
-                    docs, last = docs + 1, (doc, th)
-                    if docs < min_docs or keep_first and docs == 1:
-                        wait.append((doc, th, lines))
-                    else:
-                        if docs == min_docs:
-                            # With keep_first, the first row of a run that crosses a border must be compared: it waits.
-                            out.extend((0, a, b, 0, *w) for w in wait[keep_first:])
-                            wait = wait[:keep_first]
-                        out.append((0, a, b, 0, doc, th, lines))
-            if out:
-                yield _batch(out)
-                out = []
-        if key is not None:
-            ended(True)
-        if out:
-            yield _batch(out)
+            if not batch.num_rows:
+                continue
+            # Repeated rows of a document count once.
+            batch = batch.filter(pa.array(_changes(last, *(batch.column(i).to_numpy() for i in range(4)))))
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(i).to_numpy() for i in range(4)]
+            n = len(cols[0])
+            new = _changes(last[:2], *cols[:2])
+            if new[0]:
+                yield from ended(opened)
+                opened, docs, wait = not last, 0, []
+            new[0] = True
+            head = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            at = np.arange(n) - head[group]
+            at[group == 0] += docs
+            total = np.diff(np.append(head, n))
+            total[0] += docs
+            goes = total[group] >= min_docs
+            if keep_first:  # the first row of a run that crosses a border must be compared: it waits
+                goes &= at > 0
+            if docs < min_docs <= total[0]:
+                yield from (out(0, w) for w in wait[keep_first:])
+                wait = wait[:keep_first]
+            if goes.any():
+                yield out(0, batch.filter(pa.array(goes)))
+            docs = int(total[0])
+            for g in sorted({0, len(head) - 1}):  # the run that came in and the one that goes on
+                if g:
+                    yield from ended(opened)
+                    opened, docs, wait = False, int(total[g]), []
+                last = tuple(int(c[head[g]]) for c in cols)
+                wait += [batch.slice(i, 1) for i in np.flatnonzero(~goes & (group == g)).tolist()]
+            last = tuple(int(c[-1]) for c in cols)
+        yield from ended(True)
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    c = list(zip(*rows, strict=True))
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["kind", "h1", "h2", "n", "doc", "th", "lines"])
+_NAMES = ["h1", "h2", "doc", "th", "lines"]
 
 
-def _pack(lists: pa.Array) -> pa.Array:
+def _pack(lists: pa.ListArray) -> pa.Array:
     """zlib of packed bits, 1: the line stays; lines past the end stay."""
-    out = []
-    for at in lists.to_pylist():
-        bits = np.ones(max(at) + 1, np.uint8)
+    out, flat = [], lists.flatten().to_numpy()
+    ends = np.cumsum(lists.value_lengths().to_numpy())
+    for at in np.split(flat, ends[:-1]):
+        bits = np.ones(at.max() + 1, np.uint8)
         bits[at] = 0
         out.append(zlib.compress(np.packbits(bits).tobytes() + bytes([len(bits) % 8]), 1))
     return pa.array(out, pa.binary())
@@ -194,7 +216,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     both, name = with_bitmaps(C.documents(spark, sf_dir).select("doc_id", "text"), min_docs=10, min_chars=1)
 
     def each(b: pa.RecordBatch) -> list[pa.Array]:
-        rows = [(n, gone, hashlib.sha256(x).hexdigest()) for n, gone, x in _kept(b.column(1), b.column(2))]
+        rows = [(n, gone, hashlib.sha256(x).hexdigest()) for n, gone, x in _kept(b.column(1), b.column(2))]  # the texts go one by one
         return [b.column(0), *map(pa.array, zip(*rows, strict=True))]
 
     return C.arrow_map(both, ["doc_id", "text", name], "doc_id long, n_lines long, n_dropped long, kept_sha256 string", lambda: each)
