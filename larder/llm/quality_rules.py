@@ -96,8 +96,8 @@ def votes(counted: DataFrame, rules: dict[str, tuple[str, str]]) -> DataFrame:
 def fit(patterns: list[str], n: np.ndarray, rounds: int = 200, smooth: float = 1.0, good: float = 0.85) -> tuple[float, np.ndarray, np.ndarray]:
     """(share of good documents, P(vote | class, rule) as class x rule x vote, posterior of each pattern) by EM.
 
-    It starts from rules that are right four times in five; a floor keeps each rule better than chance,
-    so good and bad can't change places.
+    It starts from rules that are right four times in five; each rule stays no worse than chance, so good
+    and bad can't change places. The share of good documents is free.
     """
     if not patterns:
         return good, np.full((2, 0, 3), 1 / 3), np.empty(0)
@@ -122,7 +122,7 @@ def fit(patterns: list[str], n: np.ndarray, rounds: int = 200, smooth: float = 1
             swap = p[hi, :, v] < p[1 - hi, :, v]
             p[:, swap, v] = p[:, swap, v].mean(0)
         p /= p.sum(2, keepdims=True)
-        good = float(np.clip((n @ post + smooth) / (n.sum() + 2 * smooth), 0.5, 0.999))
+        good = float((n @ post + smooth) / (n.sum() + 2 * smooth))
         if done:
             break
     return good, p, post
