@@ -8,8 +8,8 @@ windows of the whole text are read, so one toxic passage counts anywhere.
 
 Training needs labels of documents only: in each round a toxic document's highest windows are
 positive, and clean documents' highest and some other windows are negative. It uses at most
-``per_class`` documents of each label, those of least hash of the text; the limit concerns the fit
-alone. The fitted network (under 2 MB) goes to the tasks.
+``per_class`` documents of each label and ``per_class_bytes`` bytes of their texts, those of least
+hash of the text; the limits concern the fit alone. The fitted network (under 2 MB) goes to the tasks.
 
 Defined results: null and empty text and texts without words score 0; rows without label or with a
 null id teach nothing; several labels of a document count as the highest; equal rows get equal
@@ -278,14 +278,15 @@ class Network:
             return np.where(np.isfinite(top), 1 / (1 + np.exp(-np.clip(self.curve[0] * np.where(np.isfinite(top), top, 0) + self.curve[1], -700, 700))), 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, teach, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500) -> Network | None:
+def train(docs: DataFrame, labels: DataFrame, teach, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500, per_class_bytes: int = 24 << 20) -> Network | None:
     """A network from labelled documents for which the column teach (of the id) is true."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y"))
     some = docs.where(teach).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    hashed = some.select("id", F.xxhash64("text").alias("h")).distinct().join(own, "id")
+    hashed = some.select("id", F.xxhash64("text").alias("h"), F.octet_length("text").cast("long").alias("n")).where(F.col("n") <= per_class_bytes).distinct().join(own, "id")
     # Only hashes are sorted; each shard's least ones first.
-    local = hashed.select("y", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("y", F.pmod("h", F.lit(64))).orderBy("h"))).where(F.col("r") <= per_class)
-    chosen = local.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h"))).where(F.col("r") <= per_class).select("y", "h")
+    local = hashed.groupBy("y", "h").agg(F.max("n").alias("n")).withColumn("r", F.row_number().over(Window.partitionBy("y", F.pmod("h", F.lit(64))).orderBy("h"))).where(F.col("r") <= per_class)
+    least = Window.partitionBy("y").orderBy("h")  # 64 * per_class rows at most
+    chosen = local.withColumn("r", F.row_number().over(least)).withColumn("n", F.sum("n").over(least)).where((F.col("r") <= per_class) & (F.col("n") <= per_class_bytes)).select("y", "h")
     hashes = [r.h for r in chosen.select("h").distinct().collect()]  # 2 * per_class at most
     picked = some.withColumn("h", F.xxhash64("text")).where(F.col("h").isin(hashes)) if hashes else some.withColumn("h", F.lit(0)).limit(0)
     rows = picked.join(own, "id").groupBy("h").agg(F.first("text").alias("text"), F.max("y").alias("y")).orderBy("h").collect()
