@@ -8,9 +8,10 @@ with popcount ranks, and every ``SAMPLE``-th suffix position. All phrases are se
 once; each occurrence is located by LF steps to a sampled position; the spans are merged per
 document. Documents never move: the whole operator is a map, whatever is frequent or copied.
 
-The phrases are sent with the tasks. They are a test set, and its size is checked: items are cut
-into blocks of at most ``block_windows`` windows, each a further pass of the same narrow map, so no
-task holds more than one block. ``block_windows`` thus is the proven bound of what is sent.
+The phrases are sent with the tasks. They are a test set, and its size is checked: items are dealt
+into blocks of about ``block_windows`` windows at most (an item is never cut), each a pass of its own
+over the documents. A pass ends, with its result written, before the next begins, so neither the driver
+nor a worker holds more than one block.
 
 Defined results: null or empty text has no words and no hits; an item without words is ignored, one
 with fewer than n words is one window; equal windows of several items count for all of them; a
@@ -161,9 +162,13 @@ class Phrases:
                 of.append(i)
         table, which = np.unique(np.array(rows), axis=0, return_inverse=True)
         self.table, self.sizes = table, (table > 0).sum(1)
-        order = np.argsort(which.ravel(), kind="stable")
-        self.owner = np.array(of)[order]  # item numbers by window
-        self.owner_first = np.searchsorted(which.ravel()[order], np.arange(len(table) + 1))
+        # Windows of the same items share a set of them.
+        own = np.unique(np.stack([which.ravel(), np.array(of)]), axis=1)
+        parts = [tuple(x.tolist()) for x in np.split(own[1], np.flatnonzero(np.diff(own[0])) + 1)]
+        number = {x: i for i, x in enumerate(dict.fromkeys(parts))}
+        self.set_of = np.array([number[x] for x in parts])
+        self.owner = np.concatenate([np.array(x) for x in number])  # item numbers by set
+        self.owner_first = np.cumsum([0, *map(len, number)])
 
     def match(self, texts: pa.Array) -> tuple[list[C.Words], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word counts of the documents; (document, first word, word after the last, window) of each occurrence."""
@@ -219,9 +224,12 @@ def _finder(phrases: Phrases, has_spans: bool):
             counts, doc, start, end, window = phrases.match(texts)
             n = batch.num_rows
             if len(window):
-                size = phrases.owner_first[window + 1] - phrases.owner_first[window]
-                flat = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(phrases.owner_first[window], size)
-                pair = np.unique(np.repeat(doc, size) * len(phrases.items) + phrases.owner[flat])
+                sets = len(phrases.owner_first) - 1
+                pair = np.unique(doc * sets + phrases.set_of[window])  # however often a document holds windows of the same items
+                of, own = pair // sets, pair % sets
+                size = phrases.owner_first[own + 1] - phrases.owner_first[own]
+                flat = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(phrases.owner_first[own], size)
+                pair = np.unique(np.repeat(of, size) * len(phrases.items) + phrases.owner[flat])
                 item_doc, item = pair // len(phrases.items), pair % len(phrases.items)
             else:
                 item_doc = item = np.empty(0, np.int64)
@@ -258,7 +266,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", n:
         schema = docs.withColumn(text, F.col(text_col)).schema
         for name, kind in zip(names, _OUT, strict=True):
             schema = schema.add(name, kind)
-        out = out.mapInArrow(_named(_finder(phrases, b > 0), [f.name for f in schema]), schema)
+        out = (C.checkpoint(out) if b else out).mapInArrow(_named(_finder(phrases, b > 0), [f.name for f in schema]), schema)
     return out.drop(text), names
 
 
