@@ -14,8 +14,7 @@ exact counts, in the block's own order. Documents move once, to meet their block
 
 Defined results: null and empty text is the end token alone; a null id teaches and isn't held out;
 equal rows get equal results; without training tokens every count is 0; an empty table gives an
-empty table. Blocks come from the file and row position where the table has them, else from a hash
-of id and text.
+empty table. Blocks come from a row's file and place in it; what is no scan of files is written first.
 """
 
 from __future__ import annotations
@@ -34,7 +33,9 @@ from . import common as C
 BASE, BITS, HASHES = 1.5, 10, 4
 UNIT = 1  # the least count that has a level
 MOST = 64  # levels
-BLOCK = 2048  # rows
+BLOCK = 2048  # rows, or more where there would be more than BLOCKS blocks
+BLOCKS = 1 << 22
+SEGMENT_BITS = 20  # most segments, as a power of two: one for each two blocks until then
 _END = np.uint64(0x243F6A8885A308D3)
 _PAIR = np.uint64(0xD1B54A32D192ED03)
 _RUN = "segment long, block long, fps binary, counts binary"
@@ -231,17 +232,17 @@ def _scorer(total: int, distinct: int, smooth: float):
 def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text", smooth: float = 20.0) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score); rows for which held is true teach nothing."""
     try:
-        block = F.xxhash64("_metadata.file_path", F.expr(f"_metadata.row_index div {BLOCK}"))
-        docs.select(block)
-    except AnalysisException:  # not a file scan
-        block = None
+        docs.select("_metadata.row_index")
+    except AnalysisException:  # not a file scan: written first, so that a row keeps its place
+        text = C.free_name(docs, "_held")
+        docs, held = C.checkpoint(docs.select(id_col, text_col, F.coalesce(held, F.lit(False)).alias(text))), F.col(text)
     size = docs.count()
-    if block is None:
-        block = F.pmod(F.xxhash64(id_col, text_col), F.lit(max(1, size // BLOCK)))
+    rows = max(BLOCK, size // BLOCKS)
+    block = F.xxhash64("_metadata.file_path", F.expr(f"_metadata.row_index div {rows}"))
     kind = docs.schema[id_col].dataType.simpleString()
     each = docs.select(F.col(id_col).alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).alias("text"), block.alias("block"))
-    # As many segments as blocks, within bounds: a segment's task holds its share of the runs.
-    bits = min(16, max(4, int(size // BLOCK).bit_length()))
+    # About as many segments as blocks: a segment's task holds its share of the runs, whatever the size of the corpus.
+    bits = min(SEGMENT_BITS, max(4, int(size // rows).bit_length()))
     runs = C.arrow_map(each, ["block", "held", "text"], _RUN, _count(bits))
     answers = C.checkpoint(runs.groupBy("segment").applyInArrow(_segment, _ANSWER))
     stats = answers.where("kind = 0").agg(F.sum("n_distinct"), F.sum("n_total")).first()
