@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 
 SLICE = 1 << 18
 _M = np.uint64(0x9E3779B97F4A7C15)
-_B = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
-_BI = pow(_B, -1, 1 << 64)
+_REACH = 64  # bytes of a word whose hash values are tabulated
 
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, bool)
@@ -34,19 +33,6 @@ NOT_ALNUM[0x30:0x3A] = NOT_ALNUM[0x61:0x7B] = NOT_ALNUM[0x80:] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept and grown."""
-    p = _powers.get(base)
-    if p is None or len(p) < n:
-        p = np.full(max(n, 1 << 18), base, np.uint64)
-        p[0] = 1
-        p = _powers[base] = np.multiply.accumulate(p)
-    return p[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     x = x.astype(np.uint64, copy=True)
@@ -58,13 +44,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _byte_values(byte: np.ndarray, place: np.ndarray, lane: int) -> np.ndarray:
+    """A pseudo-random value for each byte at each place of a word."""
+    return mix((byte.astype(np.uint64) | place.astype(np.uint64) << np.uint64(8)) * _M + mix(np.array([lane + 1], np.uint64)))
+
+
+#: By lane: the values of all bytes at the first places.
+_TABLE = [_byte_values(np.tile(np.arange(256), _REACH), np.repeat(np.arange(_REACH), 256), lane) for lane in (0, 1)]
+
+
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hash of each non-empty word data[start:end]: the sum of a value for each byte and its place, so no word's
+    structure can cancel out. Lanes are independent: two make 128 bits."""
+    if not len(start):
+        return np.empty(0, np.uint64)
+    size = end - start
+    first = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(first, size)
+    byte = data[place + np.repeat(start, size)]
+    value = _TABLE[lane][np.minimum(place, _REACH - 1) << 8 | byte]
+    far = np.flatnonzero(place >= _REACH)
+    if len(far):
+        value[far] = _byte_values(byte[far], place[far], lane)
+    return mix(np.add.reduceat(value, first) + size.astype(np.uint64) * _M)
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * np.uint64(0xD6E8FEB86659FD93) + b)
+
+
 def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit content hash of values[start:end] for many spans, by prefix sums of a polynomial."""
-    n = len(values)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(_B, n), out=total[1:])
-    size = (end - start).astype(np.uint64)
-    return mix((total[end] - total[start]) * powers(_BI, n + 1)[start] + size * _M)
+    """64-bit hash of the runs values[start:end], none empty, of 64-bit hashes: two runs of a power of two, hashed as
+    trees, cover each. Every joint is mixed, so equal sums can't cancel out."""
+    out = np.empty(len(start), np.uint64)
+    size = end - start
+    tree, width, left = values, 1, size.max(initial=0)
+    while width <= left:
+        own = np.flatnonzero((size >= width) & (size < 2 * width))
+        if len(own):
+            out[own] = mix(_joined(tree[start[own]], tree[end[own] - width]) + size[own].astype(np.uint64) * _M)
+        tree = _joined(tree[:-width], tree[width:]) if len(tree) > width else tree[:0]
+        width *= 2
+    return out
 
 
 class Words:
@@ -86,13 +107,17 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.counts)
-        self._hash = None
+        self._lanes: dict[int, np.ndarray] = {}
+
+    def lane(self, lane: int) -> np.ndarray:
+        """One of two independent 64-bit hashes of each word."""
+        if lane not in self._lanes:
+            self._lanes[lane] = word_hash(self.data, self.start, self.end, lane)
+        return self._lanes[lane]
 
     @property
     def hash(self) -> np.ndarray:
-        if self._hash is None:
-            self._hash = span_hash(self.data, self.start, self.end)
-        return self._hash
+        return self.lane(0)
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts and hashes of all runs of k words inside one document."""
@@ -166,9 +191,14 @@ def crc_of(value: object, m: int) -> int:
 
 
 def with_checkpoints(spark: SparkSession) -> None:
-    """The cluster's shared folder is used as it is set; only where none is set (tests) a folder is made."""
+    """The cluster's shared folder is used as it is set; a folder of this machine only where all runs on it, as in tests."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints")
+        spark.sparkContext.setCheckpointDir(folder)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

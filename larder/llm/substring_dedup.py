@@ -6,10 +6,10 @@ window's words only, so equal windows have equal anchors at equal places, and no
 An anchor owns a run of neighbouring windows; their words to the left and right are its reach.
 
 Seeds: occurrences join on the anchor's hash. Extension both ways: occurrences whose whole reach is
-equal (hash of reach and place) agree in all their windows, so all but the earliest go, and
+equal (128-bit hash of reach and place) agree in all their windows, so all but the earliest go, and
 overlapping reaches merge to the maximal repeat. Where an anchor has several reaches, only the
-earliest occurrence of each is extended window by window: its windows join on the window's hash,
-and all but the earliest go. No member of a group is ever paired with the others.
+earliest occurrence of each is extended window by window: its windows join on the window's 128-bit
+hash, and all but the earliest go. No member of a group is ever paired with the others.
 
 Each level settles what it can before it is shuffled: within a batch, only the earliest of equal
 reaches (equal windows) is sent on, so a passage that a third of all documents hold costs a row for
@@ -36,6 +36,8 @@ from . import common as C
 
 _SEED = "kind int, a long, c long, doc long, pos long"
 _BITS, _REACH = 24, 8
+_MOST = (1 << _REACH) - 1
+_NAME = 16  # low bits of a seed's a that belong to its reach; the others are the anchor's
 # pos: start of the first owned window, then 24 bits of the text's hash, then the number of owned windows.
 
 
@@ -48,11 +50,11 @@ def _unpos(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def anchors(w: C.Words, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first owned window, owned windows, anchor hash, reach hash) of each anchor occurrence; positions count words of the slice."""
+    """(first owned window, owned windows, anchor hash, reach hash of two lanes) of each anchor occurrence; positions count words of the slice."""
     at, gram = w.windows(k)
     width = n - k + 1
     if len(at) < width:
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 2
+        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64), np.empty((0, 2), np.uint64))
     # Least hash of the next ``width`` runs, last of equals; runs of one document stand together.
     best, where = gram[: len(at) - width + 1].copy(), np.arange(len(at) - width + 1)
     for j in range(1, width):
@@ -63,13 +65,16 @@ def anchors(w: C.Words, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     ok = w.doc[at[: len(best)]] == w.doc[at[width - 1 :]]
     start, anchor = at[: len(best)][ok], where[ok]
     if not len(start):
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 2
+        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64), np.empty((0, 2), np.uint64))
     new = np.ones(len(anchor), bool)
-    new[1:] = anchor[1:] != anchor[:-1]
+    # A run of owned windows is cut by their distance from the anchor, so that its length fits in _pos.
+    part = (anchor - start) // _MOST
+    new[1:] = (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])
     head = np.flatnonzero(new)
     size = np.diff(np.append(head, len(anchor)))
     s, g = start[head], anchor[head]
-    reach = C.span_hash(w.hash, s, s + size + n - 1) ^ C.mix((at[g] - s).astype(np.uint64))
+    place = C.mix((at[g] - s).astype(np.uint64))
+    reach = np.stack([C.span_hash(w.lane(lane), s, s + size + n - 1) ^ place for lane in (0, 1)], 1)
     return s, size, gram[g], reach
 
 
@@ -119,7 +124,9 @@ def _seeds(n: int, k: int):
                 w = C.Words(data, offs)
                 s, size, a, c = anchors(w, n, k)
                 d = w.doc[s]
-                found.append((a.view(np.int64), c.view(np.int64), docs[lo + d], _pos(s - w.first[d], ths[lo + d], size)))
+                # a and c name the reach by 128 bits, a's high ones the anchor.
+                a = a >> np.uint64(_NAME) << np.uint64(_NAME) | c[:, 1] >> np.uint64(64 - _NAME)
+                found.append((a.view(np.int64), np.ascontiguousarray(c[:, 0]).view(np.int64), docs[lo + d], _pos(s - w.first[d], ths[lo + d], size)))
             a, c, doc, pos = _sorted(*map(np.concatenate, zip(*found, strict=True)))
             lead = _opens(a, c)
             return _rows(_settled(doc[~lead], pos[~lead]), [a[lead], c[lead], doc[lead], pos[lead]])
@@ -139,7 +146,7 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old = kind == 0
         through = [x[old] for x in (kind, a, c, doc, pos)]
         a, c, doc, pos = _sorted(*(x[~old] for x in (a, c, doc, pos)))
-        lead, head = _opens(a, c), _opens(a)
+        lead, head = _opens(a, c), _opens(a >> _NAME)
         group = np.cumsum(head) - 1
         reaches = np.bincount(group[lead]) if len(a) else np.empty(0, np.int64)
         several = reaches > 1
@@ -151,7 +158,7 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(n: int):
-    """Joined documents to (kind, window hash or spread key, c, doc, pos): kind 1 the earliest of equal windows of a batch."""
+    """Joined documents to (kind, window hash or spread key, its second lane or a run's length, doc, pos): kind 1 the earliest of equal windows of a batch."""
 
     def make():
         def each(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -162,7 +169,7 @@ def _windows(n: int):
             old = kind == 0
             gone = [np.zeros(old.sum(), np.int32), C.mix(c[old].astype(np.uint64) ^ C.mix(pos[old].astype(np.uint64) ^ docs[of[old]].astype(np.uint64))).view(np.int64), c[old], docs[of[old]], pos[old]]
             of, (start, _, size) = of[~old], _unpos(pos[~old])
-            found = [(np.empty(0, np.int64),) * 3]
+            found = [(np.empty(0, np.int64),) * 4]
             for lo, hi, data, offs in C.slices(batch.column(2)):
                 own = (of >= lo) & (of < hi)
                 if not own.any():
@@ -172,12 +179,12 @@ def _windows(n: int):
                 at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(s, m)
                 d = np.repeat(d, m)
                 first = w.first[d] + at
-                found.append((C.span_hash(w.hash, first, first + n).view(np.int64), docs[lo + d], _pos(at, ths[lo + d], np.ones_like(at))))
-            h, doc, pos = _sorted(*map(np.concatenate, zip(*found, strict=True)))
-            lead = _opens(h)
+                found.append((*(C.span_hash(w.lane(lane), first, first + n).view(np.int64) for lane in (0, 1)), docs[lo + d], _pos(at, ths[lo + d], np.ones_like(at))))
+            h, h2, doc, pos = _sorted(*map(np.concatenate, zip(*found, strict=True)))
+            lead = _opens(h, h2)
             more = _settled(doc[~lead], pos[~lead])
             kind0 = [np.concatenate(x) for x in zip(gone, more, strict=True)]
-            return _rows(kind0, [h[lead], np.ones(lead.sum(), np.int64), doc[lead], pos[lead]])
+            return _rows(kind0, [h[lead], h2[lead], doc[lead], pos[lead]])
 
         return each
 
@@ -201,7 +208,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     # The same exchange of the documents serves this join and the last one.
     windows = C.arrow_map(keyed.join(asked, [d, t]), [d, t, text_col, name, *(c for c in docs.columns if c != text_col)], _SEED, _windows(n))
     later = windows.withColumn("rank", F.row_number().over(_by_window())).where("kind = 0 OR rank > 1")
-    runs = later.groupBy("doc", th.alias("th")).agg(F.collect_list(F.shiftleft(F.shiftright("pos", _BITS + _REACH), 32).bitwiseOR(F.col("c"))).alias(name))
+    runs = later.groupBy("doc", th.alias("th")).agg(F.collect_list(F.shiftleft(F.shiftright("pos", _BITS + _REACH), 32).bitwiseOR(F.when(F.col("kind") == 0, F.col("c")).otherwise(1))).alias(name))
     runs = runs.select(F.col("doc").alias(d), F.col("th").alias(t), name)
     return keyed.join(runs, [d, t], "left").drop(d, t), name
 
@@ -210,7 +217,7 @@ def _by_window():
     from pyspark.sql import Window
 
     # Equal windows are one row a batch at most; settled rows have a key of their own each.
-    return Window.partitionBy("kind", "a").orderBy("doc", "pos")
+    return Window.partitionBy("kind", "a", "c").orderBy("doc", "pos")
 
 
 def _covered(words: C.Words, lo: int, runs: pa.ListArray, n: int) -> np.ndarray:
