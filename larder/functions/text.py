@@ -22,29 +22,66 @@ HEADER = r"ingredientes?\s*:?|ingredients?\s*:?|composi[cç][aã]o\s*:?"
 PERCENT = r"\(?\s*\d+[.,]?\d*\s*%\s*\)?"
 SEPARATORS = r"[,;\n/]+|\.\s|\)\s*,?|\s+(?:e|y|and)\s+"
 EDGES = " .;:-*•[]"
-SECTION_START = r"(?im)^[ \t]*(ingredientes?|ingredients?|composici[oó]n|composi[çc][aã]o)\s*[:.]?\s*"
-SECTION_END = r"(?im)^[ \t]*(informa[çc][aã]o\s+nutricional|valores?\s+nutricionais|conserva[çc][aã]o|consumir\s+preferencialmente|val(?:idade)?\.?|lote|produzido\s+por|origem|peso\s+l[ií]quido)"
+SECTION_START = r"(?imu)^[ \t]*(ingredientes?|ingredients?|composici[oó]n|composi[çc][aã]o)\s*[:.]?\s*"
+SECTION_END = r"(?imu)^[ \t]*(informa[çc][aã]o\s+nutricional|valores?\s+nutricionais|conserva[çc][aã]o|consumir\s+preferencialmente|val(?:idade)?\.?|lote|produzido\s+por|origem|peso\s+l[ií]quido)"
 
-#: Letters of the Latin blocks that decompose to one base letter, built from the Unicode tables.
-_BASE = {chr(i): d[0] for i in range(0xC0, 0x250) if len(d := [c for c in unicodedata.normalize("NFKD", chr(i).lower()) if not unicodedata.combining(c)]) == 1 and d[0] != chr(i)}
+def _plain(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x))
+
+
+#: What characters of the basic plane fold to, built from the Unicode tables: one character, or several of which some is an
+#: ASCII letter or digit (ligatures, fractions, units). Hangul stays composed.
+_FOLDS = {c: _plain(c) for i in range(0xA0, 0x10000) if not (0xD800 <= i < 0xF900 or 0xAC00 <= i < 0xD7A4) for c in [chr(i)] if _plain(c) not in (c, "")}
+_BASE = {c: x for c, x in _FOLDS.items() if len(x) == 1}
+_SEVERAL = {c: x for c, x in _FOLDS.items() if len(x) > 1 and any(y.isascii() and y.isalnum() for y in x)}
+
+#: Canonical decompositions of letters up to Greek Extended and what composes them.
+_COMPOSED = {d: unicodedata.normalize("NFC", d) for i in range(0xC0, 0x2000) for d in [unicodedata.normalize("NFD", chr(i))] if len(d) > 1 and unicodedata.normalize("NFC", d) != d}
 
 
 def _re(c: Column, pattern: str, to: str = "") -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(to))
 
 
+def _map(table: dict[str, str]) -> Column:
+    return F.map_from_arrays(F.array(*map(F.lit, table)), F.array(*map(F.lit, table.values())))
+
+
+def _replaced(c: Column, pattern: str, table: dict[str, str]) -> Column:
+    """Parts of c that the pattern cuts it into, each replaced if the table has it; only texts that hold what the table is for pay for it."""
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda x: F.coalesce(F.element_at(_map(table), x), x)), "")
+
+
+def _ranges(chars, gap: int = 16) -> str:
+    """A pattern of few ranges that hold the characters, and some others near them."""
+    codes = sorted(map(ord, chars))
+    cuts = [0, *(i for i in range(1, len(codes)) if codes[i] - codes[i - 1] > gap), len(codes)]
+    return "[" + "".join(f"{chr(codes[a])}-{chr(codes[b - 1])}" for a, b in zip(cuts, cuts[1:], strict=False)) + "]"
+
+
 def fold(c: Column) -> Column:
-    """Lower case without accents, blanks collapsed. Ligatures such as œ stay; fold_exact handles all of Unicode."""
+    """Lower case without accents and compatibility forms, blanks collapsed."""
     plain = F.translate(F.lower(c), "".join(_BASE), "".join(_BASE.values()))
+    plain = F.when(plain.rlike(_ranges(_SEVERAL)), _replaced(plain, "(?s).", _SEVERAL)).otherwise(plain)
     return F.trim(_re(_re(plain, r"\p{M}+"), r"(?U)\s+", " "))
 
 
+def compose(c: Column) -> Column:
+    """Letters and their combining marks become composed letters (NFC of Latin, Greek and Cyrillic)."""
+    return F.when(c.rlike(r"\p{M}"), _replaced(c, r"(?s)\P{M}\p{M}*|\p{M}+", _COMPOSED)).otherwise(c)
+
+
 @F.pandas_udf(StringType())
 def fold_exact(text):  # noqa: ANN001, ANN201
     """fold by compatibility decomposition, for texts beyond the Latin blocks."""
     return text.map(lambda t: t if t is None else " ".join("".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c)).split()))
 
 
+def normalize_unicode(c: Column) -> Column:
+    """Composed letters, without controls."""
+    return drop_controls(compose(c))
+
+
 def drop_controls(c: Column) -> Column:
     """Control, format, unassigned and private characters go, but for line feeds."""
     return _re(c, r"[\p{C}&&[^\n]]")
@@ -93,7 +130,7 @@ def drop_short_lines(c: Column, least: int = 3) -> Column:
 
 def clean_ocr_text(c: Column) -> Column:
     """All steps for recognised text."""
-    for step in (drop_controls, join_hyphens, strip_noise, digits_to_letters, normalize_blanks, drop_short_lines):
+    for step in (normalize_unicode, join_hyphens, strip_noise, digits_to_letters, normalize_blanks, drop_short_lines):
         c = step(c)
     return c
 
@@ -110,12 +147,12 @@ def ingredients_section(c: Column) -> Column:
 
 def drop_header(c: Column) -> Column:
     """Everything up to the first word that heads a list."""
-    return _re(c, rf"(?is)^.*?(?:{HEADER})")
+    return _re(c, rf"(?isu)^.*?(?:{HEADER})")
 
 
 def segments(c: Column) -> Column:
     """Array of the list's items in order; an opening parenthesis stays in its item, as closing ones separate."""
-    text = _re(drop_header(drop_controls(c)), PERCENT, " ")
+    text = _re(drop_header(normalize_unicode(c)), PERCENT, " ")
     parts = F.transform(F.split(text, SEPARATORS), lambda x: F.btrim(x, F.lit(EDGES)))
     return F.filter(parts, lambda x: x != "")
 

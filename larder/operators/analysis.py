@@ -1,9 +1,10 @@
 """Analysis of ingredient lists: segments, lexicon matches, running declarations, first occurrences.
 
 A long table, one row a segment, is the primary form. Exact matches are an equi-join of word runs
-with the folded phrases; only distinct texts without one are compared approximately, by windows of
-equal word count within a length band. The lexicon is a dictionary of bounded size and is broadcast
-behind a check of its rows.
+with the folded phrases. Only distinct runs of texts without one are compared approximately: a phrase
+that bears d edits is cut into d + 1 pieces, of which a run within d edits holds one unchanged, at most
+d places off; so runs and phrases join on pieces and word counts, and only what meets is measured. The
+lexicon is broadcast behind a check of its rows.
 """
 
 from __future__ import annotations
@@ -49,26 +50,52 @@ def _runs(texts: DataFrame, sizes: list[int]) -> DataFrame:
     return each.select("match", "words", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("words") + 1), lambda i: F.array_join(F.slice("w", i, F.col("words")), " "))).alias("run"))
 
 
+def _pieces(table: DataFrame, fuzzy: float) -> DataFrame:
+    """(rank, folded, len, words, d, at, piece): each phrase in one piece more than the edits it may bear."""
+    edits = F.floor((1 - fuzzy) * F.col("len") / fuzzy + 1e-9).cast("int")  # a run's length is len / fuzzy at most
+    cut = table.where(F.col("len") >= FUZZY_LEAST).withColumn("d", edits).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
+    begin, end = F.floor(F.col("i") * F.col("len") / (F.col("d") + 1)), F.floor((F.col("i") + 1) * F.col("len") / (F.col("d") + 1))
+    return cut.withColumn("at", begin.cast("int")).withColumn("piece", F.substr("folded", F.col("at") + 1, (end - begin).cast("int"))).drop("i")
+
+
+def _nearest(runs: DataFrame, table: DataFrame, sizes: list[int], fuzzy: float) -> DataFrame:
+    """(run, score, rank) of each distinct run's best phrase of as many words; sizes are the lengths of the pieces."""
+    pieces = _pieces(table, fuzzy)
+    keyed = runs.select("run", F.col("words").alias("n"), F.explode(F.array(*map(F.lit, sizes))).alias("size")).where(F.length("run") >= F.col("size"))
+    keyed = keyed.select("run", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("run") - F.col("size") + 1), lambda i: F.substr("run", i, F.col("size")))).alias("place", "key"))
+    band = F.abs(F.length("run") - F.col("len")) <= F.floor((1 - fuzzy) * F.greatest(F.length("run"), F.col("len")) + 1e-9)
+    met = keyed.join(pieces, (F.col("key") == F.col("piece")) & (F.col("n") == F.col("words")) & band & (F.abs(F.col("place") - F.col("at")) <= F.col("d")))
+    scored = met.select("run", "rank", "folded").distinct().withColumn("score", distance.levenshtein_ratio(F.col("run"), F.col("folded"))).where(F.col("score") >= fuzzy)
+    best = scored.groupBy("run").agg(F.min(F.struct((-F.col("score")).alias("s"), "rank")).alias("b"))
+    return best.select("run", (-F.col("b.s")).alias("score"), F.col("b.rank").alias("rank"))
+
+
 def match_texts(texts: DataFrame, phrases: DataFrame, fuzzy: float = FUZZY) -> DataFrame:
     """(match, rank, score, method) of the distinct texts (column match) that match.
 
     Exact: the most specific phrase that stands in the text. Else the best ratio of a run of as many
-    words to a phrase, ties by rank.
+    words to a phrase, ties by rank (anything that can be ordered). With fuzzy over 1, exact ones only.
     """
-    table = small(phrases.select("rank", "folded", "words", "len"))
-    sizes = [r.words for r in phrases.select("words").distinct().orderBy("words").collect()]  # a few numbers
+    phrases = phrases.select("rank", "folded", "words", "len")
+    number, sizes, lengths = phrases.agg(F.count("*"), F.sort_array(F.collect_set("words")), F.sort_array(F.collect_set("len"))).first()  # a few numbers
+    table = F.broadcast(phrases) if number <= BROADCAST_PHRASES else phrases
     texts = texts.select("match").where("match <> ''").distinct()
+    kind = phrases.schema["rank"].dataType.simpleString()
     if not sizes:
-        return texts.limit(0).select("match", F.lit(0).alias("rank"), F.lit(0.0).alias("score"), F.lit("").alias("method"))
-    runs = _runs(texts, sizes)
-    exact = runs.join(table, (runs["run"] == table["folded"])).groupBy("match").agg(F.min("rank").alias("rank"))
+        return texts.limit(0).select("match", F.lit(None).cast(kind).alias("rank"), F.lit(0.0).alias("score"), F.lit("").alias("method"))
+    exact = _runs(texts, sizes).join(table, F.col("run") == F.col("folded")).groupBy("match").agg(F.min("rank").alias("rank"))
     exact = exact.select("match", "rank", F.lit(1.0).alias("score"), F.lit("exato").alias("method"))
-    rest = runs.join(exact.select("match"), "match", "left_anti").select("match", F.col("words").alias("n"), "run").distinct()
-    band = F.abs(F.length("run") - F.col("len")) <= F.floor((1 - fuzzy) * F.greatest(F.length("run"), F.col("len")) + 1e-9)
-    near = rest.join(table.where(F.col("len") >= FUZZY_LEAST), (F.col("n") == F.col("words")) & band)
-    scored = near.withColumn("score", distance.levenshtein_ratio(F.col("run"), F.col("folded"))).where(F.col("score") >= fuzzy)
-    best = scored.groupBy("match").agg(F.max(F.struct("score", (-F.col("rank")).alias("r"))).alias("b"))
-    return exact.unionByName(best.select("match", (-F.col("b.r")).alias("rank"), F.col("b.score").alias("score"), F.lit("difuso").alias("method")))
+    if fuzzy > 1:
+        return exact
+    # The lengths of pieces: see _pieces.
+    edits = {n: int((1 - fuzzy) * n / fuzzy + 1e-9) for n in lengths if n >= FUZZY_LEAST}
+    cut = sorted({(i + 1) * n // (d + 1) - i * n // (d + 1) for n, d in edits.items() for i in range(d + 1)})
+    if not cut:
+        return exact
+    rest = _runs(texts.join(exact.select("match"), "match", "left_anti"), sizes)
+    near = _nearest(rest.select("run", "words").distinct(), table, cut, fuzzy)
+    best = rest.select("match", "run").join(near, "run").groupBy("match").agg(F.min(F.struct((-F.col("score")).alias("s"), "rank")).alias("b"))
+    return exact.unionByName(best.select("match", F.col("b.rank").alias("rank"), (-F.col("b.s")).alias("score"), F.lit("difuso").alias("method")))
 
 
 def matched(segs: DataFrame, phrases: DataFrame, allergens: DataFrame, id_col: str = "doc_id", fuzzy: float = FUZZY) -> DataFrame:

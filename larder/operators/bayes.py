@@ -57,28 +57,71 @@ def _shuffled(id_col: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
 
 
+#: Leading digits of the hash by which a label's rows are cut, 16 parts each.
+_DIGITS = 3
+
+
+def _dealt(df: DataFrame, id_col: str, label_col: str, seed: int) -> DataFrame:
+    """Adds _nth, the row's place among its label's by hash, and _all, the label's rows. No task sorts a whole label: a
+    row's place is that within its range of hashes plus the rows of the ranges before it (4096 counts a label)."""
+    hashed = df.withColumn("_hash", _shuffled(id_col, seed)).withColumn("_part", F.substring("_hash", 1, _DIGITS))
+    w = Window.partitionBy("_label").orderBy("_part")
+    counts = hashed.groupBy(F.col(label_col).alias("_label"), F.col("_part").alias("_range")).agg(F.count("*").alias("_n")).withColumnRenamed("_range", "_part")
+    before = counts.select("_label", F.col("_part").alias("_range"), (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("_label")).alias("_all"))
+    both = hashed.join(F.broadcast(before), (F.col("_part") == F.col("_range")) & F.col(label_col).eqNullSafe(F.col("_label")))  # labels are few
+    nth = F.row_number().over(Window.partitionBy(label_col, "_part").orderBy("_hash", id_col)) + F.col("_before")
+    return both.withColumn("_nth", nth).drop("_hash", "_part", "_range", "_label", "_before")
+
+
 def stratified_split(df: DataFrame, id_col: str, label_col: str, share: float = HOLDOUT, seed: int = SEED) -> DataFrame:
     """Adds is_test: of each label the rounded share of rows, those of least hash."""
-    w = Window.partitionBy(label_col)
-    nth = F.row_number().over(w.orderBy(_shuffled(id_col, seed), id_col))
-    return df.withColumn("is_test", nth <= F.floor(F.count("*").over(w) * share + 0.5))
+    return _dealt(df, id_col, label_col, seed).withColumn("is_test", F.col("_nth") <= F.floor(F.col("_all") * share + 0.5)).drop("_nth", "_all")
 
 
 def stratified_folds(df: DataFrame, id_col: str, label_col: str, k: int = FOLDS, seed: int = SEED) -> DataFrame:
     """Adds fold, 0 to k - 1, dealt within each label."""
-    nth = F.row_number().over(Window.partitionBy(label_col).orderBy(_shuffled(id_col, seed), id_col))
-    return df.withColumn("fold", (nth - 1) % k)
-
-
-def cross_validate(docs: DataFrame, doc_tags: DataFrame, id_col: str, label_col: str, vocabulary: DataFrame, k: int = FOLDS) -> DataFrame:
-    """(fold, n, accuracy) of naive Bayes; all folds in one plan."""
-    dealt = stratified_folds(docs, id_col, label_col, k)
-    out = None
-    for fold in range(k):
-        pred = bayes_predictions(dealt.where(F.col("fold") != fold), dealt.where(F.col("fold") == fold), doc_tags, id_col, label_col, vocabulary)
-        one = pred.agg(F.lit(fold).alias("fold"), F.count("*").alias("n"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _dealt(df, id_col, label_col, seed).withColumn("fold", ((F.col("_nth") - 1) % k).cast("int")).drop("_nth", "_all")
+
+
+def cross_validate(docs: DataFrame, doc_tags: DataFrame, id_col: str, label_col: str, vocabulary: DataFrame, k: int = FOLDS, alpha: float = ALPHA) -> DataFrame:
+    """(fold, n, accuracy) of naive Bayes. Counts are made once by fold; what a fold learns from is all less its own."""
+    dealt = stratified_folds(docs, id_col, label_col, k).select(F.col(id_col), F.col(label_col).alias("label"), "fold")
+    sizes = dealt.groupBy("fold", "label").agg(F.count("*").alias("own"))
+    folds = sizes.select("fold").distinct()
+    labels = sizes.groupBy("label").agg(F.sum("own").alias("all"))
+    # A row for each fold and label, a handful.
+    classes = folds.join(F.broadcast(labels)).join(sizes, ["fold", "label"], "left").select("fold", "label", (F.col("all") - F.coalesce("own", F.lit(0))).alias("n_class")).where("n_class > 0")
+    tags = doc_tags.select(id_col, "tag").distinct().join(vocabulary.select("tag"), "tag").join(dealt, id_col)
+    own = tags.groupBy("fold", "label", "tag").agg(F.count("*").alias("n_own"))
+    total = own.groupBy("label", "tag").agg(F.sum("n_own").alias("n_all"))
+    cells = vocabulary.select("tag").join(F.broadcast(classes)).join(total, ["label", "tag"], "left").join(own, ["fold", "label", "tag"], "left")
+    p = (F.coalesce("n_all", F.lit(0)) - F.coalesce("n_own", F.lit(0)) + alpha) / (F.col("n_class") + 2 * alpha)
+    likelihood = cells.select("fold", "label", "tag", F.log(p).alias("log_p"), F.log(1 - p).alias("log_q"))
+    absent = likelihood.groupBy("fold", "label").agg(F.sum("log_q").alias("absent"))
+    of_fold = Window.partitionBy("fold")
+    prior = classes.join(absent, ["fold", "label"], "left").select("fold", "label", (F.log(F.col("n_class") / F.sum("n_class").over(of_fold)) + F.coalesce("absent", F.lit(0.0))).alias("base"))
+    gain = tags.select(id_col, "fold", "tag").join(likelihood, ["fold", "tag"]).groupBy(id_col, "label").agg(F.sum(F.col("log_p") - F.col("log_q")).alias("gain"))
+    every = dealt.select(id_col, "fold", F.col("label").alias("actual")).join(F.broadcast(prior), "fold")
+    scores = every.join(gain, [id_col, "label"], "left").withColumn("score", F.col("base") + F.coalesce("gain", F.lit(0.0)))
+    best = scores.groupBy(id_col, "fold", "actual").agg(F.min(F.struct((-F.col("score")).alias("s"), "label")).alias("best"))
+    return best.groupBy("fold").agg(F.count("*").alias("n"), F.avg((F.col("actual") == F.col("best.label")).cast("double")).alias("accuracy"))
+
+
+def labelled_bags(rows: DataFrame, id_col: str, status, ingredients: str, least: int = MIN_DF) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((id, label), (id, tag), (tag, df)) of the rows that teach: weak labels by the status column, tags of the ingredients, and the vocabulary."""
+    from ..functions import text as X
+    from . import rules
+
+    some = rows.withColumn("label", status).where(rules.trainable(F.col(ingredients), F.col("label"))).select(id_col, "label", F.col(ingredients).alias("tags"))
+    tags = some.select(id_col, F.explode(F.array_distinct(X.tag_list(F.col("tags")))).alias("tag"))
+    return some.select(id_col, "label"), tags, document_frequency(tags, id_col, "tag", least)
+
+
+def holdout(docs: DataFrame, doc_tags: DataFrame, id_col: str, label_col: str, vocabulary: DataFrame, model: str = "random_forest") -> DataFrame:
+    """(id, label, prediction) of the held-out quarter by a library model fitted on the rest."""
+    split = stratified_split(docs, id_col, label_col)
+    bags = vectors(docs, doc_tags, id_col, label_col, [r.tag for r in vocabulary.select("tag").collect()]).join(split.select(id_col, "is_test"), id_col)  # the features, a bounded list
+    return train_library(library_models()[model], bags.where("NOT is_test"), bags.where("is_test"), id_col)
 
 
 def vectors(docs: DataFrame, doc_tags: DataFrame, id_col: str, label_col: str, vocabulary: list[str]) -> DataFrame:

@@ -79,3 +79,8 @@ def examples(df: DataFrame, actual: str, predicted: str, key: str, text: str, k:
 def verdict_changes(df: DataFrame, before: Column, after: Column) -> DataFrame:
     """Rows with both verdicts and whether they differ."""
     return df.withColumns({"verdict_before": before, "verdict_after": after}).withColumn("changed", F.col("verdict_before") != F.col("verdict_after"))
+
+
+def mean_confidence(samples: DataFrame, confidence: str) -> DataFrame:
+    """(n, mean_confidence) of the samples that have one."""
+    return samples.agg(F.count(confidence).alias("n"), F.avg(confidence).alias("mean_confidence"))

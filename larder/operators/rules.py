@@ -25,11 +25,21 @@ def tag_status(allergens: Column, ingredients: Column, labels: Column, gluten: l
         .when(F.arrays_overlap(tags, _array(gluten or K.GLUTEN_TAGS)), "contem")
         .when(certified, "sem")
         .when(F.arrays_overlap(tags, _array(ambiguous or K.AMBIGUOUS_TAGS)), "suspeito")
-        .when(F.size(tags) > 0, "sem")
+        .when(F.coalesce(ingredients, F.lit("")) != "", "sem")
         .otherwise("desconhecido")
     )
 
 
+def trainable(ingredients: Column, status: Column) -> Column:
+    """Rows that teach: with ingredients and an informative state."""
+    return ingredients.isNotNull() & (status != "desconhecido")
+
+
+def evaluable(text: Column, allergens: Column) -> Column:
+    """Rows that can be evaluated: with a text and a list of allergens that isn't blank."""
+    return F.coalesce(text.isNotNull() & (F.trim(allergens) != ""), F.lit(False))
+
+
 def truth(allergens: Column) -> Column:
     """The independent label: the allergen list names gluten."""
     return F.when(F.lower(F.coalesce(allergens, F.lit(""))).contains("en:gluten"), "contem").otherwise("sem")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +34,8 @@ def read_dump(spark: SparkSession, path: str, wanted: list[str] | None = None, s
     """A (compressed) separated dump: the wanted columns that it has, as text. A gzip file is one task, so more partitions follow."""
     raw = spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', multiLine=True, maxCharsPerColumn=-1, encoding="UTF-8")
     own = [c for c in wanted or KEPT if c in raw.columns]
+    if lacking := [c for c in wanted or KEPT if c not in raw.columns]:
+        warnings.warn(f"columns that {path} lacks: {', '.join(lacking)}", stacklevel=2)
     return raw.select(*own).repartition(partitions) if partitions else raw.select(*own)
 
 
@@ -40,6 +45,30 @@ def read_products(spark: SparkSession, path: str) -> DataFrame:
     return missing_to_null(header)
 
 
+def read_typed(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """A separated table with the types that its values show; texts that mean a missing value are null first."""
+    text = missing_to_null(spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', multiLine=True))
+    like = spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', multiLine=True, inferSchema=True, nullValue="NA").schema
+    return text.select(*(F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in like))
+
+
+def lookup_products(codes: DataFrame, fetch: Callable[[str], str | None], code_col: str = "code") -> DataFrame:
+    """(code, body) of each different code: what fetch gives for it, null where it fails; the lookups run in the tasks, batch by batch."""
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            bodies = []
+            for code in batch["code"]:
+                try:
+                    bodies.append(fetch(code))
+                except OSError:  # no answer
+                    bodies.append(None)
+            yield pd.DataFrame({"code": batch["code"], "body": bodies})
+
+    return codes.select(F.col(code_col).cast("string").alias("code")).where("code IS NOT NULL").distinct().mapInPandas(run, "code string, body string")
+
+
 def filter_dump(dump: DataFrame, tag: str = stats.COUNTRY_TAG, markers: list[str] | None = None) -> tuple[DataFrame, Observation, Observation]:
     """The country's rows, with observations of the rows read and kept once the result is used."""
     read, kept = Observation(), Observation()
@@ -104,6 +133,16 @@ def ocr_result(words: Column) -> Column:
     return F.struct(both["raw_text"].alias("raw_text"), clean.alias("cleaned_text"), X.ingredients_section(clean).alias("ingredients_only"), both["mean_confidence"].alias("mean_confidence"))
 
 
+def report_words(samples: DataFrame, phrases: DataFrame, allergens: DataFrame, id_col: str = "code", words_col: str = "words") -> DataFrame:
+    """Reports of recognised images: the words (array of text, conf) are cleaned, the list is cut out, and its quality is told."""
+    from ..operators import analysis, rules
+
+    seen = samples.select(id_col, ocr_result(F.col(words_col)).alias("seen"))
+    texts = seen.select(id_col, X.coalesce_text(F.col("seen.ingredients_only"), F.col("seen.cleaned_text")).alias("text"), F.col("seen.mean_confidence").alias("ocr_quality"))
+    told = rules.explain(rules.assess(analysis.analyze(texts, phrases, allergens, id_col, "text")))
+    return rules.recommend(told.join(texts.select(id_col, "ocr_quality"), id_col), F.col("ocr_quality"))
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of image files; an unreadable path is an error of the reader."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
