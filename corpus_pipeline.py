@@ -1,7 +1,9 @@
 """The corpus pipeline: documents through five stages, each written and read again by its caller.
 
 Every stage works on all rows that the one before kept, whole texts; all but the last return the
-columns of documents.
+columns of documents. What stages give in odd cases, besides what they state: an empty table gives an
+empty table; ids, languages and sources may be null and pass through; extra columns pass through the
+first four, whatever their names; ties and repeated rows are the same on every run.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from larder.llm import common, decontaminate, line_dedup, near_dedup, sentencepi
 TOXIC = 0.7
 
 
-#: Most rows that Spark hands to a Python worker at once: two tasks of an executor, each with buffers on both sides, share its memory.
+#: Most rows that Spark hands to a Python worker at once, as an operator can't bound that itself: two tasks of an executor, each
+#: with buffers on both sides, share its memory. A stage's rows are read after it returns, so the session keeps the setting.
 BATCH_ROWS = 2000
 
 
@@ -31,7 +34,10 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of less than TOXIC stay; the network learns from the labelled rows of docs."""
+    """Rows of less than TOXIC stay; the network learns from the labelled rows of docs.
+
+    Null, empty and wordless texts score 0 and stay; equal rows share a fate; without labels of both kinds all stay.
+    """
     _small_batches(spark)
     net = toxicity.train(docs, common.documents(spark, sf_dir, "labels"), toxicity.teaches())
     scored, name = toxicity.with_score(docs, net)
@@ -39,25 +45,37 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that at least 10 documents hold go from all of them; every document stays."""
+    """Lines that at least 10 documents hold go from all of them; every document stays.
+
+    A null text stays null, an empty one empty; rows of equal id and text count as one document, and each loses the same lines.
+    """
     _small_batches(spark)
     return _recounted(line_dedup.drop_lines(docs, min_docs=10))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate class stays."""
+    """One row of each near-duplicate class stays: that of least id, null last; of rows of equal id and text, one.
+
+    Null and empty texts are copies of each other, so one row of all of them stays; other texts without words equal their copies only.
+    """
     _small_batches(spark)
     return near_dedup.drop_near(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 10 words or more of benchmark items go from the texts; every document stays."""
+    """Passages of 10 words or more of benchmark items (or a whole shorter item) go from the texts; every document stays.
+
+    Null and empty texts stay as they are; without items nothing goes.
+    """
     _small_batches(spark)
     return _recounted(decontaminate.remove_spans(docs, common.documents(spark, sf_dir, "benchmark")))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text (end id last) and the text they decode to."""
+    """Ids of every text (end id last) and the text they decode to: (doc_id, lang, source, n_tokens, ids, decoded).
+
+    Null and empty texts are the end id alone and decode to an empty text.
+    """
     _small_batches(spark)
     coded = sentencepiece_bpe.encode(docs.select("doc_id", "lang", "source", "text"), decoded_col="decoded")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
