@@ -43,6 +43,11 @@ def _re(c: Column, pattern: str, to: str = "") -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(to))
 
 
+def _once(c: Column, f) -> Column:
+    """f(c) with c computed once, however often f names it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def _map(table: dict[str, str]) -> Column:
     return F.map_from_arrays(F.array(*map(F.lit, table)), F.array(*map(F.lit, table.values())))
 
@@ -68,7 +73,7 @@ def fold(c: Column) -> Column:
 
 def compose(c: Column) -> Column:
     """Letters and their combining marks become composed letters (NFC of Latin, Greek and Cyrillic)."""
-    return F.when(c.rlike(r"\p{M}"), _replaced(c, r"(?s)\P{M}\p{M}*|\p{M}+", _COMPOSED)).otherwise(c)
+    return _once(c, lambda x: F.when(x.rlike(r"\p{M}"), _replaced(x, r"(?s)\P{M}\p{M}*|\p{M}+", _COMPOSED)).otherwise(x))
 
 
 @F.pandas_udf(StringType())
@@ -131,12 +136,16 @@ def drop_short_lines(c: Column, least: int = 3) -> Column:
 def clean_ocr_text(c: Column) -> Column:
     """All steps for recognised text."""
     for step in (normalize_unicode, join_hyphens, strip_noise, digits_to_letters, normalize_blanks, drop_short_lines):
-        c = step(c)
+        c = _once(c, step)
     return c
 
 
 def ingredients_section(c: Column) -> Column:
     """What stands between the section's heading and the next known heading; all if there is no heading."""
+    return _once(c, _section)
+
+
+def _section(c: Column) -> Column:
     head = F.regexp_instr(c, F.lit(SECTION_START))
     tail = F.substring(c, F.lit(1), F.lit(2**31 - 1))
     tail = F.substr(c, head + F.length(F.regexp_substr(c, F.lit(SECTION_START))))

@@ -128,9 +128,10 @@ def words_to_text(words: Column) -> Column:
 
 def ocr_result(words: Column) -> Column:
     """raw_text, cleaned_text, ingredients_only and mean_confidence of recognised words."""
-    both = words_to_text(words)
-    clean = X.clean_ocr_text(both["raw_text"])
-    return F.struct(both["raw_text"].alias("raw_text"), clean.alias("cleaned_text"), X.ingredients_section(clean).alias("ingredients_only"), both["mean_confidence"].alias("mean_confidence"))
+    def cleaned(both: Column) -> Column:
+        return X._once(X.clean_ocr_text(both["raw_text"]), lambda clean: F.struct(both["raw_text"].alias("raw_text"), clean.alias("cleaned_text"), X.ingredients_section(clean).alias("ingredients_only"), both["mean_confidence"].alias("mean_confidence")))
+
+    return X._once(words_to_text(words), cleaned)
 
 
 def report_words(samples: DataFrame, phrases: DataFrame, allergens: DataFrame, id_col: str = "code", words_col: str = "words") -> DataFrame:
