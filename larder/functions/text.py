@@ -10,7 +10,6 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Characters of noise, digits that stand for letters, punctuation, markers and claims.
 NOISE = r"[|`~^¬{}\[\]<>©®™§¶]+"
@@ -45,7 +44,7 @@ def _re(c: Column, pattern: str, to: str = "") -> Column:
 
 def _once(c: Column, f) -> Column:
     """f(c) with c computed once, however often f names it."""
-    return F.transform(F.array(c), f)[0]
+    return F.transform(F.array(c), lambda x: f(x))[0]  # by a lambda, as a function of two parameters would be given the place too
 
 
 def _map(table: dict[str, str]) -> Column:
@@ -76,12 +75,6 @@ def compose(c: Column) -> Column:
     return _once(c, lambda x: F.when(x.rlike(r"\p{M}"), _replaced(x, r"(?s)\P{M}\p{M}*|\p{M}+", _COMPOSED)).otherwise(x))
 
 
-@F.pandas_udf(StringType())
-def fold_exact(text):  # noqa: ANN001, ANN201
-    """fold by compatibility decomposition, for texts beyond the Latin blocks."""
-    return text.map(lambda t: t if t is None else " ".join("".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c)).split()))
-
-
 def normalize_unicode(c: Column) -> Column:
     """Composed letters, without controls."""
     return drop_controls(compose(c))

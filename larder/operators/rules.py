@@ -70,6 +70,13 @@ def allergen_entries(matches: Column) -> Column:
     return F.transform(names, lambda x: F.struct(x.alias("label"), strongest(x).alias("declaration")))
 
 
+def strongest_declaration(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, declaration) of a long table: the strongest declaration of each key, by partial aggregates."""
+    order = _array(["tracos", "contem", "ingrediente"])
+    strength = F.when(F.col("declaration") == "ingrediente", 2).when(F.col("declaration") == "contem", 1).otherwise(0)
+    return rows.groupBy(*keys).agg(F.max(strength).alias("_most")).select(*keys, F.element_at(order, F.col("_most") + 1).alias("declaration"))
+
+
 def assess(analysis: DataFrame) -> DataFrame:
     """Adds gluten_grade, allergen_status, allergens (array of struct) and reasons (array of text)."""
     m, unknown = F.col("matches"), F.col("unknown")

@@ -60,7 +60,6 @@ def test_against_python(spark, values):
 
 def test_examples(spark):
     assert apply(spark, X.fold, ["Farinha de Trigo", "Açúcar", None, ""]) == ["farinha de trigo", "acucar", None, ""]
-    assert apply(spark, X.fold_exact, ["ﬁbra  É", None]) == ["fibra e", None]
     assert apply(spark, X.digits_to_letters, ["tr1g0", "70%", "éa1b"]) == ["trlg0", "70%", "éa1b"]
     assert apply(spark, X.normalize_blanks, ["1,5%"]) == ["1, 5%"]
     assert apply(spark, X.join_hyphens, ["trig-\n o"]) == ["trigo"]
@@ -84,3 +83,8 @@ def test_distances(spark):
     assert [r[0] for r in spark.createDataFrame([("abc", "abd"), ("", "")], "a string, b string").select(D.hamming(F.col("a"), F.col("b"))).collect()] == [1, 0]
     with pytest.raises(Exception, match="differ in length"):
         spark.createDataFrame([("a", "ab")], "a string, b string").select(D.hamming(F.col("a"), F.col("b"))).collect()
+
+
+def test_chain_drops_short_lines(spark):
+    """The chain's steps are given the text alone, so their own defaults hold."""
+    assert apply(spark, X.clean_ocr_text, ["farinha\nGa.\n\nsal 0\n1 x 2", "Of.", None]) == ["farinha\n\nsal 0", "", None]
