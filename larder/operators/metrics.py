@@ -68,6 +68,14 @@ def render(matrix: DataFrame) -> DataFrame:
     return head.unionByName(body)
 
 
+def present(matrix: DataFrame) -> str:
+    """The metrics of all classes as fixed-width lines, classes in order; the number of classes is the matrix's."""
+    lines = [f"{'class':<20} {'accuracy':>9} {'precision':>9} {'recall':>9} {'f1':>9}"]
+    for r in class_metrics(matrix).orderBy("class").collect():
+        lines.append(f"{str(r['class']):<20} {r['accuracy']:>9.4f} {r['precision']:>9.4f} {r['recall']:>9.4f} {r['f1']:>9.4f}")
+    return "\n".join(lines)
+
+
 def examples(df: DataFrame, actual: str, predicted: str, key: str, text: str, k: int = 3, width: int = 90) -> DataFrame:
     """The first k wrong rows of each pair of labels, texts cut to width."""
     from pyspark.sql import Window
