@@ -35,6 +35,7 @@ UNIT = 1  # the least count that has a level
 MOST = 64  # levels
 BLOCK = 2048  # rows, or more where there would be more than BLOCKS blocks
 BLOCKS = 1 << 22
+PARTS = 20_000  # most tasks that segments and blocks are dealt to
 SEGMENT_BITS = 20  # most segments, as a power of two: one for each two blocks until then
 _END = np.uint64(0x243F6A8885A308D3)
 _PAIR = np.uint64(0xD1B54A32D192ED03)
@@ -243,13 +244,15 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text",
     each = docs.select(F.col(id_col).alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).alias("text"), block.alias("block"))
     # About as many segments as blocks: a segment's task holds its share of the runs, whatever the size of the corpus.
     bits = min(SEGMENT_BITS, max(4, int(size // rows).bit_length()))
+    # And a task for each block, so that a task's share keeps its size too.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(PARTS, int(size // rows)))
     runs = C.arrow_map(each, ["block", "held", "text"], _RUN, _count(bits))
-    answers = C.checkpoint(runs.groupBy("segment").applyInArrow(_segment, _ANSWER))
+    answers = C.checkpoint(runs.repartition(parts, "segment").groupBy("segment").applyInArrow(_segment, _ANSWER))
     stats = answers.where("kind = 0").agg(F.sum("n_distinct"), F.sum("n_total")).first()
     distinct, total = (stats[0] or 0), (stats[1] or 0)
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     back = answers.where("kind = 1").select("block", "segment", "levels", "counts")
-    scored = each.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_scorer(total, distinct, smooth), schema)
+    scored = each.repartition(parts, "block").groupBy("block").cogroup(back.repartition(parts, "block").groupBy("block")).applyInArrow(_scorer(total, distinct, smooth), schema)
     return scored.withColumnRenamed("id", id_col)
 
 
