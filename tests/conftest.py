@@ -2,6 +2,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = str(Path(__file__).resolve().parent.parent)
@@ -50,7 +51,7 @@ def duck(sf):
 def rows(df, order=None):
     """Sorted rows of a pandas frame as comparable tuples, columns by name."""
     df = df[sorted(df.columns)].astype(object)
-    cell = lambda x: None if x is None or x != x else round(x, 6) if isinstance(x, float) else x
+    cell = lambda x: None if x is None or x is pd.NA or x != x else int(x) if isinstance(x, float) and x.is_integer() else round(x, 6) if isinstance(x, float) else x
     return sorted((tuple(cell(x) for x in r) for r in df.itertuples(index=False)), key=lambda r: [(x is not None, str(x)) for x in r])
 
 
