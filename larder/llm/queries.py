@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bloom_lm, collocations, decontaminate, fill_middle, language_id, line_dedup, near_dedup, quality_rules, sentencepiece_bpe, substring_dedup, token_count, toxicity
+from . import bloom_lm, collision_search, collocations, decontaminate, fill_middle, language_id, line_dedup, near_dedup, quality_rules, sentencepiece_bpe, substring_dedup, token_count, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_language_id": language_id.op10_language_id,
+    "op11_nearest": collision_search.op11_nearest,
     "op12_collocations": collocations.op12_collocations,
     "op13_fill_in_middle": fill_middle.op13_fill_in_middle,
 }
