@@ -6,10 +6,13 @@ their classes. Null stays null unless a function says otherwise.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Characters of noise, digits that stand for letters, punctuation, markers and claims.
 NOISE = r"[|`~^¬{}\[\]<>©®™§¶]+"
@@ -18,24 +21,51 @@ TRACE_MARKERS = ["pode conter", "podem conter", "tracos", "vestigios", "may cont
 CONTAINS_MARKERS = ["contem", "contains", "contient"]
 CLAIM = r"sem\s+gluten|gluten\s*free|isento\s+de\s+gluten|0\s*%?\s*gluten"
 HEADER = r"ingredientes?\s*:?|ingredients?\s*:?|composi[cç][aã]o\s*:?"
-PERCENT = r"\(?\s*\d+[.,]?\d*\s*%\s*\)?"
-SEPARATORS = r"[,;\n/]+|\.\s|\)\s*,?|\s+(?:e|y|and)\s+"
+# Written so that no run of digits or blanks is read more than a few times: a number or a blank starts where its run does, and
+# what is taken isn't given back. PERCENT accepts what \(?\s*\d+[.,]?\d*\s*%\s*\)? does.
+PERCENT = r"(?:\(\s*+|(?<!\s)\s++)?+(?<!\d)\d++(?:[.,]\d*+)?+\s*+%\s*+\)?+"
+# Lists are cut at [,;\n/]+, \.\s, \)\s*,? and \s+(?:e|y|and)\s+. The last becomes a comma first, with the blanks around it, unless
+# a bracket takes them all or a full stop takes the only one.
+JOINED = r"(\.\s|(?<![\s.)]))(\n*+)\s++(?:e|y|and)\s++"
+SEPARATORS = r"[,;\n/]++|\.\s|\)\s*+,?"
+TRIMMED = r"(?U)^\s++|(?<!\s)\s++$"
 EDGES = " .;:-*•[]"
 SECTION_START = r"(?imu)^[ \t]*(ingredientes?|ingredients?|composici[oó]n|composi[çc][aã]o)\s*[:.]?\s*"
 SECTION_END = r"(?imu)^[ \t]*(informa[çc][aã]o\s+nutricional|valores?\s+nutricionais|conserva[çc][aã]o|consumir\s+preferencialmente|val(?:idade)?\.?|lote|produzido\s+por|origem|peso\s+l[ií]quido)"
 
+#: Blanks as str.split() knows them; \\s of Java lacks some.
+BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def _plain(c: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x))
 
 
-#: What characters of the basic plane fold to, built from the Unicode tables: one character, or several of which some is an
-#: ASCII letter or digit (ligatures, fractions, units). Hangul stays composed.
-_FOLDS = {c: _plain(c) for i in range(0xA0, 0x10000) if not (0xD800 <= i < 0xF900 or 0xAC00 <= i < 0xD7A4) for c in [chr(i)] if _plain(c) not in (c, "")}
-_BASE = {c: x for c, x in _FOLDS.items() if len(x) == 1}
-_SEVERAL = {c: x for c, x in _FOLDS.items() if len(x) > 1 and any(y.isascii() and y.isalnum() for y in x)}
+def _points() -> list[str]:
+    """Every code point that a text can hold and that isn't ASCII."""
+    return [chr(i) for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000]
+
+
+#: First and last Hangul syllable; how they are made of initial, medial and final sounds.
+_HANGUL, _SOUNDS = (0xAC00, 0xD7A3), ((0x1100, 19), (0x1161, 21), (0x11A7, 28))
+
+
+@functools.cache
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What code points of all planes fold to, by the Unicode tables: (to one character or none, to several); Hangul is left to arithmetic."""
+    found = {c: x for c in _points() if not _HANGUL[0] <= ord(c) <= _HANGUL[1] for x in [_plain(c)] if x != c}
+    return {c: x for c, x in found.items() if len(x) < 2}, {c: x for c, x in found.items() if len(x) > 1}
 
-#: Canonical decompositions of letters up to Greek Extended and what composes them.
-_COMPOSED = {d: unicodedata.normalize("NFC", d) for i in range(0xC0, 0x2000) for d in [unicodedata.normalize("NFD", chr(i))] if len(d) > 1 and unicodedata.normalize("NFC", d) != d}
+
+@functools.cache
+def _unsettled() -> str:
+    """A pattern of the code points that may not stand, or not so, in composed form: marks, what decomposes for good, what joins the letter before it."""
+    joins = set("".join(map(chr, range(0x1161, 0x1176))) + "".join(map(chr, range(0x11A8, 0x11C3))))
+    for c in _points():
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            joins.add(chr(int(parts[1], 16)))
+    return _one_of([c for c in _points() if unicodedata.combining(c) or c in joins or unicodedata.normalize("NFC", c) != c])
 
 
 def _re(c: Column, pattern: str, to: str = "") -> Column:
@@ -47,32 +77,72 @@ def _once(c: Column, f) -> Column:
     return F.transform(F.array(c), lambda x: f(x))[0]  # by a lambda, as a function of two parameters would be given the place too
 
 
-def _map(table: dict[str, str]) -> Column:
-    return F.map_from_arrays(F.array(*map(F.lit, table)), F.array(*map(F.lit, table.values())))
+def _class(codes: list[int]) -> str:
+    cuts = [0, *(i for i in range(1, len(codes)) if codes[i] - codes[i - 1] > 1), len(codes)]
+    return "[" + "".join(f"\\x{{{codes[a]:x}}}-\\x{{{codes[b - 1]:x}}}" for a, b in zip(cuts, cuts[1:], strict=False)) + "]"
 
 
-def _replaced(c: Column, pattern: str, table: dict[str, str]) -> Column:
-    """Parts of c that the pattern cuts it into, each replaced if the table has it; only texts that hold what the table is for pay for it."""
-    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda x: F.coalesce(F.element_at(_map(table), x), x)), "")
+def _one_of(chars) -> str:
+    """A pattern of exactly these characters. A class tries its ranges one by one, so there is one for each block of 4096
+    code points, behind a look at the block, and Latin letters pass by two looks."""
+    codes = sorted(map(ord, chars))
+    low, high = [x for x in codes if x < 0x300], [x for x in codes if x >= 0x300]
+    blocks = [[x for x in high if x >> 12 == b] for b in sorted({x >> 12 for x in high})]
+    far = "|".join(f"(?=[\\x{{{own[0]:x}}}-\\x{{{own[-1]:x}}}]){_class(own)}" for own in blocks)
+    return "(?:" + "|".join(([_class(low)] if low else []) + [f"(?=[^\\x00-\\x{{2ff}}])(?:{far})"]) + ")"
 
 
-def _ranges(chars, gap: int = 16) -> str:
-    """A pattern of few ranges that hold the characters, and some others near them."""
-    codes = sorted(map(ord, chars))
-    cuts = [0, *(i for i in range(1, len(codes)) if codes[i] - codes[i - 1] > gap), len(codes)]
-    return "[" + "".join(f"{chr(codes[a])}-{chr(codes[b - 1])}" for a, b in zip(cuts, cuts[1:], strict=False)) + "]"
+def _listed(values) -> Column:
+    """An array of texts as one literal that the optimiser takes apart."""
+    return F.split(F.lit("\x01".join(values)), "\x01")
+
+
+def _ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
+def _expanded(c: Column) -> Column:
+    """Characters that fold to several ones, in a text that has some."""
+    several = _folds()[1]
+    codes, forms = F.transform(_listed(str(ord(x)) for x in several), lambda x: x.cast("int")), _listed(several.values())
+
+    def sounds(code: Column) -> Column:
+        at = code - _HANGUL[0]
+        each = [_listed("" if n == 28 and i == 0 else chr(first + i) for i in range(n)) for first, n in _SOUNDS]
+        places = F.floor(at / 588), F.floor(at % 588 / 28), at % 28
+        return F.concat(*(F.element_at(s, (p + 1).cast("int")) for s, p in zip(each, places, strict=True)))
+
+    def part(x: Column) -> Column:
+        code = F.ascii(x)
+        return F.when(code < 0x80, x).when(code.between(*_HANGUL), sounds(code)).otherwise(F.coalesce(F.try_element_at(forms, F.nullif(F.array_position(codes, code), F.lit(0)).cast("int")), x))
+
+    special = _one_of([*several, *map(chr, range(_HANGUL[0], _HANGUL[1] + 1))])
+    pieces = F.regexp_extract_all(c, F.lit(r"[\x00-\x7f]+|[^\x00-\x7f]"), F.lit(0))
+    return F.when(c.rlike(special), F.array_join(F.transform(pieces, part), "")).otherwise(c)
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents and compatibility forms, blanks collapsed."""
-    plain = F.translate(F.lower(c), "".join(_BASE), "".join(_BASE.values()))
-    plain = F.when(plain.rlike(_ranges(_SEVERAL)), _replaced(plain, "(?s).", _SEVERAL)).otherwise(plain)
-    return F.trim(_re(_re(plain, r"\p{M}+"), r"(?U)\s+", " "))
+    """Lower case without accents and compatibility forms, blanks collapsed; of all planes, with Hangul by its sounds.
+
+    Accents go one character at a time, so their order doesn't matter. ASCII texts skip the tables.
+    """
+    one = _folds()[0]
+    # Characters without a counterpart go.
+    kept, gone = [x for x in one if one[x]], [x for x in one if not one[x]]
+    wide = _expanded(F.translate(F.lower(c), "".join(kept + gone), "".join(one[x] for x in kept)))
+    return F.trim(_re(F.when(_ascii(c), F.lower(c)).otherwise(wide), f"{BLANK}+", " "))
+
+
+@F.arrow_udf(T.StringType())
+def _composed(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 
 
 def compose(c: Column) -> Column:
-    """Letters and their combining marks become composed letters (NFC of Latin, Greek and Cyrillic)."""
-    return _once(c, lambda x: F.when(x.rlike(r"\p{M}"), _replaced(x, r"(?s)\P{M}\p{M}*|\p{M}+", _COMPOSED)).otherwise(x))
+    """Canonical composition (NFC). Marks may come in any number and order, for which there is no built-in expression;
+    only texts that hold marks or other unsettled characters are sent to a worker."""
+    unsettled = ~_ascii(c) & c.rlike(_unsettled())
+    return F.when(unsettled, _composed(F.when(unsettled, c))).otherwise(c)
 
 
 def normalize_unicode(c: Column) -> Column:
@@ -97,8 +167,8 @@ def join_hyphens(c: Column) -> Column:
 def normalize_blanks(c: Column) -> Column:
     """Blanks collapse, three line feeds or more become two, punctuation sticks to the word before it."""
     c = _re(_re(c, r"[ \t]+", " "), r"\n{3,}", "\n\n")
-    c = _re(_re(c, r"(?U)\s+([,.;:!?])", "$1"), r"(?U)([,.;:])(?=\S)", "$1 ")
-    return _re(c, r"(?U)^\s+|\s+$")
+    c = _re(_re(c, r"(?U)(?<!\s)\s++([,.;:!?])", "$1"), r"(?U)([,.;:])(?=\S)", "$1 ")
+    return _re(c, TRIMMED)
 
 
 def digits_to_letters(c: Column) -> Column:
@@ -128,7 +198,8 @@ def drop_short_lines(c: Column, least: int = 3) -> Column:
 
 def clean_ocr_text(c: Column) -> Column:
     """All steps for recognised text."""
-    for step in (normalize_unicode, join_hyphens, strip_noise, digits_to_letters, normalize_blanks, drop_short_lines):
+    c = normalize_unicode(c)  # a worker's function can't stand in a lambda
+    for step in (join_hyphens, strip_noise, digits_to_letters, normalize_blanks, drop_short_lines):
         c = _once(c, step)
     return c
 
@@ -144,7 +215,7 @@ def _section(c: Column) -> Column:
     tail = F.substr(c, head + F.length(F.regexp_substr(c, F.lit(SECTION_START))))
     end = F.regexp_instr(tail, F.lit(SECTION_END))
     cut = F.when(end > 0, F.substr(tail, F.lit(1), end - 1)).otherwise(tail)
-    return F.when(head > 0, _re(cut, r"(?U)^\s+|\s+$")).otherwise(c)
+    return F.when(head > 0, _re(cut, TRIMMED)).otherwise(c)
 
 
 def drop_header(c: Column) -> Column:
@@ -154,19 +225,23 @@ def drop_header(c: Column) -> Column:
 
 def segments(c: Column) -> Column:
     """Array of the list's items in order; an opening parenthesis stays in its item, as closing ones separate."""
-    text = _re(drop_header(normalize_unicode(c)), PERCENT, " ")
+    text = _re(_re(drop_header(normalize_unicode(c)), PERCENT, " "), JOINED, "$1$2,")
     parts = F.transform(F.split(text, SEPARATORS), lambda x: F.btrim(x, F.lit(EDGES)))
     return F.filter(parts, lambda x: x != "")
 
 
 def match_string(c: Column) -> Column:
     """Words of a to z of the folded text."""
-    return F.trim(_re(_re(fold(c), PERCENT, " "), r"[^a-z]+", " "))
+    return match_words(fold(c))
+
+
+def match_words(folded: Column) -> Column:
+    return F.trim(_re(_re(folded, PERCENT, " "), r"[^a-z]+", " "))
 
 
 def tag_list(c: Column) -> Column:
     """Lower-cased, trimmed, non-empty tags; an empty array for null."""
-    parts = F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), ","), lambda x: _re(x, r"(?U)^\s+|\s+$"))
+    parts = F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), ","), lambda x: _re(x, TRIMMED))
     return F.filter(parts, lambda x: x != "")
 
 

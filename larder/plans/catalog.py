@@ -694,7 +694,7 @@ lex{tail} AS (SELECT term, gluten, label, row_number() OVER (ORDER BY k, i) AS r
 txt{tail} AS (SELECT doc_id, {text} AS t FROM documents),
 arr{tail} AS (SELECT doc_id, {_SPLIT_SQL.format(_CLEAN_SQL.format('t'))} AS a FROM txt{tail}),
 sg{tail} AS (SELECT doc_id, pos, raw, {fold('raw')} AS folded FROM (SELECT doc_id, unnest(a) AS raw, unnest(range(len(a))) AS pos FROM arr{tail})),
-sd{tail} AS (SELECT doc_id, pos, raw, trim(regexp_replace(regexp_replace({fold('raw')}, '{X.PERCENT}', ' ', 'g'), '[^a-z]+', ' ', 'g')) AS match,
+sd{tail} AS (SELECT doc_id, pos, raw, trim(regexp_replace(regexp_replace({fold('raw')}, '\(?\s*\d+[.,]?\d*\s*%\s*\)?', ' ', 'g'), '[^a-z]+', ' ', 'g')) AS match,
    CASE WHEN bool_or(regexp_matches(folded, '{announce(X.TRACE_MARKERS)}')) OVER w THEN 'tracos' WHEN bool_or(regexp_matches(folded, '{announce(X.CONTAINS_MARKERS)}')) OVER w THEN 'contem' ELSE 'ingrediente' END AS declaration
    FROM sg{tail} WHERE NOT regexp_matches(folded, '{X.CLAIM}') WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
 ex{tail} AS (SELECT match, min(rank) AS rank FROM (SELECT DISTINCT match FROM sd{tail}) JOIN lex{tail} ON contains(' ' || match || ' ', ' ' || term || ' ') GROUP BY match),
