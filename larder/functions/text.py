@@ -72,7 +72,7 @@ def _re(c: Column, pattern: str, to: str = "") -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(to))
 
 
-def _once(c: Column, f) -> Column:
+def once(c: Column, f) -> Column:
     """f(c) with c computed once, however often f names it."""
     return F.transform(F.array(c), lambda x: f(x))[0]  # by a lambda, as a function of two parameters would be given the place too
 
@@ -104,7 +104,7 @@ def _ascii(c: Column) -> Column:
 def _expanded(c: Column) -> Column:
     """Characters that fold to several ones, in a text that has some."""
     several = _folds()[1]
-    codes, forms = F.transform(_listed(str(ord(x)) for x in several), lambda x: x.cast("int")), _listed(several.values())
+    codes, forms = _listed(str(ord(x)) for x in several).cast("array<int>"), _listed(several.values())
 
     def sounds(code: Column) -> Column:
         at = code - _HANGUL[0]
@@ -116,9 +116,10 @@ def _expanded(c: Column) -> Column:
         code = F.ascii(x)
         return F.when(code < 0x80, x).when(code.between(*_HANGUL), sounds(code)).otherwise(F.coalesce(F.try_element_at(forms, F.nullif(F.array_position(codes, code), F.lit(0)).cast("int")), x))
 
+    # One evaluation of what was translated, however often it is named.
     special = _one_of([*several, *map(chr, range(_HANGUL[0], _HANGUL[1] + 1))])
-    pieces = F.regexp_extract_all(c, F.lit(r"[\x00-\x7f]+|[^\x00-\x7f]"), F.lit(0))
-    return F.when(c.rlike(special), F.array_join(F.transform(pieces, part), "")).otherwise(c)
+    pieces = lambda x: F.regexp_extract_all(x, F.lit(r"[\x00-\x7f]+|[^\x00-\x7f]"), F.lit(0))
+    return once(c, lambda x: F.when(x.rlike(special), F.array_join(F.transform(pieces(x), part), "")).otherwise(x))
 
 
 def fold(c: Column) -> Column:
@@ -200,13 +201,13 @@ def clean_ocr_text(c: Column) -> Column:
     """All steps for recognised text."""
     c = normalize_unicode(c)  # a worker's function can't stand in a lambda
     for step in (join_hyphens, strip_noise, digits_to_letters, normalize_blanks, drop_short_lines):
-        c = _once(c, step)
+        c = once(c, step)
     return c
 
 
 def ingredients_section(c: Column) -> Column:
     """What stands between the section's heading and the next known heading; all if there is no heading."""
-    return _once(c, _section)
+    return once(c, _section)
 
 
 def _section(c: Column) -> Column:

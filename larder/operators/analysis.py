@@ -1,38 +1,55 @@
 """Analysis of ingredient lists: segments, lexicon matches, running declarations, first occurrences.
 
-A long table, one row a segment, is the primary form. Exact matches are an equi-join of word runs
-with the folded phrases. Only distinct runs of texts without one are compared approximately: a phrase
-that bears d edits is cut into d + 1 pieces, of which a run within d edits holds one unchanged, at most
-d places off; so runs and phrases join on pieces and word counts, and only what meets is measured. The
-lexicon is broadcast behind a check of its rows.
+A document is analysed within its row, without an exchange: its segments, their declarations and what
+is unknown are array expressions, and matches come from an automaton (``lexicon``) that each text walks
+once. A lexicon too large for the workers is joined instead: exact matches are an equi-join of word runs
+with the folded phrases; distinct runs of texts without one join on the pieces that ``lexicon`` states.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance
 from ..functions import text as X
+from .lexicon import FUZZY, FUZZY_LEAST, Lexicon, allowed_edits
 
-# Acceptance of approximate matches, their shortest phrase, shortest unknown segment in letters.
-FUZZY = 0.84
-FUZZY_LEAST = 5
+# Fixed value: shortest unknown segment in letters.
 UNKNOWN_LEAST = 4
-#: Most phrases that are broadcast.
+#: Most phrases that are broadcast in joins.
 BROADCAST_PHRASES = 200_000
 
 
-def small(df: DataFrame, most: int = BROADCAST_PHRASES) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def _declaration(traces: Column, contains: Column) -> Column:
+    return F.when(traces, "tracos").when(contains, "contem").otherwise("ingrediente")
+
+
+def items(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row a document: (id, gluten_free_label, items), items an array of (pos, raw, match, declaration, letters) of each segment that is no
+    gluten-free claim. Once traces are announced all later segments are traces, else after 'contains' they are contained."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+
+    def told(raw: Column) -> Column:
+        folded = F.transform(raw, lambda x, i: F.struct(i.alias("pos"), x.alias("raw"), X.fold(x).alias("folded")))
+        return F.filter(folded, lambda s: ~s["folded"].rlike(X.CLAIM))
 
+    def placed(segs: Column) -> Column:
+        place = lambda marker: F.array_position(F.transform(segs, lambda s: marker(s["folded"])), True)
+        return F.struct(segs.alias("segs"), place(X.has_trace_marker).alias("traces"), place(X.has_contains_marker).alias("contains"))
 
-def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, pos, raw, folded, match) of each segment that is no gluten-free claim."""
-    out = docs.select(id_col, F.posexplode(X.segments(F.coalesce(F.col(text_col), F.lit("")))).alias("pos", "raw"))
-    out = out.withColumn("folded", X.fold(F.col("raw"))).where(~F.col("folded").rlike(X.CLAIM))
-    return out.withColumn("match", X.match_string(F.col("raw")))
+    def declared_items(p: Column) -> Column:
+        since = lambda c, i: (p[c] > 0) & (i + 1 >= p[c])
+        return F.transform(p["segs"], lambda s, i: F.struct(s["pos"].alias("pos"), s["raw"].alias("raw"), X.match_words(s["folded"]).alias("match"), _declaration(since("traces", i), since("contains", i)).alias("declaration"), X.letters(s["raw"]).alias("letters")))
+
+    # Each step is computed once, as the next names it by a lambda's variable.
+    rows = X.once(X.once(told(X.segments(text)), placed), declared_items)
+    return docs.select(id_col, X.claims_gluten_free(F.col(text_col)).alias("gluten_free_label"), rows.alias("items"))
+
+
+def small(df: DataFrame, most: int = BROADCAST_PHRASES) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if _few(df, most) else df
 
 
 def declared(segs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -40,7 +57,7 @@ def declared(segs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     so_far = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     traces = F.max(X.has_trace_marker(F.col("folded"))).over(so_far)
     contains = F.max(X.has_contains_marker(F.col("folded"))).over(so_far)
-    return segs.withColumn("declaration", F.when(traces, "tracos").when(contains, "contem").otherwise("ingrediente"))
+    return segs.withColumn("declaration", _declaration(traces, contains))
 
 
 def _runs(texts: DataFrame, sizes: list[int]) -> DataFrame:
@@ -76,6 +93,14 @@ def match_texts(texts: DataFrame, phrases: DataFrame, fuzzy: float = FUZZY) -> D
     Exact: the most specific phrase that stands in the text. Else the best ratio of a run of as many
     words to a phrase, ties by rank (anything that can be ordered). With fuzzy over 1, exact ones only.
     """
+    lexicon = Lexicon.of(phrases)
+    if lexicon is None:
+        return match_by_joins(texts, phrases, fuzzy)
+    return lexicon.match(texts, fuzzy).dropDuplicates(["match"])
+
+
+def match_by_joins(texts: DataFrame, phrases: DataFrame, fuzzy: float = FUZZY) -> DataFrame:
+    """match_texts() for a lexicon of any size."""
     phrases = phrases.select("rank", "folded", "words", "len")
     number, sizes, lengths = phrases.agg(F.count("*"), F.sort_array(F.collect_set("words")), F.sort_array(F.collect_set("len"))).first()  # a few numbers
     table = F.broadcast(phrases) if number <= BROADCAST_PHRASES else phrases
@@ -88,7 +113,7 @@ def match_texts(texts: DataFrame, phrases: DataFrame, fuzzy: float = FUZZY) -> D
     if fuzzy > 1:
         return exact
     # The lengths of pieces: see _pieces.
-    edits = {n: int((1 - fuzzy) * n / fuzzy + 1e-9) for n in lengths if n >= FUZZY_LEAST}
+    edits = {n: allowed_edits(n, fuzzy) for n in lengths if n >= FUZZY_LEAST}
     cut = sorted({(i + 1) * n // (d + 1) - i * n // (d + 1) for n, d in edits.items() for i in range(d + 1)})
     if not cut:
         return exact
@@ -98,21 +123,35 @@ def match_texts(texts: DataFrame, phrases: DataFrame, fuzzy: float = FUZZY) -> D
     return exact.unionByName(best.select("match", F.col("b.rank").alias("rank"), (-F.col("b.s")).alias("score"), F.lit("difuso").alias("method")))
 
 
-def matched(segs: DataFrame, phrases: DataFrame, allergens: DataFrame, id_col: str = "doc_id", fuzzy: float = FUZZY) -> DataFrame:
-    """Segments with what they matched (nulls if nothing), the allergen's label, and first: whether the term is new in this declaration."""
-    found = match_texts(segs, phrases, fuzzy)
+def _analyzed_by_joins(docs: DataFrame, phrases: DataFrame, allergens: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """analyze() for a lexicon of any size: segments as rows that join what they match. Rows of equal id are told apart by a number."""
+    row = F.struct(F.monotonically_increasing_id().alias("n"))
+    rows = items(docs, id_col, text_col).withColumn("_row", row)
+    segs = rows.select("_row", F.explode("items").alias("i")).select("_row", "i.*")
+    found = match_by_joins(segs, phrases).withColumnRenamed("match", "_text")
+    # Texts without letters match nothing: each has a key of its own, so they don't meet in one task.
+    key = F.when(F.col("match") != "", F.col("match")).otherwise(F.concat_ws(":", F.lit("\x00"), F.col("_row.n"), F.col("pos")))
     names = allergens.select(F.col("tag").alias("allergen"), F.col("label").alias("allergen_label"))
-    out = declared(segs, id_col).join(found, "match", "left").join(small(phrases.select("rank", "term", "gluten", "allergen", "tag")), "rank", "left").join(small(names), "allergen", "left")
-    nth = F.row_number().over(Window.partitionBy(id_col, "term", "declaration").orderBy("pos"))
-    return out.withColumn("first", F.col("term").isNotNull() & (nth == 1))
+    out = segs.withColumn("_key", key).join(found, F.col("_key") == F.col("_text"), "left").join(small(phrases.select("rank", "term", "gluten", "allergen", "tag")), "rank", "left").join(small(names), "allergen", "left")
+    item = F.struct("pos", "raw", "term", "gluten", "allergen", "allergen_label", "tag", "score", "method", "declaration")
+    # The first of each term and declaration; all of an unknown one.
+    unknown = F.col("term").isNull() & (F.col("letters") >= UNKNOWN_LEAST)
+    first = out.where("term IS NOT NULL").groupBy("_row", "term", "declaration").agg(F.min(item).alias("m")).groupBy("_row").agg(F.array_sort(F.collect_list("m")).alias("matches"))
+    rest = out.where(unknown).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", "raw"))).alias("u"))
+    every = rows.select(id_col, "_row", "gluten_free_label").join(first, "_row", "left").join(rest, "_row", "left")
+    kind = every.schema["matches"].dataType.simpleString()
+    return every.select(id_col, "gluten_free_label", F.coalesce("matches", F.array().cast(kind)).alias("matches"), F.coalesce(F.transform("u", lambda x: x["raw"]), F.array().cast("array<string>")).alias("unknown"))
 
 
 def analyze(docs: DataFrame, phrases: DataFrame, allergens: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: gluten_free_label, matches (array of struct in order), unknown (array of text); all arrays empty for empty texts."""
-    rows = matched(segments(docs, id_col, text_col), phrases, allergens, id_col)
-    item = F.struct("pos", "raw", "term", "gluten", "allergen", "allergen_label", "tag", "score", "method", "declaration")
-    unknown = F.col("term").isNull() & (X.letters(F.col("raw")) >= UNKNOWN_LEAST)
-    per = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.when(F.col("first"), item))).alias("matches"), F.array_sort(F.collect_list(F.when(unknown, F.struct("pos", "raw")))).alias("u"))
-    out = docs.select(id_col, X.claims_gluten_free(F.col(text_col)).alias("gluten_free_label")).join(per, id_col, "left")
-    kind = per.schema["matches"].dataType.simpleString()
-    return out.select(id_col, "gluten_free_label", F.coalesce("matches", F.array().cast(kind)).alias("matches"), F.coalesce(F.transform("u", lambda x: x["raw"]), F.array().cast("array<string>")).alias("unknown"))
+    """One row a document: gluten_free_label, matches (array of struct in order), unknown (array of text); all arrays empty for null and
+    empty texts. A term counts once in each declaration. Repeated rows and rows of equal id are analysed each; no rows are exchanged."""
+    names = allergens.select(F.col("tag").alias("allergen"), F.col("label").alias("allergen_label"))
+    lexicon = Lexicon.of(phrases.join(F.broadcast(names), "allergen", "left"), "term", "gluten", "allergen", "allergen_label", "tag") if _few(names) else None
+    if lexicon is None:
+        return _analyzed_by_joins(docs, phrases, allergens, id_col, text_col)
+    return lexicon.analyze(items(docs, id_col, text_col), letters=UNKNOWN_LEAST)
+
+
+def _few(df: DataFrame, most: int = BROADCAST_PHRASES) -> bool:
+    return df.limit(most + 1).count() <= most

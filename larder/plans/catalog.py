@@ -325,7 +325,7 @@ m AS (SELECT DISTINCT trim(regexp_replace(strip_accents(lower(x.s)), '[^a-z]+',
 SELECT t AS match, arg_min(folded, rank) AS phrase FROM m JOIN r ON contains(' ' || t || ' ', ' ' || folded || ' ') GROUP BY t""")
 def lexicon_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[.,\n]+")).alias("s"))
-    texts = texts.select(F.trim(X._re(X.fold(F.col("s")), "[^a-z]+", " ")).alias("match")).distinct()
+    texts = texts.select(F.trim(X._re(X.fold(F.col("s")), "[^a-z]+", " ")).alias("match"))
     # Longer phrases first, as the ranks of the lexicon say; equal ones by name.
     phrases = _phrases(spark, sorted(_LEXICON)).select("rank", "folded", "words", "len")
     found = A.match_texts(texts, phrases, fuzzy=2.0)

@@ -130,7 +130,7 @@ def ocr_result(words: Column) -> Column:
     """raw_text, cleaned_text, ingredients_only and mean_confidence of recognised words."""
     seen = words_to_text(words)
     clean = X.clean_ocr_text(seen["raw_text"])
-    return X._once(F.struct(seen.alias("seen"), clean.alias("clean")), lambda x: F.struct(x["seen"]["raw_text"].alias("raw_text"), x["clean"].alias("cleaned_text"), X.ingredients_section(x["clean"]).alias("ingredients_only"), x["seen"]["mean_confidence"].alias("mean_confidence")))
+    return X.once(F.struct(seen.alias("seen"), clean.alias("clean")), lambda x: F.struct(x["seen"]["raw_text"].alias("raw_text"), x["clean"].alias("cleaned_text"), X.ingredients_section(x["clean"]).alias("ingredients_only"), x["seen"]["mean_confidence"].alias("mean_confidence")))
 
 
 def report_words(samples: DataFrame, phrases: DataFrame, allergens: DataFrame, id_col: str = "code", words_col: str = "words") -> DataFrame:
