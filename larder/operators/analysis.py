@@ -8,12 +8,13 @@ with the folded phrases; distinct runs of texts without one join on the pieces t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import distance
 from ..functions import text as X
 from .lexicon import FUZZY, FUZZY_LEAST, Lexicon, allowed_edits
+from .ordered import running_any
 
 # Fixed value: shortest unknown segment in letters.
 UNKNOWN_LEAST = 4
@@ -53,11 +54,10 @@ def small(df: DataFrame, most: int = BROADCAST_PHRASES) -> DataFrame:
 
 
 def declared(segs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Adds declaration: once traces are announced all later segments are traces, else after 'contains' they are contained."""
-    so_far = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    traces = F.max(X.has_trace_marker(F.col("folded"))).over(so_far)
-    contains = F.max(X.has_contains_marker(F.col("folded"))).over(so_far)
-    return segs.withColumn("declaration", _declaration(traces, contains))
+    """Adds declaration to segments as rows, for keys of any size (items() does it within a document's row)."""
+    flags = {"_traces": X.has_trace_marker(F.col("folded")), "_contains": X.has_contains_marker(F.col("folded"))}
+    told = running_any(segs, id_col, "pos", flags)
+    return told.withColumn("declaration", _declaration(F.col("_traces"), F.col("_contains"))).drop(*flags)
 
 
 def _runs(texts: DataFrame, sizes: list[int]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Bags of tags and classifiers over them: Bernoulli naive Bayes by aggregates, splits, library models.
+"""Bags of tags and classifiers over them: Bernoulli naive Bayes by aggregates, splits, trees and forests.
 
 Documents are long tables (id, tag, label); a document's vector is never built. Scoring sums over the
 tags present and adds each class's sum over absent ones, so its cost follows the tags that occur.
@@ -6,11 +6,18 @@ tags present and adds each class's sum over absent ones, so its cost follows the
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Least document frequency of a feature, smoothing, folds, share held out, seed.
-MIN_DF, ALPHA, FOLDS, HOLDOUT, SEED = 10, 1.0, 5, 0.25, 42
+from . import trees
+
+# Least document frequency of a feature, smoothing, folds, share held out, seed, trees of a forest.
+MIN_DF, ALPHA, FOLDS, HOLDOUT, SEED, TREES = 10, 1.0, 5, 0.25, 42, 120
+TREE_MODELS = ("decision_tree", "random_forest")
 
 
 def document_frequency(doc_tags: DataFrame, id_col: str, tag_col: str, least: int = MIN_DF) -> DataFrame:
@@ -117,36 +124,61 @@ def labelled_bags(rows: DataFrame, id_col: str, status, ingredients: str, least:
     return some.select(id_col, "label"), tags, document_frequency(tags, id_col, "tag", least)
 
 
-def holdout(docs: DataFrame, doc_tags: DataFrame, id_col: str, label_col: str, vocabulary: DataFrame, model: str = "random_forest") -> DataFrame:
-    """(id, label, prediction) of the held-out quarter by a library model fitted on the rest."""
-    split = stratified_split(docs, id_col, label_col)
-    bags = vectors(docs, doc_tags, id_col, label_col, [r.tag for r in vocabulary.select("tag").collect()]).join(split.select(id_col, "is_test"), id_col)  # the features, a bounded list
-    return train_library(library_models()[model], bags.where("NOT is_test"), bags.where("is_test"), id_col)
+#: Most features, as a row holds a bit for each and a task counts for each.
+MOST_FEATURES = 65_536
+
 
+def features(vocabulary: DataFrame) -> list[str]:
+    """The tags in order, if they are few enough."""
+    tags = [r.tag for r in vocabulary.select("tag").distinct().limit(MOST_FEATURES + 1).collect()]
+    if len(tags) > MOST_FEATURES:
+        raise ValueError(f"more than {MOST_FEATURES} features; raise the least document frequency")
+    return sorted(tags)
 
-def vectors(docs: DataFrame, doc_tags: DataFrame, id_col: str, label_col: str, vocabulary: list[str]) -> DataFrame:
-    """(id, label, features): sparse 0/1 vectors in the order of the vocabulary, for library models."""
-    from pyspark.ml.feature import CountVectorizerModel
 
-    bags = docs.select(id_col, F.col(label_col).alias("label")).join(doc_tags.groupBy(id_col).agg(F.collect_set("tag").alias("tags")), id_col, "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
-    return CountVectorizerModel.from_vocabulary(sorted(vocabulary), inputCol="tags", outputCol="features").setBinary(True).transform(bags).select(id_col, "label", "features")
+def classes_of(dealt: DataFrame, label_col: str = "label", most: int = 1000) -> list:
+    found = [r[0] for r in dealt.select(label_col).where(F.col(label_col).isNotNull()).distinct().orderBy(label_col).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} classes")
+    return found
 
 
-def library_models(seed: int = SEED) -> dict:
-    """Decision tree and random forest; depth 30 is the library's limit, so parity with unbounded trees is approximate."""
-    from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+def vectors(dealt: DataFrame, doc_tags: DataFrame, id_col: str, label_col: str, vocabulary: list[str]) -> DataFrame:
+    """(row, y, fold, bits) for trees: a bit for each feature, in order. dealt has a fold, -1 for held-out rows; rows without a label are left
+    out, and ids must be unique. Kept in memory or on disk, as trees read it at each level."""
+    classes, n, spark = classes_of(dealt, label_col), len(vocabulary), dealt.sparkSession
+    numbered = F.broadcast(spark.createDataFrame([(t, i) for i, t in enumerate(sorted(vocabulary))], "tag string, at int"))
+    named = F.broadcast(spark.createDataFrame([(c, i) for i, c in enumerate(classes)], T.StructType([T.StructField(label_col, dealt.schema[label_col].dataType), T.StructField("y", T.IntegerType())])))
+    sets = doc_tags.join(numbered, "tag").groupBy(id_col).agg(F.collect_set("at").alias("at"))  # a bag's own tags
+    rows = dealt.join(sets, id_col, "left").join(named, label_col).select(F.xxhash64(id_col).alias("row"), "y", "fold", "at")
+    width = -(-n // 8)
 
-    shared = {"featuresCol": "features", "labelCol": "y", "seed": seed, "maxDepth": 30}
-    return {"decision_tree": DecisionTreeClassifier(impurity="entropy", **shared), "random_forest": RandomForestClassifier(numTrees=120, featureSubsetStrategy="sqrt", impurity="gini", **shared)}
+    def packed(batches):
+        for b in batches:
+            out = []
+            for own in b["at"].to_pylist():
+                bits = np.zeros(width * 8, np.uint8)
+                bits[own or []] = 1
+                out.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([b["row"], b["y"], b["fold"], pa.array(out, pa.binary())], names=["row", "y", "fold", "bits"])
 
+    return rows.mapInArrow(packed, "row long, y int, fold int, bits binary").persist(StorageLevel.MEMORY_AND_DISK)
 
-def train_library(model, train: DataFrame, test: DataFrame, id_col: str) -> DataFrame:
-    """(id, label, prediction) of test by a library model."""
-    from pyspark.ml.feature import IndexToString, StringIndexer
 
-    index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(train)
-    done = model.fit(index.transform(train)).transform(test)
-    return IndexToString(inputCol="prediction", outputCol="named", labels=index.labels).transform(done).select(id_col, "label", F.col("named").alias("prediction"))
+def tree_runs(name: str, folds: list[int]) -> list[trees.Run]:
+    """A fit for each fold: an unlimited tree by entropy, or 120 trees by Gini impurity."""
+    if name == "decision_tree":
+        return [trees.Run(name, f) for f in folds]
+    return [trees.Run(name, f, TREES, "gini", True) for f in folds]
+
+
+def holdout(docs: DataFrame, doc_tags: DataFrame, id_col: str, label_col: str, vocabulary: DataFrame, model: str = "random_forest") -> DataFrame:
+    """(id, label, prediction) of the held-out quarter by trees grown on the rest."""
+    split = stratified_split(docs.select(id_col, F.col(label_col).alias("label")), id_col, "label").select(id_col, "label", F.when(F.col("is_test"), -1).otherwise(0).alias("fold"))
+    words, classes = features(vocabulary), classes_of(split)
+    told = trees.grow_and_predict(vectors(split, doc_tags, id_col, "label", words), tree_runs(model, [-1]), len(words), max(1, len(classes)))
+    told = told.join(F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(classes)), T.StructType([T.StructField("prediction", T.IntegerType()), T.StructField("named", split.schema["label"].dataType)]))), "prediction").select("row", F.col("named").alias("prediction"))
+    return split.where("fold = -1").withColumn("row", F.xxhash64(id_col)).join(told, "row").select(id_col, "label", "prediction")
 
 
 def bayes_predictions(train: DataFrame, test: DataFrame, doc_tags: DataFrame, id_col: str, label_col: str, vocabulary: DataFrame) -> DataFrame:
@@ -157,29 +189,36 @@ def bayes_predictions(train: DataFrame, test: DataFrame, doc_tags: DataFrame, id
 
 
 def compare_models(docs: DataFrame, doc_tags: DataFrame, id_col: str, label_col: str, vocabulary: DataFrame, names: list[str], k: int = FOLDS) -> DataFrame:
-    """(model, cv_accuracy, cv_std, n, accuracy, macro_precision, macro_recall, macro_f1): folds on the training part, measures on the held-out part."""
+    """(model, cv_accuracy, cv_std, n, accuracy, macro_precision, macro_recall, macro_f1): folds on the training part, measures on the held-out part.
+
+    Trees of all models, folds and the final fit grow together; naive Bayes counts once for all folds.
+    """
     from . import metrics
 
-    split = stratified_split(docs, id_col, label_col)
+    # Read by every model: kept in memory or on disk.
+    doc_tags, vocabulary = (x.persist(StorageLevel.MEMORY_AND_DISK) for x in (doc_tags, vocabulary))
+    split = stratified_split(docs.select(id_col, F.col(label_col).alias("label")), id_col, "label").persist(StorageLevel.MEMORY_AND_DISK)
     train, test = split.where("NOT is_test").drop("is_test"), split.where("is_test").drop("is_test")
-    dealt = stratified_folds(train, id_col, label_col, k)
-    words = sorted(r.tag for r in vocabulary.select("tag").collect())  # the features of the library's vectors, a bounded list
-    library, bags = library_models(), None
-    if any(n in library for n in names):
-        bags = vectors(docs, doc_tags, id_col, label_col, words)
-
-    def run(name: str, some: DataFrame, others: DataFrame) -> DataFrame:
-        if name not in library:
-            return bayes_predictions(some, others, doc_tags, id_col, label_col, vocabulary)
-        return train_library(library[name], bags.join(some.select(id_col), id_col), bags.join(others.select(id_col), id_col), id_col)
-
+    grown = [n for n in names if n in TREE_MODELS]
+    parts = []
+    if grown:
+        dealt = stratified_folds(train, id_col, "label", k).select(id_col, "label", "fold").unionByName(test.withColumn("fold", F.lit(-1)))
+        words, classes = features(vocabulary), classes_of(split)
+        rows = vectors(dealt, doc_tags, id_col, "label", words)
+        runs = [r for name in grown for r in tree_runs(name, [*range(k), -1])]
+        told = trees.grow_and_predict(rows, runs, len(words), max(1, len(classes)))
+        named = F.broadcast(docs.sparkSession.createDataFrame([(i, r.name, r.fold) for i, r in enumerate(runs)], "run int, model string, fold int"))
+        told = told.join(named, "run").persist(StorageLevel.MEMORY_AND_DISK)  # a row for each row of each model, read for both measures
+        for name in grown:
+            own = told.where(F.col("model") == name)
+            folds = own.where("fold >= 0").groupBy("fold").agg(F.avg((F.col("y") == F.col("prediction")).cast("double")).alias("accuracy"))
+            parts.append((name, folds, metrics.summary(own.where("fold = -1"), "y", "prediction")))
+    if "naive_bayes" in names:
+        folds = cross_validate(train, doc_tags, id_col, "label", vocabulary, k)
+        parts.append(("naive_bayes", folds, metrics.summary(bayes_predictions(train, test, doc_tags, id_col, "label", vocabulary), "label", "prediction")))
     out = None
-    for name in names:
-        folds = None
-        for f in range(k):
-            one = run(name, dealt.where(F.col("fold") != f), dealt.where(F.col("fold") == f)).agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a"))
-            folds = one if folds is None else folds.unionByName(one)
-        cv = folds.agg(F.lit(name).alias("model"), F.avg("a").alias("cv_accuracy"), F.stddev_pop("a").alias("cv_std"))
-        row = cv.join(F.broadcast(metrics.summary(run(name, train, test), "label", "prediction")))  # one row each
+    for name, folds, measures in sorted(parts, key=lambda p: names.index(p[0])):
+        cv = folds.agg(F.lit(name).alias("model"), F.avg("accuracy").alias("cv_accuracy"), F.stddev_pop("accuracy").alias("cv_std"))
+        row = cv.join(F.broadcast(measures))  # one row each
         out = row if out is None else out.unionByName(row)
     return out

@@ -373,9 +373,8 @@ def strongest_declaration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id, string_agg(event_type, ' ' ORDER BY event_id) FILTER (WHERE value >= 0) AS raw_text, round(avg(value) FILTER (WHERE value >= 0), 6) AS mean_confidence FROM events GROUP BY user_id""")
 def words_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.array_sort(F.collect_list(F.struct("event_id", F.col("event_type").alias("text"), F.col("value").alias("conf"))))
-    per = table(spark, sf_dir, "events").groupBy("user_id").agg(words.alias("w")).select("user_id", P.words_to_text(F.col("w")).alias("r"))
-    return per.select("user_id", "r.raw_text", F.round("r.mean_confidence", 6).alias("mean_confidence"))
+    said = P.words_of_rows(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type"), F.col("value"))
+    return said.withColumn("mean_confidence", F.round("mean_confidence", 6))
 
 
 # Classification metrics: quality against a rule on the length.
@@ -547,28 +546,23 @@ def labelled_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def forest_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The random forest on the held-out quarter; a row of measures, approximate by nature."""
+    """The random forest on the held-out quarter, a row of measures; tests compare its trees with plain ones."""
     docs, tags, vocabulary = _bags(spark, sf_dir)
     return M.summary(B.holdout(docs, tags, "o_orderkey", "label", vocabulary), "label", "prediction")
 
 
 @query()
 def tree_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A decision tree of the library on words of order priorities' parts; approximate by nature, so rows only."""
-    status = gluten_status_rows(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.col("status").alias("label"))
-    tags = _orders_with_tags(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.explode(X.tag_list(F.col("tags"))).alias("tag"))
-    split = B.stratified_split(status, "id", "label")
-    vocabulary = [r.tag for r in B.document_frequency(tags, "id", "tag").select("tag").collect()]
-    bags = B.vectors(split, tags, "id", "label", vocabulary).join(split.select("id", "is_test"), "id")
-    return B.train_library(B.library_models()["decision_tree"], bags.where("NOT is_test"), bags.where("is_test"), "id")
+    """A decision tree without a limit of depth on the words of orders' parts, by the weak labels; tests compare it with a plain one."""
+    docs, tags, vocabulary = _bags(spark, sf_dir)
+    return B.holdout(docs, tags, "o_orderkey", "label", vocabulary, "decision_tree").withColumnRenamed("o_orderkey", "id")
 
 
 @query()
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Naive Bayes, a decision tree and a random forest on the same split and five folds; rows only, as trees are approximate."""
-    status = gluten_status_rows(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.col("status").alias("label"))
-    tags = _orders_with_tags(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.explode(X.tag_list(F.col("tags"))).alias("tag"))
-    return B.compare_models(status, tags, "id", "label", B.document_frequency(tags, "id", "tag"), ["naive_bayes", "decision_tree", "random_forest"])
+    """Naive Bayes, a decision tree and a random forest on the same split and five folds of the labelled bags."""
+    docs, tags, vocabulary = _bags(spark, sf_dir)
+    return B.compare_models(docs, tags, "o_orderkey", "label", vocabulary, ["naive_bayes", "decision_tree", "random_forest"])
 
 
 # Stated label texts, end to end.

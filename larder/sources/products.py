@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,21 +54,47 @@ def read_typed(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return text.select(*(F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in like))
 
 
-def lookup_products(codes: DataFrame, fetch: Callable[[str], str | None], code_col: str = "code") -> DataFrame:
-    """(code, body) of each different code: what fetch gives for it, null where it fails; the lookups run in the tasks, batch by batch."""
-    import pandas as pd
+def lookup_batches(codes: DataFrame, fetch: Callable[[list[str]], dict[str, str]], code_col: str = "code", size: int = 100, tries: int = 3, wait: float = 1.0) -> DataFrame:
+    """(code, body, error) of each different code, asked for in batches of a partition. fetch gives what it found of a batch; one that raises
+    OSError is asked again after a wait that doubles, then its halves are, so that one bad code costs no other its body. A code that isn't
+    found has neither body nor error. Tasks that run again ask again."""
+
+    def asked(own: list[str]) -> Iterator[tuple[str, str | None, str | None]]:
+        for n in range(tries):
+            try:
+                found = fetch(own)
+                yield from ((c, found.get(c), None) for c in own)
+                return
+            except OSError as e:
+                error = f"{type(e).__name__}: {e}"
+                if n + 1 < tries:
+                    time.sleep(wait * 2**n)
+        if len(own) == 1:
+            yield own[0], None, error
+        else:
+            yield from asked(own[: len(own) // 2])
+            yield from asked(own[len(own) // 2 :])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[str] = []
+
+        def answers(own: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*asked(own), strict=True)], names=["code", "body", "error"])
 
-    def run(batches):
         for batch in batches:
-            bodies = []
-            for code in batch["code"]:
-                try:
-                    bodies.append(fetch(code))
-                except OSError:  # no answer
-                    bodies.append(None)
-            yield pd.DataFrame({"code": batch["code"], "body": bodies})
+            waiting += batch.column(0).to_pylist()
+            while len(waiting) >= size:
+                yield answers(waiting[:size])
+                waiting = waiting[size:]
+        if waiting:
+            yield answers(waiting)
+
+    return codes.select(F.col(code_col).cast("string").alias("code")).where("code IS NOT NULL").distinct().mapInArrow(run, "code string, body string, error string")
 
-    return codes.select(F.col(code_col).cast("string").alias("code")).where("code IS NOT NULL").distinct().mapInPandas(run, "code string, body string")
+
+def lookup_products(codes: DataFrame, fetch: Callable[[str], str | None], code_col: str = "code") -> DataFrame:
+    """(code, body) of each different code, for services that answer one at a time: what fetch gives for it, null where it fails."""
+    return lookup_batches(codes, lambda own: {c: fetch(c) for c in own}, code_col, size=1, tries=1).select("code", "body")
 
 
 def filter_dump(dump: DataFrame, tag: str = stats.COUNTRY_TAG, markers: list[str] | None = None) -> tuple[DataFrame, Observation, Observation]:
@@ -126,6 +154,14 @@ def words_to_text(words: Column) -> Column:
     return F.struct(F.array_join(F.transform(good, lambda w: F.trim(w["text"])), " ").alias("raw_text"), F.coalesce(F.try_divide(total, F.size(good)), F.lit(0.0)).alias("mean_confidence"))
 
 
+def words_of_rows(rows: DataFrame, key: str, order: str, text: Column, conf: Column) -> DataFrame:
+    """words_to_text() of words as rows: (key, raw_text, mean_confidence), for keys of any size; no task gathers all words of a key."""
+    from ..operators.ordered import concatenated
+
+    said = concatenated(rows, key, order, F.trim(text), conf, (F.trim(text) != "") & (conf >= 0))
+    return said.select(key, F.col("text").alias("raw_text"), F.coalesce(F.try_divide("total", "n"), F.lit(0.0)).alias("mean_confidence"))
+
+
 def ocr_result(words: Column) -> Column:
     """raw_text, cleaned_text, ingredients_only and mean_confidence of recognised words."""
     seen = words_to_text(words)
