@@ -19,7 +19,7 @@ them; both count the same.
 Defined results: an own row is one of the query's id, so no row of the same id is its neighbour; repeated rows
 (equal id and vector) are candidates each and one query; rows of equal id and other vectors are queries each;
 null ids, null, empty or zero vectors, nulls, NaN or infinities in them, and vectors of another length
-than the most frequent (ties: the longer) take no part; fewer candidates than k give all of them; ties go to the smaller id; an
+than the most frequent (ties: the longer) take no part, nor do norms of ``LARGEST`` or more, whose products may overflow; fewer candidates than k give all of them; ties go to the smaller id; an
 empty table gives an empty table; other columns are not read.
 """
 
@@ -46,6 +46,8 @@ FIRST, GROWTH = 0.2, 2.0
 #: Share of all (vector, window) pairs from which ranks are compared.
 WIDE = 1 / 16
 QUERIES = 512  # searched at once
+#: Norms from which inner products could pass the largest double.
+LARGEST = 1e150
 
 
 @cache
@@ -123,10 +125,10 @@ class Block:
         """(scores, ids) of the k best of the places, best first, none under least."""
         at = at[self.ids[at] != own]
         # In single precision first, with room for its error; what may be among the k best is computed exactly.
-        norm = math.sqrt(float(query @ query))
+        norm = float(norms(query[None])[0])
         rough = self.unit[at] @ (query / norm).astype(np.float32)
         room = 8 * (len(query) + 8) * 2.0**-24
-        floor = max(least / (norm * self.top), float(np.partition(rough, -k)[-k]) if len(at) > k else -math.inf)
+        floor = max(least / norm / self.top, float(np.partition(rough, -k)[-k]) if len(at) > k else -math.inf)
         at = at[rough >= floor - room]
         scores = (self.vectors[at].astype(np.float64) * query).sum(1)
         good = scores >= least
@@ -138,14 +140,20 @@ class Block:
         return scores[first], self.ids[at[first]]
 
 
+def norms(rows: np.ndarray) -> np.ndarray:
+    """Without underflow of squares."""
+    largest = np.abs(rows).max(1)
+    return largest * np.sqrt(((rows / largest[:, None]) ** 2).sum(1))
+
+
 def distance(score: np.ndarray | float, norm: np.ndarray | float, top: float):
-    return np.sqrt(np.maximum(0.0, 2 - 2 * np.asarray(score) / (norm * top)))
+    return np.sqrt(np.maximum(0.0, 2 - 2 * (np.asarray(score) / norm / top)))
 
 
 def search(block: Block, own: np.ndarray, queries: np.ndarray, least: np.ndarray, top: float, k: int, known_ids: list | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """(scores, ids) of each query's k best of the block that aren't under its least (-inf: not known); rows of known ids are verified too."""
     queries = queries.astype(np.float64)
-    norm = np.sqrt((queries * queries).sum(1))
+    norm = norms(queries)
     shadows = (queries / norm[:, None]).astype(np.float32) @ directions(queries.shape[1])[:, :-1].T
     z, known = reach() * (1 + 1e-4), np.isfinite(least)  # a trifle more, as projections are of single precision
     half = np.where(known, z * distance(np.where(known, least, 0), norm, top), FIRST)
@@ -242,15 +250,32 @@ def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
+def _checked(batch: pa.RecordBatch) -> Iterator[list[pa.Array]]:
+    """Of (id, vec): what takes part, with the vector's length and norm."""
+    ids, vectors = batch.columns
+    sizes = vectors.value_lengths().fill_null(0).to_numpy()
+    first = np.cumsum(sizes) - sizes
+    flat = vectors.flatten()
+    bad = np.flatnonzero(~np.isfinite(flat.cast(pa.float64()).fill_null(math.nan).to_numpy(zero_copy_only=False)))
+    ok = (sizes > 0) & ids.is_valid().to_numpy(zero_copy_only=False)
+    ok[np.searchsorted(first + sizes, bad, "right")] = False
+    for size in np.unique(sizes[ok]).tolist():
+        at = np.flatnonzero(ok & (sizes == size))
+        rows = flat.take(pa.array((first[at][:, None] + np.arange(size)).reshape(-1))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+        some = (rows != 0).any(1)
+        at, norm = at[some], norms(rows[some])
+        at, norm = at[norm < LARGEST], norm[norm < LARGEST]
+        take = pa.array(at)
+        yield [ids.take(take), vectors.take(take), pa.array(np.full(len(at), size, np.int32)), pa.array(norm)]
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int, float]:
     """((id, vec) of the rows that take part, their number, the largest norm)."""
-    finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
-    some = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where(F.col("id").isNotNull() & (F.size("vec") > 0) & finite & F.exists("vec", lambda x: x != 0))
-    largest = F.array_max(F.transform("vec", lambda x: F.abs(x).cast("double")))
-    norm = largest * F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + F.pow(x.cast("double") / largest, 2)))
-    per = some.groupBy(F.size("vec").alias("length")).agg(F.count("*").alias("n"), F.max(norm).alias("top"))
+    named = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+    some = C.arrow_map(named, ["id", "vec"], f"id long, vec {named.schema['vec'].dataType.simpleString()}, length int, norm double", lambda: _checked)
+    per = some.groupBy("length").agg(F.count("*").alias("n"), F.max("norm").alias("top"))
     first = per.orderBy(F.desc("n"), F.desc("length")).first()
-    return (some.where(F.size("vec") == first.length), first.n, first.top) if first else (some, 0, 1.0)
+    return (some.where(F.col("length") == first.length).select("id", "vec"), first.n, first.top) if first else (some.select("id", "vec"), 0, 1.0)
 
 
 def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, sample: int = SAMPLE) -> DataFrame:
@@ -264,7 +289,8 @@ def nearest(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
         taken = taken.where(F.pmod(F.xxhash64("id", "vec"), F.lit(1 << 30)) < int((1 << 30) * sample / n)).dropDuplicates()
     told = taken.toArrow()  # about `sample` rows, as hashes deal them and repeated rows count once
     blocks = spark.sparkContext.broadcast(_table(told["id"].combine_chunks(), told["vec"].combine_chunks()) if len(told) else (np.empty(0, np.int64), np.empty((0, 1))))
-    own = index.where(is_query(F.col("id"))).select("id", "vec").dropDuplicates()
+    # Dealt anew, as queries are few rows that cost much.
+    own = index.where(is_query(F.col("id"))).select("id", "vec").dropDuplicates().repartition(max(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     kind = own.schema["vec"].dataType.simpleString()
     asked = C.checkpoint(C.arrow_map(own, ["id", "vec"], f"id long, vec {kind}, least double, found array<long>", _bounds(blocks, top, k)))
     named = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "vec", "least", "found", F.xxhash64("vec").alias("query"))
