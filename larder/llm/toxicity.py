@@ -27,7 +27,9 @@ from . import common as C
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, SIZE = 12, 16
-ROWS = 1 << 14  # of each embedding table
+ROWS = 1 << 16  # of each embedding table
+#: A word or character run has a vector if at least so many training texts hold it, or one in so many of the fewer label's texts.
+RARE, SHARE = 8, 20
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -193,7 +195,7 @@ class Network:
             dv += dx @ p["w" + name].T
         return g, dv
 
-    def fit(self, texts: list[str], labels: list[int], rounds: int = 10, steps: int = 700, rate: float = 0.01, forget: float = 0.5, seed: int = 7) -> None:
+    def fit(self, texts: list[str], labels: list[int], rounds: int = 6, steps: int = 700, rate: float = 0.01, forget: float = 0.5, seed: int = 7) -> None:
         """At least so many rounds and about so many steps; in each, forget is the share of words known by their characters only, and of these some are hidden too."""
         r = np.random.default_rng(seed)
         x = Inputs.of(pa.array(texts, pa.string()))
@@ -205,6 +207,7 @@ class Network:
         n_grams = np.maximum(np.diff(x.gram_first), 1)
         # Few texts: smaller batches and more rounds, so the number of steps stays.
         batch = 128 if len(x.doc) > 20_000 else 32
+        self._forget_rare(x, first, max(RARE, int(min(y.sum(), len(y) - y.sum())) // SHARE))
         turn = -1
         while turn + 1 < rounds or step < steps:
             turn += 1
@@ -215,6 +218,7 @@ class Network:
                 if not len(own):
                     continue
                 top = own[np.argsort(-logit[own])]
+                # At most six windows of a toxic text and five of a clean one in a round; scores see all.
                 if y[d]:
                     take = top[: max(1, len(own) // 4) if turn > 1 else 6][:6]
                 else:
@@ -240,14 +244,30 @@ class Network:
                 step += 1
                 for name, into, what in (("words", x.word_row[some], dv * known), ("grams", grams, dv[own] * seen)):
                     # Adam on the rows touched only.
-                    hit, which = np.unique(into, return_inverse=True)
+                    hit, which = np.unique(into, return_inverse=True)  # rows without a vector keep none
                     grad = np.zeros((len(hit), SIZE), np.float32)
                     np.add.at(grad, which, what)
+                    grad[~self.known[name][hit]] = 0
                     self._adam(name, grad, mean, square, step, rate, hit)
                 for name, grad in g.items():
                     self._adam(name, grad, mean, square, step, rate, slice(None))
         self._calibrate(x, y)
 
+    def _forget_rare(self, x: Inputs, first: np.ndarray, least: int) -> None:
+        """Words and character runs of fewer training texts than least have no vector, as they could only be learned by heart; nor do those never seen."""
+        seen = {"words": np.zeros(ROWS, np.int32), "grams": np.zeros(ROWS, np.int32)}
+        for d in range(x.n_docs):
+            own = np.unique(x.windows[first[d] : first[d + 1]])
+            own = own[own >= 0]
+            seen["words"][np.unique(x.word_row[own])] += 1
+            if len(own):
+                begin, size = x.gram_first[own], x.gram_first[own + 1] - x.gram_first[own]
+                at = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+                seen["grams"][np.unique(x.gram_row[at])] += 1
+        self.known = {name: n >= least for name, n in seen.items()}
+        for name, known in self.known.items():
+            self.p[name][~known] = 0
+
     def _adam(self, name, grad, mean, square, step, rate, rows) -> None:
         m, s = mean[name], square[name]
         m[rows] = 0.9 * m[rows] + 0.1 * grad
