@@ -8,6 +8,7 @@ with the folded phrases; distinct runs of texts without one join on the pieces t
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,7 +127,8 @@ def match_by_joins(texts: DataFrame, phrases: DataFrame, fuzzy: float = FUZZY) -
 def _analyzed_by_joins(docs: DataFrame, phrases: DataFrame, allergens: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """analyze() for a lexicon of any size: segments as rows that join what they match. Rows of equal id are told apart by a number."""
     row = F.struct(F.monotonically_increasing_id().alias("n"))
-    rows = items(docs, id_col, text_col).withColumn("_row", row)
+    # Kept, in memory or on disk, as the number must be the same wherever it is read.
+    rows = items(docs, id_col, text_col).withColumn("_row", row).persist(StorageLevel.MEMORY_AND_DISK)
     segs = rows.select("_row", F.explode("items").alias("i")).select("_row", "i.*")
     found = match_by_joins(segs, phrases).withColumnRenamed("match", "_text")
     # Texts without letters match nothing: each has a key of its own, so they don't meet in one task.
