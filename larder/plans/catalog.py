@@ -677,7 +677,7 @@ def _changed(text, pairs: list[tuple[str, str]]):
     return text
 
 
-def _graded_sql(text: str, tail: str = "") -> str:
+def _graded_sql(text: str, tail: str = "", source: str = "documents") -> str:
     """CTEs m (first matches), u (unknown segments) and g (a graded row a document) of a text expression; tail tells several sets apart."""
     fold = lambda x: rf"trim(regexp_replace(strip_accents(lower({x})), '\s+', ' ', 'g'))"
     names = {t: K.ALLERGENS[a] for _, t, _, a in _STAND_INS if a}
@@ -685,7 +685,7 @@ def _graded_sql(text: str, tail: str = "") -> str:
     announce = lambda words: "|".join(words)
     return rf"""
 lex{tail} AS (SELECT term, gluten, label, row_number() OVER (ORDER BY k, i) AS rank FROM (VALUES {lexicon}) v(term, gluten, label, k, i)),
-txt{tail} AS (SELECT doc_id, {text} AS t FROM documents),
+txt{tail} AS (SELECT doc_id, {text} AS t FROM {source}),
 arr{tail} AS (SELECT doc_id, {_SPLIT_SQL.format(_CLEAN_SQL.format('t'))} AS a FROM txt{tail}),
 sg{tail} AS (SELECT doc_id, pos, raw, {fold('raw')} AS folded FROM (SELECT doc_id, unnest(a) AS raw, unnest(range(len(a))) AS pos FROM arr{tail})),
 sd{tail} AS (SELECT doc_id, pos, raw, trim(regexp_replace(regexp_replace({fold('raw')}, '\(?\s*\d+[.,]?\d*\s*%\s*\)?', ' ', 'g'), '[^a-z]+', ' ', 'g')) AS match,
@@ -708,11 +708,14 @@ g{tail} AS (SELECT doc_id, coalesce(n, 0) AS n_matches, coalesce(nu, 0) AS n_unk
 _GRADED = _graded_sql(_changed("text", _SPOKEN))
 
 
+def _stand_ins(spark: SparkSession) -> DataFrame:
+    return K.phrases(spark.createDataFrame([(i, t, g, a, None, []) for i, t, g, a in _STAND_INS], "entry int, term string, gluten string, allergen string, tag string, variants array<string>"))
+
+
 def _graded(spark: SparkSession, sf_dir: str, seen: bool = False) -> DataFrame:
-    entries = spark.createDataFrame([(i, t, g, a, None, []) for i, t, g, a in _STAND_INS], "entry int, term string, gluten string, allergen string, tag string, variants array<string>")
     text = _changed(F.col("text"), _SPOKEN)
     docs = table(spark, sf_dir, "documents").select("doc_id", (_changed(text, _SEEN) if seen else text).alias("text"))
-    return R.recommend(R.explain(R.assess(A.analyze(docs, K.phrases(entries), K.allergens(spark)))))
+    return R.recommend(R.explain(R.assess(A.analyze(docs, _stand_ins(spark), K.allergens(spark)))))
 
 
 @query(f"WITH {_GRADED} SELECT * FROM g")
@@ -764,3 +767,17 @@ def document_verdict_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of all documents before and after recognition has spoiled some letters."""
     before, after = (_graded(spark, sf_dir, seen).select("doc_id", F.col("gluten_grade").alias(n)) for seen, n in ((False, "b"), (True, "a")))
     return M.verdict_changes(before.join(after, "doc_id"), F.col("b"), F.col("a")).select("doc_id", "verdict_before", "verdict_after", "changed")
+
+
+_HEARD = {"click": "the,", "view": "in,", "purchase": "que,", "error": "pode conter", "signup": "der,"}
+_WORD_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _HEARD.items()) + " ELSE event_type END"
+_HEARD_SQL = f"(SELECT user_id AS doc_id, coalesce(string_agg({_WORD_SQL}, ' ' ORDER BY event_id) FILTER (WHERE value >= 0), '') AS text, coalesce(avg(value) FILTER (WHERE value >= 0), 0) AS quality FROM events GROUP BY user_id)"
+
+
+@query(f"""WITH {_graded_sql("text", source=_HEARD_SQL)} SELECT doc_id AS user_id, n_matches, n_unknown, gluten_grade, allergen_status, quality < 60 AS doubtful FROM g JOIN {_HEARD_SQL} USING (doc_id)""")
+def report_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of the words that a user's events stand for, in order, with their value as confidence; a user's words are never gathered by one task before they are joined."""
+    word = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in _HEARD.items()), F.col("event_type"))
+    told = P.report_word_rows(table(spark, sf_dir, "events"), "user_id", "event_id", word, F.col("value"), _stand_ins(spark), K.allergens(spark))
+    doubtful = F.exists("recommendations", lambda x: x.startswith("Confianca de OCR baixa"))
+    return told.select("user_id", F.size("matches").cast("long").alias("n_matches"), F.size("unknown").cast("long").alias("n_unknown"), "gluten_grade", "allergen_status", doubtful.alias("doubtful"))

@@ -169,14 +169,26 @@ def ocr_result(words: Column) -> Column:
     return X.once(F.struct(seen.alias("seen"), clean.alias("clean")), lambda x: F.struct(x["seen"]["raw_text"].alias("raw_text"), x["clean"].alias("cleaned_text"), X.ingredients_section(x["clean"]).alias("ingredients_only"), x["seen"]["mean_confidence"].alias("mean_confidence")))
 
 
-def report_words(samples: DataFrame, phrases: DataFrame, allergens: DataFrame, id_col: str = "code", words_col: str = "words") -> DataFrame:
-    """Reports of recognised images: the words (array of text, conf) are cleaned, the list is cut out, and its quality is told."""
+def _reported(texts: DataFrame, phrases: DataFrame, allergens: DataFrame, id_col: str) -> DataFrame:
+    """Reports of (id, raw_text, mean_confidence): the text is cleaned, the list is cut out, and the recognition's quality is told."""
     from ..operators import analysis, rules
 
-    seen = samples.select(id_col, ocr_result(F.col(words_col)).alias("seen"))
-    texts = seen.select(id_col, X.coalesce_text(F.col("seen.ingredients_only"), F.col("seen.cleaned_text")).alias("text"), F.col("seen.mean_confidence").alias("ocr_quality"))
-    told = rules.explain(rules.assess(analysis.analyze(texts, phrases, allergens, id_col, "text")))
-    return rules.recommend(told.join(texts.select(id_col, "ocr_quality"), id_col), F.col("ocr_quality"))
+    clean = texts.withColumn("_clean", X.clean_ocr_text(F.col("raw_text")))
+    cut = clean.select(id_col, X.coalesce_text(X.ingredients_section(F.col("_clean")), F.col("_clean")).alias("text"))
+    told = rules.explain(rules.assess(analysis.analyze(cut, phrases, allergens, id_col, "text")))
+    quality = texts.select(F.col(id_col).alias("_id"), F.col("mean_confidence").alias("ocr_quality"))
+    return rules.recommend(told.join(quality, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id"), F.col("ocr_quality"))
+
+
+def report_words(samples: DataFrame, phrases: DataFrame, allergens: DataFrame, id_col: str = "code", words_col: str = "words") -> DataFrame:
+    """Reports of recognised images, whose words are an array of (text, conf)."""
+    seen = samples.select(id_col, words_to_text(F.col(words_col)).alias("_seen"))
+    return _reported(seen.select(id_col, "_seen.raw_text", "_seen.mean_confidence"), phrases, allergens, id_col)
+
+
+def report_word_rows(rows: DataFrame, key: str, order: str, text: Column, conf: Column, phrases: DataFrame, allergens: DataFrame) -> DataFrame:
+    """Reports of recognised words that are rows, for images of any size."""
+    return _reported(words_of_rows(rows, key, order, text, conf), phrases, allergens, key)
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
