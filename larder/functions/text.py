@@ -134,6 +134,23 @@ def fold(c: Column) -> Column:
     return F.trim(_re(F.when(_ascii(c), F.lower(c)).otherwise(wide), f"{BLANK}+", " "))
 
 
+def _bare(c: str) -> str:
+    return unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", c.lower()) if not unicodedata.category(x).startswith("M")))
+
+
+@functools.cache
+def _unaccented() -> tuple[str, str]:
+    """What code points lose their accents to: those with a counterpart first, then those that go."""
+    found = {c: x for c in _points() if not _HANGUL[0] <= ord(c) <= _HANGUL[1] for x in [_bare(c)] if x != c and len(x) < 2}
+    kept = [c for c in found if found[c]]
+    return "".join(kept + [c for c in found if not found[c]]), "".join(found[c] for c in kept)
+
+
+def strip_accents(c: Column) -> Column:
+    """Lower case without marks, as SQL's strip_accents(lower()): unlike fold(), compatibility forms and blanks stay."""
+    return F.when(_ascii(c), F.lower(c)).otherwise(F.translate(F.lower(c), *_unaccented()))
+
+
 @F.arrow_udf(T.StringType())
 def _composed(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
