@@ -120,6 +120,7 @@ def labelled_bags(rows: DataFrame, id_col: str, status, ingredients: str, least:
     from . import rules
 
     some = rows.withColumn("label", status).where(rules.trainable(F.col(ingredients), F.col("label"))).select(id_col, "label", F.col(ingredients).alias("tags"))
+    some = some.persist(StorageLevel.MEMORY_AND_DISK)  # read by all three
     tags = some.select(id_col, F.explode(F.array_distinct(X.tag_list(F.col("tags")))).alias("tag"))
     return some.select(id_col, "label"), tags, document_frequency(tags, id_col, "tag", least)
 

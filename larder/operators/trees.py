@@ -1,32 +1,38 @@
 """Decision trees and random forests over bags of tags, without a limit of depth, all folds and trees at once.
 
-A row is its class and one bit a feature. Every tree of every run (a fold of a cross-validation, or the
-final fit) is grown together from the same rows: nodes of many rows are split level by level, one job a
-level, from class counts by (tree, node, feature) that tasks sum up first; once a node has few rows
-(``SMALL``) they are sent to one task, packed, which grows the rest of that subtree. The rows that a run
-predicts travel with those it learns from, so a subtree is grown, used and dropped in the same task, and
-what comes back is a share for each class.
+A row is its class and one bit a feature. Rows of equal bits, class and fold are one bag from the start,
+with their summed weight in every tree, so what follows grows with the different bags and not with the
+rows. Every tree of every run (a fold of a cross-validation, or the final fit) is grown together: nodes
+of many bags are split level by level, one job a level, from class counts by (tree, node, feature) that
+tasks sum up first; once a node has few bags they are sent to one task, packed, which grows the rest of
+that subtree. The bits that a run predicts travel with the bags it learns from, so a subtree is grown,
+used and dropped in the same task, and what comes back is a share for each class, joined to the rows.
 
 Splits: the largest decrease of impurity, ties to the first feature; a node that isn't pure is split as long as some
 feature tells its rows apart, even without a decrease. Forests draw each row with a Poisson(1) weight
 from the hash of (row, tree), look at the first sqrt(features) in the order of a hash of (tree, node,
-feature) that tell rows apart, and average the shares of their trees. All of it is the same on every run.
+feature) that tell rows apart, and average the shares of their trees. A node is named by its path, so
+results don't depend on where it is grown. All of it is the same on every run.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A node with at most so many rows is grown by one task.
-SMALL = 16_384
-#: Most nodes above those at a level, as the trees so far are sent to every task; more trees or rows raise SMALL.
+#: A node with at most so many bags times features (of 8 bytes) is grown by one task.
+SMALL_CELLS = 1 << 23
+#: Rows of a task that draws weights.
+DRAWN = 100_000
+#: Most nodes above those at a level, as the trees so far are sent to every task; more trees or bags raise what a task grows.
 MOST_NODES = 1 << 20
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
@@ -58,6 +64,25 @@ def bootstrap(rows: np.ndarray, tree: int) -> np.ndarray:
     return np.searchsorted(_POISSON, _mixed(rows, tree) / 2.0**64).astype(np.int64)
 
 
+#: By the first 12 bits of a hash: the weight, and whether the other bits decide it.
+_STEPS = np.searchsorted(_POISSON, np.arange(4097) / 4096)
+_WEIGHT, _UNSURE = _STEPS[:-1].astype(np.uint8), _STEPS[:-1] != _STEPS[1:]
+
+
+def bootstraps(rows: np.ndarray, trees: np.ndarray) -> np.ndarray:
+    """bootstrap() of all rows in all trees, a byte each."""
+    h = _mixed(rows)[:, None] ^ trees.astype(np.uint64)[None]
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(32)
+    cell = (h >> np.uint64(52)).astype(np.int16)
+    out = _WEIGHT[cell]
+    rest = _UNSURE[cell]
+    out[rest] = np.searchsorted(_POISSON, h[rest] / 2.0**64)
+    return out
+
+
 def impurity(counts: np.ndarray, kind: str) -> np.ndarray:
     """Of class counts along the last axis."""
     total = counts.sum(-1, keepdims=True)
@@ -149,11 +174,18 @@ class _Top:
         self.split: dict[int, dict[int, tuple[int, int]]] = {}
         self.leaf: dict[int, dict[int, list[float]]] = {}
         self.nodes: dict[int, int] = {}
+        self.names: dict[tuple[int, int], int] = {}
+
+    def name(self, tree: int, node: int) -> int:
+        """By which forests look at features, as in Subtree."""
+        return self.names.get((tree, node), 0)
 
     def open(self, tree: int, node: int, feature: int) -> int:
         child = self.nodes.get(tree, 1)
         self.nodes[tree] = child + 2
         self.split.setdefault(tree, {})[node] = feature, child
+        own = np.array([self.name(tree, node)], np.uint64)
+        self.names |= {(tree, child + i): int(_mixed(own, i + 1)[0]) for i in (0, 1)}
         return child
 
     def leaves(self, tree: int, x: np.ndarray) -> np.ndarray:
@@ -175,75 +207,119 @@ def _unpacked(column: pa.Array, features: int) -> np.ndarray:
     return np.unpackbits(flat, axis=1, count=features).astype(np.int64) if len(column) else np.empty((0, features), np.int64)
 
 
-def _of_tree(batch: pa.RecordBatch, run: Run, tree: int) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, flags of the rows to predict) of a batch in a tree. Held-out rows (fold -1) teach nothing."""
-    fold, row = batch["fold"].to_numpy(), batch["row"].to_numpy()
-    asked = fold == run.fold
-    weight = ((fold >= 0) & ~asked).astype(np.int64)
-    return weight * bootstrap(row, tree) if run.forest else weight, asked
+_BAGS = "bits binary, fold int, y int, weights binary"
+
+
+def _bagged(forest: np.ndarray):
+    """Of rows in order of (bits, fold, y): a row for each run of equal ones, with the number of rows and their weights in the trees that draw them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bits, row, fold, y = batch["bits"].to_pylist(), batch["row"].to_numpy(), batch["fold"].to_numpy(), batch["y"].to_numpy()
+            _, own = np.unique(np.array(bits, object), return_inverse=True) if bits[0] else (None, np.zeros(len(bits), int))
+            new = np.ones(len(bits), bool)
+            new[1:] = (np.diff(own) != 0) | (np.diff(fold) != 0) | (np.diff(y) != 0)
+            head, bag = np.flatnonzero(new), np.cumsum(new) - 1
+            weights = np.zeros((len(head), len(forest) + 1), np.uint32)
+            weights[:, 0] = np.diff(np.append(head, len(bits)))
+            taught = np.flatnonzero(fold >= 0)
+            for i in range(0, len(taught) if len(forest) else 0, 1024):
+                some = taught[i : i + 1024]
+                first = np.flatnonzero(np.diff(bag[some], prepend=-1))
+                weights[bag[some[first]], 1:] += np.add.reduceat(bootstraps(row[some], forest), first, axis=0, dtype=np.uint32)
+            packed = [zlib.compress(w.tobytes(), 1) if f >= 0 else b"" for w, f in zip(weights, fold[head], strict=True)]
+            at = pa.array(head)
+            yield pa.RecordBatch.from_arrays([batch["bits"].take(at), batch["fold"].take(at), batch["y"].take(at), pa.array(packed, pa.binary())], names=["bits", "fold", "y", "weights"])
+
+    return run
+
+
+class _Batch:
+    """Bags with their weights in each tree."""
+
+    def __init__(self, batch: pa.RecordBatch, runs: list[Run], features: int):
+        self.fold, self.y, self.x = batch["fold"].to_numpy(), batch["y"].to_numpy(), _unpacked(batch["bits"], features)
+        self.taught = np.flatnonzero(self.fold >= 0)
+        listed = _listed_runs(runs)
+        self.place = np.cumsum([r.forest for _, r in listed])
+        raw = b"".join(zlib.decompress(w) for w in batch["weights"].take(pa.array(self.taught)).to_pylist())
+        self.weights = np.frombuffer(raw, np.uint32).reshape(len(self.taught), int(self.place[-1]) + 1 if len(listed) else 1)
+
+    def of(self, run: Run, tree: int) -> tuple[np.ndarray, np.ndarray]:
+        """(weights, flags of the bags to predict) in a tree. Held-out rows (fold -1) teach nothing."""
+        weight, asked = np.zeros(len(self.y), np.int64), self.fold == run.fold
+        weight[self.taught] = self.weights[:, self.place[tree] if run.forest else 0]
+        weight[asked] = 0
+        return weight, asked
 
 
 def _level(runs: list[Run], top: _Top, large: set[tuple[int, int]], features: int, classes: int):
-    """Class counts by tree, node and feature (-1: of all rows) of the nodes that are to be split."""
+    """Class counts by tree, node and feature (-1: of all rows) of the nodes that are to be split, and after those of the classes the number of bags."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_tree: dict[int, list[int]] = {}
         for t, n in large:
             by_tree.setdefault(t, []).append(n)
         for batch in batches:
-            x, y = _unpacked(batch["bits"], features), batch["y"].to_numpy()
+            own = _Batch(batch, runs, features)
+            x, y = own.x, own.y
             for tree, (_, r) in enumerate(_listed_runs(runs)):
-                weight, _ = _of_tree(batch, r, tree)
+                weight, _ = own.of(r, tree)
                 node = top.leaves(tree, x)
                 some = np.flatnonzero((weight > 0) & np.isin(node, by_tree.get(tree, [])))
                 if not len(some):
                     continue
-                one_hot = np.zeros((len(some), classes), np.int64)
+                one_hot = np.zeros((len(some), classes + 1), np.int64)
                 one_hot[np.arange(len(some)), y[some]] = weight[some]
+                one_hot[:, classes] = 1
                 known, present, total = _counts(x[some], one_hot, node[some])
                 every = np.concatenate([total[:, None, :], present], 1)
                 i, f = np.nonzero(every.sum(2))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), tree, np.int32)), pa.array(known[i]), pa.array((f - 1).astype(np.int32)), *(pa.array(every[i, f, c]) for c in range(classes))], names=["tree", "node", "feature", *(f"c{c}" for c in range(classes))])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), tree, np.int32)), pa.array(known[i]), pa.array((f - 1).astype(np.int32)), *(pa.array(every[i, f, c]) for c in range(classes + 1))], names=["tree", "node", "feature", *(f"c{c}" for c in range(classes + 1))])
 
     return run
 
 
-def _split(runs: list[Run], features: int, classes: int):
-    """Of one node's counts, a row a feature: how it is split, the rows on either side, and the classes' shares."""
+def _split(runs: list[Run], top: _Top, features: int, classes: int):
+    """Of one node's counts, a row a feature: how it is split, the bags on either side, and the classes' shares."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         tree, node = (k.as_py() for k in key)
-        counts = np.zeros((features + 1, classes), np.int64)
-        counts[table["feature"].to_numpy() + 1] = np.stack([table[f"c{c}"].to_numpy() for c in range(classes)], 1)
-        f = int(best_splits(counts[None, 1:], counts[None, 0], _listed_runs(runs)[tree][1], tree, np.array([node], np.uint64))[0])
-        right = int(counts[f + 1].sum()) if f >= 0 else 0
-        return pa.table([pa.array([tree], pa.int32()), pa.array([node], pa.int64()), pa.array([f], pa.int32()), pa.array([int(counts[0].sum()) - right]), pa.array([right]), pa.array([(counts[0] / counts[0].sum()).tolist()])], names=["tree", "node", "feature", "left", "right", "share"])
+        counts = np.zeros((features + 1, classes + 1), np.int64)
+        counts[table["feature"].to_numpy() + 1] = np.stack([table[f"c{c}"].to_numpy() for c in range(classes + 1)], 1)
+        counts, bags = counts[:, :classes], counts[:, classes]
+        f = int(best_splits(counts[None, 1:], counts[None, 0], _listed_runs(runs)[tree][1], tree, np.array([top.name(tree, node)], np.uint64))[0])
+        right = int(bags[f + 1]) if f >= 0 else 0
+        return pa.table([pa.array([tree], pa.int32()), pa.array([node], pa.int64()), pa.array([f], pa.int32()), pa.array([int(bags[0]) - right]), pa.array([right]), pa.array([(counts[0] / counts[0].sum()).tolist()])], names=["tree", "node", "feature", "left", "right", "share"])
 
     return run
 
 
-_PACKED = "tree int, node long, bits binary, y binary, weight binary, asked binary, rows binary, truth binary"
+_PACKED = "tree int, node long, bits binary, y binary, weight binary, asked binary"
 
 
 def _sent(runs: list[Run], top: _Top, features: int):
-    """A row for each tree and node of a batch: what it learns from, and what it is asked for."""
+    """A row for each tree and node of a batch: what it learns from, and the bits it is asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y, row = _unpacked(batch["bits"], features), batch["y"].to_numpy(), batch["row"].to_numpy()
-            packed = np.packbits(x.astype(np.uint8), axis=1)
-            out = []
+            own = _Batch(batch, runs, features)
+            packed = np.packbits(own.x.astype(np.uint8), axis=1)
+            out, size = [], 0
             for tree, (_, r) in enumerate(_listed_runs(runs)):
-                weight, asked = _of_tree(batch, r, tree)
-                node = top.leaves(tree, x)
-                settled = np.isin(node, list(top.leaf.get(tree, {})))
-                for n in np.unique(node[((weight > 0) | asked) & ~settled]).tolist():
-                    here = node == n
-                    own, wanted = here & (weight > 0), here & asked
-                    out.append((tree, n, packed[own].tobytes(), y[own].astype(np.int32).tobytes(), weight[own].astype(np.uint8).tobytes(), packed[wanted].tobytes(), row[wanted].tobytes(), y[wanted].astype(np.int32).tobytes()))
-                    if len(out) == 64:
+                weight, asked = own.of(r, tree)
+                node = top.leaves(tree, own.x)
+                live = np.flatnonzero(((weight > 0) | asked) & ~np.isin(node, list(top.leaf.get(tree, {}))))
+                live = live[np.argsort(node[live], kind="stable")]
+                for here in np.split(live, np.flatnonzero(np.diff(node[live])) + 1) if len(live) else ():
+                    taught, wanted = here[weight[here] > 0], here[asked[here]]
+                    out.append((tree, int(node[here[0]]), packed[taught].tobytes(), own.y[taught].astype(np.int32).tobytes(), weight[taught].astype(np.uint32).tobytes(), packed[wanted].tobytes()))
+                    size += sum(map(len, out[-1][2:]))
+                    if size > 1 << 20:
                         yield _rows(out)
-                        out = []
+                        out, size = [], 0
             if out:
                 yield _rows(out)
 
@@ -251,68 +327,88 @@ def _sent(runs: list[Run], top: _Top, features: int):
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["tree", "node", "bits", "y", "weight", "asked", "rows", "truth"])
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["tree", "node", "bits", "y", "weight", "asked"])
 
 
-def _shares(which: int, rows: np.ndarray, y: np.ndarray, share: np.ndarray) -> dict[str, pa.Array]:
-    return {"run": pa.array(np.full(len(rows), which, np.int32)), "row": pa.array(rows), "y": pa.array(y.astype(np.int32))} | {f"c{c}": pa.array(share[:, c].astype(np.float64)) for c in range(share.shape[1])}
+def _shares(which: int, tree: int, bits: np.ndarray, share: np.ndarray) -> dict[str, pa.Array]:
+    """bits: packed, by row."""
+    each = [b.tobytes() for b in bits]
+    return {"run": pa.array(np.full(len(each), which, np.int32)), "tree": pa.array(np.full(len(each), tree, np.int32)), "bits": pa.array(each, pa.binary())} | {f"c{c}": pa.array(share[:, c].astype(np.float64)) for c in range(share.shape[1])}
 
 
 def _settled(runs: list[Run], top: _Top, features: int):
-    """Shares of the rows that fall in large nodes which can't be split: their rows are never gathered."""
+    """Shares of the bits that fall in large nodes which can't be split: their bags are never gathered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y, row = _unpacked(batch["bits"], features), batch["y"].to_numpy(), batch["row"].to_numpy()
+            own = _Batch(batch, runs, features)
+            packed = np.packbits(own.x.astype(np.uint8), axis=1)
             for tree, (which, r) in enumerate(_listed_runs(runs)):
-                if own := top.leaf.get(tree):
-                    _, asked = _of_tree(batch, r, tree)
-                    node = top.leaves(tree, x)
-                    some = np.flatnonzero(asked & np.isin(node, list(own)))
+                if known := top.leaf.get(tree):
+                    node = top.leaves(tree, own.x)
+                    some = np.flatnonzero((own.fold == r.fold) & np.isin(node, list(known)))
                     if len(some):
-                        yield pa.RecordBatch.from_pydict(_shares(which, row[some], y[some], np.array([own[n] for n in node[some].tolist()])))
+                        yield pa.RecordBatch.from_pydict(_shares(which, tree, packed[some], np.array([known[n] for n in node[some].tolist()])))
 
     return run
 
 
-def _grown(runs: list[Run], features: int, classes: int):
+def _different(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the different rows of packed bits, which of them each row is)."""
+    if bits.shape[1] <= 8:  # as numbers, which sort faster
+        wide = np.zeros((len(bits), 8), np.uint8)
+        wide[:, : bits.shape[1]] = bits
+        _, first, at = np.unique(wide.view(np.uint64).reshape(-1), return_index=True, return_inverse=True)
+        return bits[first], at
+    same, at = np.unique(bits, axis=0, return_inverse=True)
+    return same, at.reshape(-1)
+
+
+def _grown(runs: list[Run], top: _Top, features: int, classes: int):
     width = -(-features // 8)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         tree, node = (k.as_py() for k in key)
         which, r = _listed_runs(runs)[tree]
         read = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-        bits, y, weight = read("bits", np.uint8).reshape(-1, width), read("y", np.int32), read("weight", np.uint8).astype(np.int64)
-        asked, rows, truth = read("asked", np.uint8).reshape(-1, width), read("rows", np.int64), read("truth", np.int32)
-        # Rows of equal bits are one with the sum of their weights by class.
-        same, at = np.unique(bits, axis=0, return_inverse=True)
+        y, weight = read("y", np.int32), read("weight", np.uint32).astype(np.int64)
+        # Bags of equal bits are one with the sum of their weights by class.
+        same, at = _different(read("bits", np.uint8).reshape(len(y), width))
+        asked, _ = _different(read("asked", np.uint8).reshape(-1, width)) if width else (np.empty((1, 0), np.uint8), None)
         one_hot = np.zeros((len(same), classes), np.int64)
-        np.add.at(one_hot, (at.reshape(-1), y), weight)
+        np.add.at(one_hot, (at, y), weight)
         full = lambda b: np.unpackbits(b, axis=1, count=features).astype(np.int64)
-        if len(rows) and len(same):
-            share = Subtree(full(same), one_hot, r, tree, node).predict(full(asked))
+        if len(asked) and len(same):
+            share = Subtree(full(same), one_hot, r, tree, top.name(tree, node)).predict(full(asked))
         else:  # nobody asks, or nothing is known here
-            share = np.zeros((len(rows), classes))
-        return pa.table(_shares(which, rows, truth, share))
+            share = np.zeros((len(asked), classes))
+        return pa.table(_shares(which, tree, asked, share))
 
     return run
 
 
-def grow_and_predict(rows: DataFrame, runs: list[Run], features: int, classes: int, small: int = SMALL) -> DataFrame:
+def grow_and_predict(rows: DataFrame, runs: list[Run], features: int, classes: int, small: int | None = None) -> DataFrame:
     """(run, row, y, prediction): the class of each row that a run is asked for, ties to the first. Rows: (row long, y int, fold int, bits binary),
-    row unique, fold -1 for held-out rows, a table that is read once for each level. Without rows to learn from, the first class is told."""
-    taught = rows.where("fold >= 0").count()
+    row unique, fold -1 for held-out rows. Nodes of more than small bags are split by jobs. Without rows to learn from, the first class is told."""
+    spark = rows.sparkSession
     trees = sum(r.trees for r in runs)
-    small = max(small, taught * trees // MOST_NODES)
-    top = _Top()
     names = [f"c{c}" for c in range(classes)]
-    large = {(t, 0) for t in range(trees)} if taught > small else set()
     used = rows.select("row", "y", "fold", "bits")
+    # In order, so equal rows are neighbours; ranges end within a bag of many rows, too.
+    tasks = max(spark.sparkContext.defaultParallelism, used.count() // DRAWN + 1)
+    order = ["bits", "fold", "y"]
+    forest = np.array([t for t, (_, r) in enumerate(_listed_runs(runs)) if r.forest], np.int64)
+    bags = used.repartitionByRange(tasks, *order, "row").sortWithinPartitions(*order).mapInArrow(_bagged(forest), _BAGS).persist(StorageLevel.MEMORY_AND_DISK)
+    taught = bags.where("fold >= 0").count()
+    small = max(small or max(1024, SMALL_CELLS // max(1, features)), taught * trees // MOST_NODES)
+    top = _Top()
+    large = {(t, 0) for t in range(trees)} if taught > small else set()
     while large:
-        kind = "tree int, node long, feature int, " + ", ".join(f"{c} long" for c in names)
-        sums = used.mapInArrow(_level(runs, top, large, features, classes), kind).groupBy("tree", "node", "feature").agg(*(F.sum(c).alias(c) for c in names))
-        found = sums.groupBy("tree", "node").applyInArrow(_split(runs, features, classes), "tree int, node long, feature int, left long, right long, share array<double>").collect()  # of large nodes, MOST_NODES at most
+        counted = [*names, f"c{classes}"]
+        kind = "tree int, node long, feature int, " + ", ".join(f"{c} long" for c in counted)
+        sums = bags.mapInArrow(_level(runs, top, large, features, classes), kind).groupBy("tree", "node", "feature").agg(*(F.sum(c).alias(c) for c in counted))
+        found = sums.groupBy("tree", "node").applyInArrow(_split(runs, top, features, classes), "tree int, node long, feature int, left long, right long, share array<double>").collect()  # of large nodes, MOST_NODES at most
         large = set()
         for s in found:
             if s.feature >= 0:
@@ -320,12 +416,15 @@ def grow_and_predict(rows: DataFrame, runs: list[Run], features: int, classes: i
                 large |= {(s.tree, c) for c, n in ((child, s.left), (child + 1, s.right)) if n > small}
             else:
                 top.leaf.setdefault(s.tree, {})[s.node] = s.share
-    sent = used.mapInArrow(_sent(runs, top, features), _PACKED)
-    kind = "run int, row long, y int, " + ", ".join(f"{c} double" for c in names)
-    share = sent.groupBy("tree", "node").applyInArrow(_grown(runs, features, classes), kind)
+    sent = bags.mapInArrow(_sent(runs, top, features), _PACKED)
+    kind = "run int, tree int, bits binary, " + ", ".join(f"{c} double" for c in names)
+    # Few large groups, so a task for each tree.
+    share = sent.repartition(max(spark.sparkContext.defaultParallelism, min(trees, 2000)), "tree", "node").groupBy("tree", "node").applyInArrow(_grown(runs, top, features, classes), kind)
     if top.leaf:
-        share = share.unionByName(used.mapInArrow(_settled(runs, top, features), kind))
-    mean = share.groupBy("run", "row", "y").agg(*(F.sum(c).alias(c) for c in names))
+        share = share.unionByName(bags.mapInArrow(_settled(runs, top, features), kind).dropDuplicates(["tree", "bits"]))
+    mean = share.groupBy("run", "bits").agg(*(F.sum(c).alias(c) for c in names))
     # The first class of the largest sum.
-    order = F.array(*(F.struct(-F.round(c, 9), F.lit(i).alias("i")) for i, c in enumerate(names)))
-    return mean.select("run", "row", "y", F.array_min(order)["i"].alias("prediction"))
+    first = F.array_min(F.array(*(F.struct(-F.round(c, 9), F.lit(i).alias("i")) for i, c in enumerate(names))))["i"]
+    folds = F.broadcast(spark.createDataFrame([(i, r.fold) for i, r in enumerate(runs)], "run int, fold int"))
+    told = mean.select("run", "bits", first.alias("prediction")).join(folds, "run")
+    return used.join(told, ["fold", "bits"]).select("run", "row", "y", "prediction")

@@ -122,3 +122,23 @@ def test_comparison_against_plain_models(spark, sf):
         want.append(np.mean([tree(rows[k][0]) == rows[k][1] for k in asked]))
     got = B.compare_models(docs, tags, "o_orderkey", "label", vocabulary, ["decision_tree"]).first()
     assert abs(got.cv_accuracy - np.mean(want[:5])) < 1e-9 and abs(got.cv_std - np.std(want[:5])) < 1e-9 and abs(got.accuracy - want[5]) < 1e-9
+
+
+def test_all_draws_at_once():
+    rows = np.concatenate([np.arange(40_000), np.array([-1, 2**63 - 1, -(2**63)])])
+    got = T.bootstraps(rows, np.arange(7))
+    assert all((got[:, t] == T.bootstrap(rows, t)).all() for t in range(7))
+
+
+def test_forests_wherever_nodes_are_grown(spark, monkeypatch):
+    """Nodes split by jobs and within a task give the same forest; rows of equal bags never add up to a large node."""
+    monkeypatch.setattr(T, "MOST_NODES", 1 << 40)
+    rows = [(x, y, f) for x, y, f in bags(6, 150, 9)] * 4
+    runs = [T.Run("forest", f, 6, "gini", True) for f in (0, -1)]
+    given = table(spark, rows, 9)
+    key = lambda small: sorted(map(tuple, T.grow_and_predict(given, runs, 9, 3, small).collect()))
+    assert key(12) == key(None)
+    levels = []
+    monkeypatch.setattr(T, "_level", lambda *a: levels.append(a) or pytest.fail("a level was split by a job"))
+    few = [(frozenset([i % 3]), i % 2, -1 if i % 4 == 0 else 0) for i in range(400)]
+    assert len(T.grow_and_predict(table(spark, few, 3), [T.Run("forest", -1, 3, "gini", True)], 3, 2, 20).collect()) == 100 and not levels
