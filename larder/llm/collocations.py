@@ -1,9 +1,10 @@
 """Phrase collocations of a corpus, by count-min sketches and an exact second pass.
 
-First pass: each task adds the hashes of all its n-grams (of 1 to ``max_words`` words, by language) to
-a count-min sketch of fixed size, whose cells stop at the least count that matters. Sketches travel as
-compressed chunks of cells, are summed up chunk by chunk, and leave one bit a cell: whether it reached
-that count. A sketch never underestimates, so an n-gram with a cell unset is rare for certain.
+First pass: each task adds the hashes of its n-grams (by language) to a count-min sketch, whose cells stop
+at the least count that matters. Sketches travel as compressed chunks of cells, are summed up chunk by
+chunk, and leave one bit a cell: whether it reached that count. A sketch never underestimates, so an
+n-gram with a cell unset is rare for certain. Words and pairs are sketched first, longer n-grams after
+them: only those whose pairs all passed, as most rare n-grams would otherwise fill the cells.
 
 Second pass: n-grams whose cells are all set (and whose shorter n-grams all passed) are counted
 exactly, first within a slice of texts, then by Spark's partial and final sums. Nothing frequent is
@@ -16,7 +17,8 @@ longer one are dropped, and each language's first ``top`` are ranked.
 
 Defined results: null texts are empty; null languages are ``und``; repeated rows count again, as they
 are documents of their own; other columns are not read; an empty table gives an empty table. Memory
-of a task: the sketch (``SKETCHES`` x 2^``BITS`` cells of a byte) and one slice of texts or a longer one.
+of a task: a sketch (``SKETCHES`` x 2^``BITS`` cells of a byte, for large corpora up to 2^``MOST_BITS``) and
+one slice of texts or a longer one.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ from . import common as C
 LEAST, MAX_WORDS, TOP = 30, 4, 2000
 #: Hash functions of the sketch, and bits of a cell's number in each.
 SKETCHES, BITS = 2, 24
+#: Bytes of text for each cell, until a sketch has its most bits.
+CELL_BYTES, MOST_BITS = 32, 26
+#: Words of the n-grams that are sketched first.
+SHORT = 2
 CHUNK = 1 << 18
 SLICE = 1 << 22
 #: In how many parts a language's candidates are ranked before the first of all parts are.
@@ -115,26 +121,45 @@ def add_to(sketch: np.ndarray, h: np.ndarray, bits: int, least: int) -> None:
         row[at] = np.minimum(row[at] + n, least)
 
 
-def all_hashes(grams: Grams, max_words: int) -> np.ndarray:
-    every, at, h = [], np.arange(len(grams)), None
-    for k in range(1, max_words + 1):
-        if k == 1:
-            h = grams.first(0)
-        else:
-            some = grams.inside(at, k)
-            h = grams.longer(h[np.searchsorted(at, some)], some, k, 0)
-            at = some
-        every.append(h)
-    return np.concatenate(every)
+def runs_of(grams: Grams, sizes: range, lanes: tuple[int, ...], passed) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """(k, places, hashes in each lane) of the n-grams of each size up to the last whose shorter ones all passed; passed(k, hashes) gives flags, or None for all."""
+    at, h = np.arange(len(grams)), [grams.first(i) for i in lanes]
+    for k in range(1, sizes[-1] + 1):
+        if k > 1:
+            # Both shorter runs must have passed.
+            some = grams.inside(at[:-1][at[1:] == at[:-1] + 1], k)
+            before = np.searchsorted(at, some)
+            at, h = some, [grams.longer(x[before], some, k, i) for x, i in zip(h, lanes, strict=True)]
+        ok = passed(k, h[0])
+        if ok is not None:
+            at, h = at[ok], [x[ok] for x in h]
+        if not len(at):
+            return
+        if k in sizes:
+            yield k, at, h
 
 
-def _sketched(max_words: int, bits: int, least: int):
+def sized(packed: list[np.ndarray]):
+    """Flags of n-grams of k words by the sketches so far, the first of which knows the short ones."""
+    bits = [(len(p) * 8 // SKETCHES).bit_length() - 1 for p in packed]
+
+    def passed(k: int, h: np.ndarray) -> np.ndarray | None:
+        i = 0 if k <= SHORT else 1
+        return passes(packed[i], h, bits[i]) if i < len(packed) else None
+
+    return passed
+
+
+def _sketched(sizes: range, bits: int, least: int, before):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed = sized([np.frombuffer(b.value, np.uint8) for b in before])
         sketch = np.zeros((SKETCHES, 1 << bits), np.uint8 if least < 256 else np.int64)
         try:
             for batch in batches:
                 for _, _, grams in _grams(batch):
-                    add_to(sketch, all_hashes(grams, max_words), bits, least)
+                    found = [h[0] for _, _, h in runs_of(grams, sizes, (0,), passed)]
+                    if found:
+                        add_to(sketch, np.concatenate(found), bits, least)
             flat = sketch.reshape(-1)
             for i in range(0, len(flat), CHUNK):
                 part = flat[i : i + CHUNK]
@@ -170,9 +195,12 @@ def _summed(least: int):
     return run
 
 
-def merged_sketch(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST, bits: int = BITS) -> np.ndarray:
-    """Packed bits of the cells of all sketches, row after row, that reached the least count: SKETCHES x 2^bits / 8 bytes, whatever the corpus."""
-    rows = docs.mapInArrow(_sketched(max_words, bits, least), "chunk int, cells binary")
+def merged_sketch(docs: DataFrame, sizes: range, least: int = LEAST, bits: int = BITS, before: tuple = ()) -> np.ndarray:
+    """Packed bits of the cells of all sketches, row after row, that reached the least count: SKETCHES x 2^bits / 8 bytes, whatever the corpus.
+    before: broadcast sketches of shorter n-grams."""
+    # A task sends a whole sketch, so they are a few for each core at most.
+    few = docs.coalesce(max(8, 4 * docs.sparkSession.sparkContext.defaultParallelism))
+    rows = few.mapInArrow(_sketched(sizes, bits, least, before), "chunk int, cells binary")
     sums = rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_summed(least), "chunk int, bits binary")
     chunk = min(CHUNK, SKETCHES << bits) // 8
     out = np.zeros((SKETCHES << bits) // 8, np.uint8)
@@ -209,11 +237,11 @@ def distinct(h: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _COUNTED = "lang string, k int, phrase string, n long"
 
 
-def _survivors(packed, max_words: int, bits: int):
+def _survivors(packed: tuple, max_words: int):
     """Of each slice: a row for each different n-gram that passes, and for each language one of k 0 with the number of its words."""
 
     def make():
-        flags = np.frombuffer(packed.value, np.uint8)
+        passed = sized([np.frombuffer(p.value, np.uint8) for p in packed])
 
         def each(batch: pa.RecordBatch) -> Iterator[list[pa.Array]]:
             langs = batch.column(0)
@@ -222,17 +250,7 @@ def _survivors(packed, max_words: int, bits: int):
                 coded = own.dictionary_encode()
                 words = np.bincount(coded.indices.to_numpy(), weights=grams.words.counts, minlength=len(coded.dictionary)).astype(np.int64)
                 yield [coded.dictionary, pa.array(np.zeros(len(words), np.int32)), pa.array([""] * len(words)), pa.array(words)]
-                at, h, g = np.arange(len(grams)), grams.first(0), grams.first(1)
-                for k in range(1, max_words + 1):
-                    if k > 1:
-                        # Both shorter runs must have passed.
-                        some = grams.inside(at[:-1][at[1:] == at[:-1] + 1], k)
-                        before = np.searchsorted(at, some)
-                        at, h, g = some, grams.longer(h[before], some, k, 0), grams.longer(g[before], some, k, 1)
-                    ok = passes(flags, h, bits)
-                    at, h, g = at[ok], h[ok], g[ok]
-                    if not len(at):
-                        break
+                for k, at, (h, g) in runs_of(grams, range(1, max_words + 1), (0, 1), passed):
                     one, n = distinct(h, g)
                     yield [own.take(pa.array(grams.words.doc[at[one]])), pa.array(np.full(len(one), k, np.int32)), grams.texts(at[one], k), pa.array(n.astype(np.int64))]
 
@@ -241,11 +259,20 @@ def _survivors(packed, max_words: int, bits: int):
     return make
 
 
-def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, least: int = LEAST, bits: int = BITS) -> DataFrame:
+def sketch_bits(rows: DataFrame) -> int:
+    """Bits of a cell's number for texts of that many bytes."""
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    return min(MOST_BITS, max(BITS, (size // CELL_BYTES).bit_length()))
+
+
+def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, least: int = LEAST, bits: int | None = None) -> DataFrame:
     """(lang, k, phrase, n) of all phrases of k words that occur so often; and of k 0 the number of each language's words."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    packed = docs.sparkSession.sparkContext.broadcast(merged_sketch(rows, max_words, least, bits).tobytes())
-    some = C.arrow_map(rows, ["lang", "text"], _COUNTED, _survivors(packed, max_words, bits))
+    bits, sent = bits or sketch_bits(rows), ()
+    for sizes in (range(1, min(SHORT, max_words) + 1), range(SHORT + 1, max_words + 1)):
+        if sizes:
+            sent += (docs.sparkSession.sparkContext.broadcast(merged_sketch(rows, sizes, least, bits, sent).tobytes()),)
+    some = C.arrow_map(rows, ["lang", "text"], _COUNTED, _survivors(sent, max_words))
     return some.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("k") == 0))
 
 
@@ -284,7 +311,7 @@ def subsumed(candidates: DataFrame, max_words: int = MAX_WORDS, percent: int = 8
     return both.where(F.col("_most").cast("decimal(20,0)") * 100 >= F.col("a").cast("decimal(20,0)") * percent).select("lang", "phrase")
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, least: int = LEAST, percent: int = 80, top: int = TOP, bits: int = BITS) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS, least: int = LEAST, percent: int = 80, top: int = TOP, bits: int | None = None) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first phrases by score, count and name."""
     counts = C.checkpoint(frequent(docs, text_col, lang_col, max_words, least, bits))
     scored = C.checkpoint(score(counts, max_words))

@@ -264,3 +264,20 @@ def test_line_stream():
                 early[key(x)[0]] = min(early.get(key(x)[0], key(x)), key(x))
         gone = {key(x) for x in out if x["kind"] == 0 or x["kind"] == 1 and total[key(x)[0]] >= least and not (first and early[key(x)[0]] == key(x))}
         assert gone == plain(rows, least, first)
+
+
+def test_collocations_rare_phrases_stay_out_of_full_cells(spark):
+    """Far more rare phrases than cells: few rows pass, as long phrases are sketched only where their pairs passed."""
+    import numpy as np
+    from larder.llm import collocations as P
+
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in r.integers(0, 600, 1500)) + ". new york city hall" for _ in range(80)]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(2)
+    bits, sent = 14, ()
+    for sizes in (range(1, 3), range(3, 5)):
+        sent += (spark.sparkContext.broadcast(P.merged_sketch(docs, sizes, 30, bits, sent).tobytes()),)
+    rows = P.C.arrow_map(docs.select("lang", "text"), ["lang", "text"], P._COUNTED, P._survivors(sent, 4)).where("k >= 3").count()
+    assert rows < 10_000  # of some 240 000 different ones, which all passed one sketch of all sizes
+    got = {(x.phrase, x.n) for x in P.frequent(docs, bits=bits).where("k >= 2").collect()}
+    assert got == {(x.phrase, x.n) for x in P.frequent(docs, bits=22).where("k >= 2").collect()} and ("new york city hall", 80) in got
