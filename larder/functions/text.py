@@ -159,7 +159,7 @@ def _composed(texts: pa.Array) -> pa.Array:
 def compose(c: Column) -> Column:
     """Canonical composition (NFC). Marks may come in any number and order, for which there is no built-in expression;
     only texts that hold marks or other unsettled characters are sent to a worker."""
-    unsettled = ~_ascii(c) & c.rlike(_unsettled())
+    unsettled = ~_ascii(c) & c.rlike(r"[^\x00-\x{2ff}]") & c.rlike(_unsettled())  # the first is quick, and true of all that the second finds
     return F.when(unsettled, _composed(F.when(unsettled, c))).otherwise(c)
 
 
@@ -243,7 +243,8 @@ def drop_header(c: Column) -> Column:
 
 def segments(c: Column) -> Column:
     """Array of the list's items in order; an opening parenthesis stays in its item, as closing ones separate."""
-    text = _re(_re(drop_header(normalize_unicode(c)), PERCENT, " "), JOINED, "$1$2,")
+    plain = lambda t: F.when(t.contains("%"), _re(t, PERCENT, " ")).otherwise(t)
+    text = _re(once(drop_header(normalize_unicode(c)), plain), JOINED, "$1$2,")
     parts = F.transform(F.split(text, SEPARATORS), lambda x: F.btrim(x, F.lit(EDGES)))
     return F.filter(parts, lambda x: x != "")
 
@@ -254,7 +255,8 @@ def match_string(c: Column) -> Column:
 
 
 def match_words(folded: Column) -> Column:
-    return F.trim(_re(_re(folded, PERCENT, " "), r"[^a-z]+", " "))
+    """Percentages hold no letters, so they go with the rest."""
+    return F.trim(_re(folded, r"[^a-z]+", " "))
 
 
 def tag_list(c: Column) -> Column:

@@ -1,8 +1,8 @@
 """Analysis of ingredient lists: segments, lexicon matches, running declarations, first occurrences.
 
-A document is analysed within its row, without an exchange: its segments, their declarations and what
-is unknown are array expressions, and matches come from an automaton (``lexicon``) that each text walks
-once. A lexicon too large for the workers is joined instead: exact matches are an equi-join of word runs
+A document is analysed within its row, without an exchange: its segments are an array expression, and
+their declarations, matches and what is unknown come from one pass (``lexicon``) in which each text is
+folded and walks an automaton once. A lexicon too large for the workers is joined instead: exact matches are an equi-join of word runs
 with the folded phrases; distinct runs of texts without one join on the pieces that ``lexicon`` states.
 """
 
@@ -152,7 +152,8 @@ def analyze(docs: DataFrame, phrases: DataFrame, allergens: DataFrame, id_col: s
     lexicon = Lexicon.of(phrases.join(F.broadcast(names), "allergen", "left"), "term", "gluten", "allergen", "allergen_label", "tag") if _few(names) else None
     if lexicon is None:
         return _analyzed_by_joins(docs, phrases, allergens, id_col, text_col)
-    return lexicon.analyze(items(docs, id_col, text_col), letters=UNKNOWN_LEAST)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return lexicon.analyze(docs.select(id_col, text.alias("text"), X.segments(text).alias("segments")), letters=UNKNOWN_LEAST)
 
 
 def _few(df: DataFrame, most: int = BROADCAST_PHRASES) -> bool:

@@ -9,23 +9,69 @@ beyond it ``analysis`` joins instead.
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as X
+
 # Acceptance of approximate matches, their shortest phrase.
 FUZZY = 0.84
 FUZZY_LEAST = 5
 #: Most phrases, and bytes of phrases, that are sent to every worker.
 MOST_PHRASES, MOST_BYTES = 200_000, 32_000_000
-#: Remembered texts of a task.
-REMEMBERED = 100_000
+#: Remembered texts of a task, and their longest.
+REMEMBERED, REMEMBERED_CHARS = 50_000, 100
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 21
+
+_WIDE, _OTHER = re.compile(r"[^\x00-\x7f]+"), re.compile("[^a-z]+")
+_BLANKED = {i: " " for i in range(128) if not 97 <= i < 123}
+_CLAIM = re.compile(X.CLAIM, re.ASCII)
+
+
+@functools.lru_cache(1 << 14)
+def _bare(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
+def _lowered(text: str) -> str:
+    text = text.lower()
+    return text if text.isascii() else _WIDE.sub(lambda m: "".join(map(_bare, m[0])), text)
+
+
+def fold(text: str) -> str:
+    """X.fold of one text: lower case without accents and compatibility forms, blanks collapsed."""
+    return " ".join(_lowered(text).split())
+
+
+def match_words(folded: str) -> str:
+    """X.match_words of one text."""
+    return " ".join((folded.translate(_BLANKED) if folded.isascii() else _OTHER.sub(" ", folded)).split())
+
+
+def claims(folded: str) -> bool:
+    return "gluten" in folded and _CLAIM.search(folded) is not None
+
+
+def text_claims(text: str) -> bool:
+    """claims() of a whole text, whose blanks matter only if it names gluten."""
+    lowered = _lowered(text)
+    return "gluten" in lowered and claims(" ".join(lowered.split()))
+
+
+def enough_letters(text: str, least: int) -> bool:
+    return len(text) >= least and sum(map(str.isalpha, text)) >= least
 
 
 def allowed_edits(length: int, least: float) -> int:
@@ -81,9 +127,12 @@ class Matcher:
         """The phrase of the highest ratio to a run of as many words, ties to the more specific."""
         if not len(self.pieces):
             return None
+        pieces = list(self.pieces.iter(text))
+        if not pieces:
+            return None
         starts = [0, *(i + 1 for i, c in enumerate(text) if c == " ")]
         best, tried = None, set()
-        for end, (size, of) in self.pieces.iter(text):
+        for end, (size, of) in pieces:
             at = end - size + 1
             for i, place, d in of:
                 for w in range(bisect_left(starts, at - place - d), bisect_right(starts, min(at, at - place + d))):
@@ -100,12 +149,15 @@ class Matcher:
         """(number of the phrase, score) of a text's match, whole ones (score 1) first."""
         if not text:
             return None
-        if text not in self.known:
+        if text in self.known:
+            return self.known[text]
+        whole = min((i for _, i in self.whole.iter(f" {text} ")), default=None) if len(self.whole) else None
+        found = (whole, 1.0) if whole is not None else self.near(text)
+        if len(text) <= REMEMBERED_CHARS:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            whole = min((i for _, i in self.whole.iter(f" {text} ")), default=None) if len(self.whole) else None
-            self.known[text] = (whole, 1.0) if whole is not None else self.near(text)
-        return self.known[text]
+            self.known[text] = found
+        return found
 
 
 class Lexicon:
@@ -125,15 +177,16 @@ class Lexicon:
             return None
         return cls(table.toArrow().sort_by("rank"), table.schema, phrases.sparkSession)
 
-    def _over(self, df: DataFrame, schema: T.StructType, fuzzy: float, each: Callable[[Matcher, pa.Table, pa.RecordBatch], list[pa.Array]]) -> DataFrame:
-        """df's batches through a function that is given the automata, made once a task."""
+    def _over(self, df: DataFrame, schema: T.StructType, fuzzy: float, each: Callable[[Matcher, pa.Table, pa.RecordBatch], list[pa.Array]], sized: str) -> DataFrame:
+        """df's batches, in parts of some bytes of the sized column, through a function that is given the automata, made once a task."""
         sent = self.spark.sparkContext.broadcast((self.rows.combine_chunks(), fuzzy))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table, least = sent.value
             found = Matcher(table["folded"].to_pylist(), least)
             for batch in batches:
-                yield pa.RecordBatch.from_arrays(each(found, table, batch), names=schema.names)
+                for part in _parts(batch, sized):
+                    yield pa.RecordBatch.from_arrays(each(found, table, part), names=schema.names)
 
         return df.mapInArrow(run, schema)
 
@@ -141,38 +194,41 @@ class Lexicon:
         return [T.StructField(f.name, f.dataType) for f in self.schema if f.name not in but]
 
     def analyze(self, rows: DataFrame, fuzzy: float = FUZZY, letters: int = 4) -> DataFrame:
-        """rows: an id, gluten_free_label and items (array of pos, raw, match, declaration, letters); gives matches and unknown in place of
-        items: what matched, each term once in a declaration, and the raw text of what didn't but has so many letters."""
-        item = {f.name: f for f in rows.schema["items"].dataType.elementType}
-        own = {"pos", "raw", "declaration"}
-        kinds = [T.StructField(n, item[n].dataType) for n in ("pos", "raw")] + self._fields(("folded", "rank")) + [T.StructField("score", T.DoubleType()), T.StructField("method", T.StringType()), T.StructField("declaration", T.StringType())]
-        schema = T.StructType([*(f for f in rows.schema if f.name != "items"), T.StructField("matches", T.ArrayType(T.StructType(kinds))), T.StructField("unknown", T.ArrayType(T.StringType()))])
-        at = rows.columns.index("items")
+        """rows: an id, text and its segments; gives (id, gluten_free_label, matches, unknown): what matched, each term once in a declaration, and
+        the segments that didn't but have so many letters. Segments that claim are left out. Once traces are announced all later segments are
+        traces, else after 'contains' they are contained."""
+        id_col = rows.columns[0]
+        kinds = [T.StructField("pos", T.IntegerType()), T.StructField("raw", T.StringType()), *self._fields(("folded", "rank")), T.StructField("score", T.DoubleType()), T.StructField("method", T.StringType()), T.StructField("declaration", T.StringType())]
+        schema = T.StructType([rows.schema[id_col], T.StructField("gluten_free_label", T.BooleanType()), T.StructField("matches", T.ArrayType(T.StructType(kinds))), T.StructField("unknown", T.ArrayType(T.StringType()))])
+        traces, contains = ((lambda folded, own=tuple(m): any(x in folded for x in own)) for m in (X.TRACE_MARKERS, X.CONTAINS_MARKERS))
 
         def each(found: Matcher, table: pa.Table, batch: pa.RecordBatch) -> list[pa.Array]:
-            lists = batch.column(at)
-            flat, sizes = lists.flatten(), lists.value_lengths().fill_null(0).to_pylist()
-            term, said, long_ = table["term"].to_pylist(), flat.field("declaration").to_pylist(), flat.field("letters").to_pylist()
-            hits = [found.find(t) for t in flat.field("match").to_pylist()]
-            first, unknown, n_first, n_unknown, place = [], [], [], [], 0
-            for n in sizes:
-                seen, before = set(), (len(first), len(unknown))
-                for i in range(place, place + n):
-                    if hits[i] is None:
-                        if long_[i] >= letters:
-                            unknown.append(i)
-                    elif (key := (term[hits[i][0]], said[i])) not in seen:
+            term = table["term"].to_pylist()
+            pos, raw, said, hits, unknown, n_first, n_unknown = [], [], [], [], [], [], []
+            for segments in batch.column(2).to_pylist():
+                seen, before, state = set(), (len(hits), len(unknown)), "ingrediente"
+                for i, segment in enumerate(segments):
+                    folded = fold(segment)
+                    if claims(folded):
+                        continue
+                    if state != "tracos":
+                        state = "tracos" if traces(folded) else "contem" if state == "contem" or contains(folded) else state
+                    hit = found.find(match_words(folded))
+                    if hit is None:
+                        if enough_letters(segment, letters):
+                            unknown.append(segment)
+                    elif (key := (term[hit[0]], state)) not in seen:
                         seen.add(key)
-                        first.append(i)
-                place += n
-                n_first.append(len(first) - before[0])
+                        for column, value in zip((pos, raw, said, hits), (i, segment, state, hit), strict=True):
+                            column.append(value)
+                n_first.append(len(hits) - before[0])
                 n_unknown.append(len(unknown) - before[1])
-            chosen, of = flat.take(pa.array(first, pa.int64())), _taken(table, [hits[i] for i in first])
-            structs = pa.StructArray.from_arrays([chosen.field(f.name) if f.name in own else of[f.name] for f in kinds], names=[f.name for f in kinds])
-            rest = [c for i, c in enumerate(batch.columns) if i != at]
-            return [*rest, _listed(structs, n_first), _listed(flat.field("raw").take(pa.array(unknown, pa.int64())), n_unknown)]
+            of = _taken(table, hits) | {"pos": pa.array(pos, pa.int32()), "raw": pa.array(raw, pa.string()), "declaration": pa.array(said, pa.string())}
+            structs = pa.StructArray.from_arrays([of[f.name] for f in kinds], names=[f.name for f in kinds])
+            free = pa.array([text_claims(t) for t in batch.column(1).to_pylist()], pa.bool_())
+            return [batch.column(0), free, _listed(structs, n_first), _listed(pa.array(unknown, pa.string()), n_unknown)]
 
-        return self._over(rows, schema, fuzzy, each)
+        return self._over(rows, schema, fuzzy, each, "text")
 
     def match(self, texts: DataFrame, fuzzy: float = FUZZY) -> DataFrame:
         """(match, the phrases' columns but folded, score, method) of the texts (column match) that match."""
@@ -184,7 +240,19 @@ class Lexicon:
             of = _taken(table, [hits[i] for i in some])
             return [batch.column(0).take(pa.array(some, pa.int64())), *(of[f.name] for f in kinds[1:])]
 
-        return self._over(texts.select("match"), T.StructType(kinds), fuzzy, each)
+        return self._over(texts.select("match"), T.StructType(kinds), fuzzy, each, "match")
+
+
+def _parts(batch: pa.RecordBatch, sized: str) -> Iterator[pa.RecordBatch]:
+    """A batch cut into runs of rows of about SLICE bytes, so what a worker holds doesn't follow the batch."""
+    begin, size = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch[sized]), 0).to_pylist()):
+        size += n
+        if size >= SLICE:
+            yield batch.slice(begin, i + 1 - begin)
+            begin, size = i + 1, 0
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
 
 
 def _taken(table: pa.Table, hits: list[tuple[int, float]]) -> dict[str, pa.Array]:

@@ -90,3 +90,28 @@ def test_lexicons_that_are_odd(spark):
     assert A.match_texts(spark.createDataFrame([("trigo",), ("trigo",), ("",), (None,)], "match string"), none).count() == 0
     some = K.phrases(K.lexicon(spark))
     assert [r.match for r in A.match_texts(spark.createDataFrame([("trigo",), ("trigo",), ("",), (None,)], "match string"), some).collect()] == ["trigo"]
+
+
+def test_folding_in_the_pass_is_that_of_columns(spark):
+    import unicodedata
+
+    from larder.functions import text as X
+    from pyspark.sql import functions as F
+
+    r, odd = random.Random(2), [chr(i) for i in range(0x80, 0x3000) if unicodedata.ucd_3_2_0.category(chr(i)) != "Cn"] + list(" \t\n\x1c12%(),.AZaz") * 40 + ["가", "ﬁ", "Ａ", "\U0001d400"]
+    texts = ["".join(r.choices(odd, k=r.randrange(12))) for _ in range(3000)] + ["sem  glúten", "0 % GLUTEN", "isento de\ngluten", "glu ten", "(1,5 %) sal", "ab%cd 3%"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.fold(F.col("t")).alias("f"), X.match_string(F.col("t")).alias("m"), X.claims_gluten_free(F.col("t")).alias("c"), (X.letters(F.col("t")) >= 4).alias("l"))
+    for x in df.collect():
+        assert (x.f, x.m, x.c, x.l) == (L.fold(x.t), L.match_words(L.fold(x.t)), L.text_claims(x.t), L.enough_letters(x.t, 4)), x
+
+
+def test_batches_are_cut_by_bytes():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"i": list(range(9)), "text": ["x" * (L.SLICE // 2)] * 7 + [None, "x" * 3 * L.SLICE]})
+    parts = list(L._parts(batch, "text"))
+    assert [i for p in parts for i in p["i"].to_pylist()] == list(range(9)) and len(parts) == 4
+    found = L.Matcher(["sal"])
+    for i in range(200):
+        found.find("x" * (L.REMEMBERED_CHARS + i))
+    assert len(found.known) == 1
