@@ -9,7 +9,7 @@ windows of the whole text are read, so one toxic passage counts anywhere.
 Training needs labels of documents only: in each round a toxic document's highest windows are
 positive, and clean documents' highest and some other windows are negative. It uses at most
 ``per_class`` documents of each label and ``per_class_bytes`` bytes of their texts, those of least
-hash of the text; the limits concern the fit alone. The fitted network (under 2 MB) goes to the tasks.
+hash of the text; the limits concern the fit alone. One task fits, not the driver; the fitted network (under 2 MB) goes to the tasks.
 
 Defined results: null and empty text and texts without words score 0; rows without label or with a
 null id teach nothing; several labels of a document count as the highest; equal rows get equal
@@ -18,6 +18,9 @@ results; without labels of both kinds all scores are 0; an empty table gives an
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,7 +47,8 @@ class Inputs:
         w = C.Words(low, offs, C.NOT_ALNUM)
         self.n_docs = len(offs) - 1
         some, first, self.word = np.unique(w.hash, return_index=True, return_inverse=True)
-        self.n_words = len(some)
+        self.n_words, self.hash = len(some), some
+        self.kept = np.arange(self.n_words)  # where each word's rows stand
         self.word_row = (some % np.uint64(ROWS)).astype(np.int64)
         # Character n-grams of the different words, bounded by a mark: all trigrams, and starts and ends of 4 to 6.
         start, size = w.start[first], (w.end - w.start)[first]
@@ -80,18 +84,22 @@ class Inputs:
 
     @classmethod
     def of(cls, texts: pa.Array) -> Inputs:
-        """Of many texts, made slice by slice and put together."""
-        parts = [cls(data, offs) for _, _, data, offs in C.slices(texts)]
-        out = parts[0]
-        for name in ("word_row", "gram_row"):
-            setattr(out, name, np.concatenate([getattr(x, name) for x in parts]))
-        words = np.cumsum([0, *(x.n_words for x in parts)])
-        docs = np.cumsum([0, *(x.n_docs for x in parts)])
-        grams = np.cumsum([0, *(x.gram_first[-1] for x in parts)])
-        out.windows = np.concatenate([np.where(x.windows < 0, -1, x.windows + n).astype(np.int32) for x, n in zip(parts, words, strict=False)])
-        out.doc = np.concatenate([x.doc + n for x, n in zip(parts, docs, strict=False)])
-        out.gram_first = np.concatenate([*(x.gram_first[:-1] + n for x, n in zip(parts, grams, strict=False)), grams[-1:]])
-        out.n_words, out.n_docs = int(words[-1]), int(docs[-1])
+        """Of many texts, made slice by slice and put together. Each slice numbers its words anew, but the rows of a word of several slices stand once."""
+        out, seen, words, docs = None, {}, 0, 0
+        parts = {k: [] for k in ("windows", "doc", "kept", "word_row", "gram_row", "sizes")}
+        for _, _, data, offs in C.slices(texts):
+            x, before = cls(data, offs), len(seen)
+            kept = np.array([seen.setdefault(h, len(seen)) for h in x.hash.tolist()], np.int32)
+            new = np.flatnonzero(kept >= before)
+            size = np.diff(x.gram_first)[new]
+            grams = np.arange(size.sum()) + np.repeat(x.gram_first[new] - (np.cumsum(size) - size), size)
+            own = (np.where(x.windows < 0, -1, x.windows + words).astype(np.int32), x.doc + docs, kept, x.word_row[new], x.gram_row[grams], size)
+            for part, values in zip(parts.values(), own, strict=True):
+                part.append(values)
+            words, docs, out = words + x.n_words, docs + x.n_docs, x
+        whole = {k: np.concatenate(parts.pop(k)) for k in list(parts)}
+        out.gram_first = np.append(0, np.cumsum(whole.pop("sizes")))
+        vars(out).update(whole, n_words=words, n_docs=docs, word=None, hash=None)
         return out
 
 
@@ -108,10 +116,22 @@ class Network:
         }
         self.curve = (1.0, 0.0)
 
+    def __getstate__(self) -> dict:
+        """Most rows of the tables have no vector."""
+        some = {name: np.flatnonzero(self.p[name].any(1)) for name in ("words", "grams")}
+        return {"p": self.p | {name: self.p[name][own] for name, own in some.items()}, "some": some, "curve": self.curve}
+
+    def __setstate__(self, state: dict) -> None:
+        self.p, self.curve = dict(state["p"]), state["curve"]
+        for name, own in state["some"].items():
+            values = self.p[name]
+            self.p[name] = np.zeros((ROWS, SIZE), values.dtype)
+            self.p[name][own] = values
+
     def embed(self, x: Inputs, most: int = 20_000) -> np.ndarray:
-        """Vectors of the slice's different words, so many at a time."""
+        """Vectors of the different words, so many at a time."""
         out = self.p["words"][x.word_row]
-        for lo in range(0, x.n_words, most):
+        for lo in range(0, len(out), most):
             first = x.gram_first[lo : lo + most + 1]
             rows = x.gram_row[first[0] : first[-1]]
             out[lo : lo + most] += np.add.reduceat(self.p["grams"][rows], first[:-1] - first[0], axis=0) / np.diff(first)[:, None].astype(np.float32)
@@ -154,13 +174,13 @@ class Network:
         if not len(x.windows):
             return np.empty(0, np.float32)
         v = self.embed(x)
-        return np.concatenate([self._part(v, x.windows[i : i + most]) for i in range(0, len(x.windows), most)])
+        return np.concatenate([self._part(v, x.kept, x.windows[i : i + most]) for i in range(0, len(x.windows), most)])
 
-    def _part(self, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
+    def _part(self, vectors: np.ndarray, kept: np.ndarray, index: np.ndarray) -> np.ndarray:
         """Logits of some windows, with the gates of their own words only."""
         some, local = np.unique(index, return_inverse=True)
         local = local.reshape(index.shape) - (some[0] < 0)
-        return self.logits(vectors[some[some >= 0]], local)
+        return self.logits(vectors[kept[some[some >= 0]]], local)
 
     def gradients(self, vectors: np.ndarray, index: np.ndarray, label: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of the mean cross entropy, by parameter and by word vector."""
@@ -232,7 +252,7 @@ class Network:
                 index = x.windows[use[at]]
                 some, local = np.unique(index, return_inverse=True)
                 local = local.reshape(index.shape) - (some[0] < 0)
-                some = some[some >= 0]
+                some = x.kept[some[some >= 0]]
                 rows = np.concatenate([np.arange(x.gram_first[s], x.gram_first[s + 1]) for s in some])
                 own = np.repeat(np.arange(len(some)), n_grams[some])
                 grams = x.gram_row[rows]
@@ -258,7 +278,7 @@ class Network:
         seen = {"words": np.zeros(ROWS, np.int32), "grams": np.zeros(ROWS, np.int32)}
         for d in range(x.n_docs):
             own = np.unique(x.windows[first[d] : first[d + 1]])
-            own = own[own >= 0]
+            own = x.kept[own[own >= 0]]
             seen["words"][np.unique(x.word_row[own])] += 1
             if len(own):
                 begin, size = x.gram_first[own], x.gram_first[own + 1] - x.gram_first[own]
@@ -309,13 +329,23 @@ def train(docs: DataFrame, labels: DataFrame, teach, id_col: str = "doc_id", tex
     chosen = local.withColumn("r", F.row_number().over(least)).withColumn("n", F.sum("n").over(least)).where((F.col("r") <= per_class) & (F.col("n") <= per_class_bytes)).select("y", "h")
     hashes = [r.h for r in chosen.select("h").distinct().collect()]  # 2 * per_class at most
     picked = some.withColumn("h", F.xxhash64("text")).where(F.col("h").isin(hashes)) if hashes else some.withColumn("h", F.lit(0)).limit(0)
-    rows = picked.join(own, "id").groupBy("h").agg(F.first("text").alias("text"), F.max("y").alias("y")).orderBy("h").collect()
-    y = [int(r.y > 0) for r in rows]
-    if not 0 < sum(y) < len(y):
-        return None
-    net = Network()
-    net.fit([r.text for r in rows], y)
-    return net
+    rows = picked.join(own, "id").groupBy("h").agg(F.first("text").alias("text"), F.max("y").alias("y"))
+    found = rows.repartition(1).sortWithinPartitions("h").select("text", "y").mapInArrow(_fitted, "net binary").collect()
+    return pickle.loads(found[0].net) if found else None
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The network of a task's texts, 2 * per_class at most, if they have both labels."""
+    texts, y = [], []
+    for batch in batches:
+        texts += batch.column(0).to_pylist()
+        y += [int(n > 0) for n in batch.column(1).to_pylist()]
+    if 0 < sum(y) < len(y):
+        net = Network()
+        net.fit(texts, y)
+        del texts
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+    C.tidy()
 
 
 def _scorer(net: Network | None):
