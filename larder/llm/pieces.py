@@ -22,6 +22,7 @@ import heapq
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
+import numpy as np
 import sentencepiece
 
 MARK = "▁"
@@ -141,10 +142,27 @@ class Backtracker:
         # The next shorter vocabulary string at the same place.
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.alone), p[0] if len(p) > 1 else None) for p in words}
         self.fits: dict[tuple[str, str], bool] = {}
+        self.packed = np.empty(0, np.int64)
+
+    def pack(self) -> None:
+        """Neighbours of the vocabulary become a number for each pair until fit() is asked again; others are forgotten."""
+        if self.fits:
+            ids = ((self.m.ids.get(a), self.m.ids.get(b), ok) for (a, b), ok in self.fits.items())
+            self.packed = np.array([a << 32 | b << 1 | ok for a, b, ok in ids if a is not None and b is not None], np.int64)
+            self.fits = {}
+
+    def _unpack(self) -> None:
+        a, b, ok = self.packed >> 32, self.packed >> 1 & 0x7FFFFFFF, self.packed & 1 > 0
+        piece = self.m.piece
+        self.fits = {(piece[i], piece[j]): v for i, j, v in zip(a.tolist(), b.tolist(), ok.tolist(), strict=True)}
+        self.packed = self.packed[:0].copy()
 
     def fit(self, a: str, b: str) -> bool:
         """Whether merging a + b gives a and b."""
         known = self.fits.get((a, b))
+        if known is None and len(self.packed):
+            self._unpack()
+            known = self.fits.get((a, b))
         if known is None:
             if len(self.fits) >= MEMORY:
                 self.fits.clear()
@@ -269,9 +287,11 @@ class Encoder(dict):
 
 
 def forget(path: str) -> None:
-    """At a task's end: what was remembered goes, so an idle worker holds no more than the model."""
-    encoder(path).clear()
-    encoder(path).old = {}
+    """At a task's end: chunks go and neighbours are packed, so an idle worker holds little more than the model."""
+    code = encoder(path)
+    code.clear()
+    code.old, code.other = {}, {}
+    code.by.pack()
 
 
 @functools.lru_cache(2)
