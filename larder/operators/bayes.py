@@ -6,6 +6,8 @@ tags present and adds each class's sum over absent ones, so its cost follows the
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -92,26 +94,33 @@ def stratified_folds(df: DataFrame, id_col: str, label_col: str, k: int = FOLDS,
 
 def cross_validate(docs: DataFrame, doc_tags: DataFrame, id_col: str, label_col: str, vocabulary: DataFrame, k: int = FOLDS, alpha: float = ALPHA) -> DataFrame:
     """(fold, n, accuracy) of naive Bayes. Counts are made once by fold; what a fold learns from is all less its own."""
-    dealt = stratified_folds(docs, id_col, label_col, k).select(F.col(id_col), F.col(label_col).alias("label"), "fold")
-    sizes = dealt.groupBy("fold", "label").agg(F.count("*").alias("own"))
+    dealt = stratified_folds(docs, id_col, label_col, k).select(id_col, F.col(label_col).alias("label"), "fold", F.lit(1).alias("n"))
+    told = fold_predictions(dealt, doc_tags, id_col, vocabulary, alpha)
+    return told.groupBy("fold").agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("accuracy"))
+
+
+def fold_predictions(dealt: DataFrame, doc_tags: DataFrame, id_col: str, vocabulary: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """(id, fold, label, n, prediction) of naive Bayes that learns from the other folds, ties to the first class. dealt: (id, label, fold, n), a row
+    standing for n equal ones; fold -1 stands for held-out rows, which teach nothing and are told by all the rest."""
+    sizes = dealt.groupBy("fold", "label").agg(F.sum("n").alias("own"))
     folds = sizes.select("fold").distinct()
-    labels = sizes.groupBy("label").agg(F.sum("own").alias("all"))
+    labels = sizes.where("fold >= 0").groupBy("label").agg(F.sum("own").alias("all"))
+    of_others = lambda every, own: F.coalesce(every, F.lit(0)) - F.when(F.col("fold") >= 0, F.coalesce(own, F.lit(0))).otherwise(0)
     # A row for each fold and label, a handful.
-    classes = folds.join(F.broadcast(labels)).join(sizes, ["fold", "label"], "left").select("fold", "label", (F.col("all") - F.coalesce("own", F.lit(0))).alias("n_class")).where("n_class > 0")
+    classes = folds.join(F.broadcast(labels)).join(sizes, ["fold", "label"], "left").select("fold", "label", of_others(F.col("all"), F.col("own")).alias("n_class")).where("n_class > 0")
     tags = doc_tags.select(id_col, "tag").distinct().join(vocabulary.select("tag"), "tag").join(dealt, id_col)
-    own = tags.groupBy("fold", "label", "tag").agg(F.count("*").alias("n_own"))
-    total = own.groupBy("label", "tag").agg(F.sum("n_own").alias("n_all"))
+    own = tags.groupBy("fold", "label", "tag").agg(F.sum("n").alias("n_own"))
+    total = own.where("fold >= 0").groupBy("label", "tag").agg(F.sum("n_own").alias("n_all"))
     cells = vocabulary.select("tag").join(F.broadcast(classes)).join(total, ["label", "tag"], "left").join(own, ["fold", "label", "tag"], "left")
-    p = (F.coalesce("n_all", F.lit(0)) - F.coalesce("n_own", F.lit(0)) + alpha) / (F.col("n_class") + 2 * alpha)
+    p = (of_others(F.col("n_all"), F.col("n_own")) + alpha) / (F.col("n_class") + 2 * alpha)
     likelihood = cells.select("fold", "label", "tag", F.log(p).alias("log_p"), F.log(1 - p).alias("log_q"))
     absent = likelihood.groupBy("fold", "label").agg(F.sum("log_q").alias("absent"))
     of_fold = Window.partitionBy("fold")
-    prior = classes.join(absent, ["fold", "label"], "left").select("fold", "label", (F.log(F.col("n_class") / F.sum("n_class").over(of_fold)) + F.coalesce("absent", F.lit(0.0))).alias("base"))
-    gain = tags.select(id_col, "fold", "tag").join(likelihood, ["fold", "tag"]).groupBy(id_col, "label").agg(F.sum(F.col("log_p") - F.col("log_q")).alias("gain"))
-    every = dealt.select(id_col, "fold", F.col("label").alias("actual")).join(F.broadcast(prior), "fold")
-    scores = every.join(gain, [id_col, "label"], "left").withColumn("score", F.col("base") + F.coalesce("gain", F.lit(0.0)))
-    best = scores.groupBy(id_col, "fold", "actual").agg(F.min(F.struct((-F.col("score")).alias("s"), "label")).alias("best"))
-    return best.groupBy("fold").agg(F.count("*").alias("n"), F.avg((F.col("actual") == F.col("best.label")).cast("double")).alias("accuracy"))
+    prior = classes.join(absent, ["fold", "label"], "left").select("fold", F.col("label").alias("told"), (F.log(F.col("n_class") / F.sum("n_class").over(of_fold)) + F.coalesce("absent", F.lit(0.0))).alias("base"))
+    gain = tags.select(id_col, "fold", "tag").join(likelihood, ["fold", "tag"]).groupBy(id_col, F.col("label").alias("told")).agg(F.sum(F.col("log_p") - F.col("log_q")).alias("gain"))
+    scores = dealt.join(F.broadcast(prior), "fold").join(gain, [id_col, "told"], "left").withColumn("score", F.col("base") + F.coalesce("gain", F.lit(0.0)))
+    best = scores.groupBy(id_col, "fold", "label", "n").agg(F.min(F.struct((-F.col("score")).alias("s"), "told")).alias("best"))
+    return best.select(id_col, "fold", "label", "n", F.col("best.told").alias("prediction"))
 
 
 def labelled_bags(rows: DataFrame, id_col: str, status, ingredients: str, least: int = MIN_DF) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -156,11 +165,12 @@ def vectors(dealt: DataFrame, doc_tags: DataFrame, id_col: str, label_col: str,
 
     def packed(batches):
         for b in batches:
-            out = []
-            for own in b["at"].to_pylist():
-                bits = np.zeros(width * 8, np.uint8)
-                bits[own or []] = 1
-                out.append(np.packbits(bits).tobytes())
+            at, out = b["at"], []
+            for i in range(0, len(at), some := max(1, (1 << 22) // max(1, width * 8))):
+                own = at.slice(i, some).fill_null([]) if at.null_count else at.slice(i, some)
+                flags = np.zeros((len(own), width * 8), np.uint8)
+                flags[np.repeat(np.arange(len(own)), own.value_lengths().to_numpy(zero_copy_only=False)), own.flatten().to_numpy(zero_copy_only=False)] = 1
+                out += [x.tobytes() for x in np.packbits(flags, axis=1)]
             yield pa.RecordBatch.from_arrays([b["row"], b["y"], b["fold"], pa.array(out, pa.binary())], names=["row", "y", "fold", "bits"])
 
     return rows.mapInArrow(packed, "row long, y int, fold int, bits binary").persist(StorageLevel.MEMORY_AND_DISK)
@@ -182,44 +192,64 @@ def holdout(docs: DataFrame, doc_tags: DataFrame, id_col: str, label_col: str, v
     return split.where("fold = -1").withColumn("row", F.xxhash64(id_col)).join(told, "row").select(id_col, "label", "prediction")
 
 
-def bayes_predictions(train: DataFrame, test: DataFrame, doc_tags: DataFrame, id_col: str, label_col: str, vocabulary: DataFrame) -> DataFrame:
-    """(id, label, prediction) of test by naive Bayes fitted on train."""
-    model = fit(train, doc_tags, id_col, label_col, vocabulary)
-    pred = predict(joint(test, doc_tags.join(test.select(id_col), id_col), id_col, model), id_col)
-    return test.select(id_col, F.col(label_col).alias("label")).join(pred, id_col)
-
-
 def compare_models(docs: DataFrame, doc_tags: DataFrame, id_col: str, label_col: str, vocabulary: DataFrame, names: list[str], k: int = FOLDS) -> DataFrame:
     """(model, cv_accuracy, cv_std, n, accuracy, macro_precision, macro_recall, macro_f1): folds on the training part, measures on the held-out part.
 
-    Trees of all models, folds and the final fit grow together; naive Bayes counts once for all folds.
+    Rows of equal label, fold and features are counted once, as every model tells them the same. Trees of all models, folds and the final fit grow
+    together, naive Bayes counts once for all of them, and measures come from the counts of (model, fold, label, prediction). Rows without a label
+    are left out.
     """
     from . import metrics
 
-    # Read by every model: kept in memory or on disk.
-    doc_tags, vocabulary = (x.persist(StorageLevel.MEMORY_AND_DISK) for x in (doc_tags, vocabulary))
-    split = stratified_split(docs.select(id_col, F.col(label_col).alias("label")), id_col, "label").persist(StorageLevel.MEMORY_AND_DISK)
+    split = stratified_split(docs.select(id_col, F.col(label_col).alias("label")), id_col, "label").where("label IS NOT NULL").persist(StorageLevel.MEMORY_AND_DISK)
     train, test = split.where("NOT is_test").drop("is_test"), split.where("is_test").drop("is_test")
-    grown = [n for n in names if n in TREE_MODELS]
-    parts = []
-    if grown:
-        dealt = stratified_folds(train, id_col, "label", k).select(id_col, "label", "fold").unionByName(test.withColumn("fold", F.lit(-1)))
-        words, classes = features(vocabulary), classes_of(split)
-        rows = vectors(dealt, doc_tags, id_col, "label", words)
+    dealt = stratified_folds(train, id_col, "label", k).select(id_col, "label", "fold").unionByName(test.withColumn("fold", F.lit(-1)))
+    words, classes = features(vocabulary), classes_of(split)
+    rows = vectors(dealt, doc_tags, id_col, "label", words)
+    bags = _planned_anew(rows.groupBy("fold", "bits", F.col("y").alias("label")).agg(F.count("*").alias("n")))
+    told = []
+    if grown := [n for n in names if n in TREE_MODELS]:
         runs = [r for name in grown for r in tree_runs(name, [*range(k), -1])]
-        told = trees.grow_and_predict(rows, runs, len(words), max(1, len(classes)))
-        named = F.broadcast(docs.sparkSession.createDataFrame([(i, r.name, r.fold) for i, r in enumerate(runs)], "run int, model string, fold int"))
-        told = told.join(named, "run").persist(StorageLevel.MEMORY_AND_DISK)  # a row for each row of each model, read for both measures
-        for name in grown:
-            own = told.where(F.col("model") == name)
-            folds = own.where("fold >= 0").groupBy("fold").agg(F.avg((F.col("y") == F.col("prediction")).cast("double")).alias("accuracy"))
-            parts.append((name, folds, metrics.summary(own.where("fold = -1"), "y", "prediction")))
+        named = F.broadcast(docs.sparkSession.createDataFrame([(i, r.name) for i, r in enumerate(runs)], "run int, model string"))
+        own = trees.predictions(rows, runs, len(words), max(1, len(classes))).join(named, "run")
+        told.append(_pairs(bags.join(own, ["fold", "bits"])))
     if "naive_bayes" in names:
-        folds = cross_validate(train, doc_tags, id_col, "label", vocabulary, k)
-        parts.append(("naive_bayes", folds, metrics.summary(bayes_predictions(train, test, doc_tags, id_col, "label", vocabulary), "label", "prediction")))
+        told.append(_pairs(_bags_by_bayes(bags, len(words)).withColumn("model", F.lit("naive_bayes"))))
+    counts = functools.reduce(DataFrame.unionByName, told)
+    right = F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0))
     out = None
-    for name, folds, measures in sorted(parts, key=lambda p: names.index(p[0])):
+    for name in names:
+        own = counts.where(F.col("model") == name)
+        folds = own.where("fold >= 0").groupBy("fold").agg((right / F.sum("n")).alias("accuracy"))
         cv = folds.agg(F.lit(name).alias("model"), F.avg("accuracy").alias("cv_accuracy"), F.stddev_pop("accuracy").alias("cv_std"))
-        row = cv.join(F.broadcast(measures))  # one row each
+        row = cv.join(F.broadcast(metrics.summary_of(own.where("fold = -1").select("actual", "predicted", "n"))))  # one row each
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def _planned_anew(df: DataFrame) -> DataFrame:
+    """df computed and kept, with nothing of its plan: what is read many times would repeat it, and the driver plan for minutes."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return kept.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else kept.localCheckpoint()
+
+
+def _pairs(told: DataFrame) -> DataFrame:
+    """A row for each model, fold and pair of classes."""
+    return _planned_anew(told.groupBy("model", "fold", F.col("label").alias("actual"), F.col("prediction").alias("predicted")).agg(F.sum("n").alias("n")))
+
+
+def _bags_by_bayes(bags: DataFrame, n: int) -> DataFrame:
+    """fold_predictions of bags (fold, bits, label, n), each of which is told by its own bits; n: the features."""
+
+    def listed(batches):
+        for b in batches:
+            bits = b["bits"].to_pylist()
+            for i in range(0, len(bits), some := max(1, (1 << 22) // max(1, n))):
+                flat = np.frombuffer(b"".join(bits[i : i + some]), np.uint8).reshape(len(bits[i : i + some]), -(-n // 8))
+                row, at = np.nonzero(np.unpackbits(flat, axis=1)[:, :n])
+                yield pa.RecordBatch.from_arrays([b["bag"].take(pa.array(row + i)), pa.array(at.astype(np.int32))], names=["bag", "tag"])
+
+    named = bags.withColumn("bag", F.struct("fold", "bits", "label"))
+    tags = named.select("bag", "bits").mapInArrow(listed, T.StructType([T.StructField("bag", named.schema["bag"].dataType), T.StructField("tag", T.IntegerType())]))
+    vocabulary = bags.sparkSession.range(n).select(F.col("id").cast("int").alias("tag"))
+    return fold_predictions(named.select("bag", "label", "fold", "n"), tags, "bag", vocabulary)

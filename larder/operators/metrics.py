@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 
 def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """(actual, predicted, n) for all pairs of the classes that occur as actual; others' predictions don't count."""
-    counts = df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+    return matrix_of(_counted(df, actual, predicted))
+
+
+def _counted(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    return df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+
+
+def matrix_of(counts: DataFrame) -> DataFrame:
+    """confusion_matrix of rows counted by (actual, predicted)."""
     classes = counts.select("actual").distinct().where("actual IS NOT NULL")
     # Classes come from counts, a few rows; all pairs of labels are the result itself.
     pairs = classes.withColumn("all", F.lit(1)).join(classes.select(F.col("actual").alias("predicted"), F.lit(1).alias("all")), "all").drop("all")
@@ -55,9 +63,15 @@ def confusion_details(matrix: DataFrame) -> DataFrame:
 
 def summary(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """One row: accuracy over all rows and unweighted means over the actual classes; zeros for no rows."""
-    per = class_metrics(confusion_matrix(df, actual, predicted)).agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(f"macro_{c}") for c in ("precision", "recall", "f1")))
-    right = F.coalesce((F.col(actual) == F.col(predicted)).cast("double"), F.lit(0.0))
-    return df.agg(F.count("*").alias("n"), F.coalesce(F.avg(right), F.lit(0.0)).alias("accuracy")).join(per)
+    return summary_of(_counted(df, actual, predicted))
+
+
+def summary_of(counts: DataFrame) -> DataFrame:
+    """summary of rows counted by (actual, predicted), as n."""
+    per = class_metrics(matrix_of(counts)).agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(f"macro_{c}") for c in ("precision", "recall", "f1")))
+    right = F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0))
+    n = F.coalesce(F.sum("n"), F.lit(0))
+    return counts.agg(n.cast("long").alias("n"), F.coalesce(F.try_divide(right.cast("double"), F.sum("n").cast("double")), F.lit(0.0)).alias("accuracy")).join(per)
 
 
 def render(matrix: DataFrame) -> DataFrame:
